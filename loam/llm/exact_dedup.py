@@ -38,7 +38,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             "radix-groups",
         )
         out = (
-            keyed.join(groups, ["grp", "digit", "ended"], "left")
+            keyed.join(groups.hint("merge"), ["grp", "digit", "ended"], "left")
             .withColumn("open", F.col("next").isNotNull() & ~F.col("ended"))
             .select(
                 "doc_id", "text_key", "text_sha256", "open",
