@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, exact_dedup, line_dedup, mixing, topk_search, warc
+from loam.llm import bpe, common, exact_dedup, language_id, line_dedup, mixing, ngram_join, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key", "copies")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.n_gram_join(table(spark, sf_dir, "documents"), k=4, percent=85).drop("text_key")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs, folds=4, held=2))
+    return out.select("doc_id", F.coalesce(common.id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -39,7 +49,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_line_dedup, op5_warc, op6_bpe, op7_exact_dedup, op9_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_language_id, op4_line_dedup, op5_warc, op6_bpe, op7_exact_dedup, op9_topk_search)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -66,6 +76,19 @@ select p.doc_id, p.size, p.source, p.source_size, p.target,
   (p.size * (case when p.size > 0 and {'a': upto::double / weight, 'b': rank} <= cut.m then 1 else 0 end
     + case when p.size > 0 and {'a': (upto + source_size)::double / weight, 'b': rank} <= cut.m then 1 else 0 end))::bigint as taken
 from p, cut""",
+    "op2_ngram_join": f"""
+with recursive d as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [w]
+    else list_transform(range(1, len(w) - 2), lambda i: w[i:i+3]) end) as g from d),
+n as (select d.doc_id, count(s.g) as n from d left join s on s.doc_id = d.doc_id group by d.doc_id),
+h as (select doc_id, hash(g) as g from s),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as k from h a join h b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 85 * (na.n + nb.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from d union select e.b, r.c from r join e on e.a = r.doc_id)
+select n.doc_id, n.n as n_shingles, min(r.c) as component_id from n join r on r.doc_id = n.doc_id group by 1, 2""",
     "op4_line_dedup": f"""
 with l as (
   select row_number() over () as r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
