@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import new_path, ship, staged, unstage
+from loam.llm.common import new_path, partitions, ship, staged, unstage
 
 VERSION, MAGIC = b"WARC/", b"\x1f\x8b\x08"
 CHUNK, MAX_HEAD = 1 << 20, 1 << 16
@@ -265,7 +265,7 @@ def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    return paths.select("path").repartition(F.col("path")).mapInArrow(read, schema)
+    return paths.select("path").repartition(4 * partitions(paths.sparkSession), "path").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
