@@ -251,3 +251,26 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(text).alias("text_key")] if keys else []))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", text_key long" * keys)
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs without the rows that predict() calls und or whose score is under `least`; columns as they were. least is low
+    on purpose: prose with foreign license lines, names or junk stays. Without a model only rows without letters go."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = sent.value
+        for whole in batches:
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                texts = batch.column(text_col).to_pylist()
+                some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+                good = np.zeros(len(texts), dtype=bool)
+                if some:
+                    good[some] = document_probabilities(model, [texts[i].encode() for i in some]).max(axis=1) >= least if model else True
+                yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, topk_search, warc
+from loam.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, substring_dedup, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_language_id, op4_line_dedup, op5_warc, op6_bpe, op7_exact_dedup, op8_lm_scoring, op9_topk_search)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_language_id, op4_line_dedup, op5_warc, op6_bpe, op7_exact_dedup, op8_lm_scoring, op9_topk_search, op10_substring_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
