@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     cell = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("cells")).cast("int")
     packed = rows.join(F.broadcast(tiers.select("tier", "cells")), "tier").withColumn("cell", cell)
     blocks = max(1, -(-n_queries // BLOCK))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "tier", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
     buckets = packed.groupBy("tier", "cell").agg(F.collect_list(F.struct("vec_id", "v", "length")).alias("rows"))
     buckets = staged(buckets.repartition(max(1, min(2 * partitions(spark), n_buckets)), "tier", "cell"), "search-buckets")
     head = rows.agg(F.max("tier")).first()[0]
@@ -162,11 +162,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     def cut(found: DataFrame) -> DataFrame:
         return found.distinct().withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
-    first_cell = queries.withColumns({"tier": F.lit(head), "cell": F.lit(0), "floor": F.lit(float("-inf"))})
+    first_cell = queries.withColumns({"tier": F.greatest("tier", F.lit(head)), "cell": F.lit(0), "floor": F.lit(float("-inf"))})
     seen = staged(cut(meet(first_cell)), "search-first")
     floors = seen.where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rest = queries.join(floors, "query_id", "left").fillna(float("-inf"), ["floor"]).withColumn("norm", norm)
+    rest = queries.drop("tier").join(floors, "query_id", "left").fillna(float("-inf"), ["floor"]).withColumn("norm", norm)
     known = [F.struct(F.lit(t["tier"]).alias("tier"), F.lit(t["cells"]).alias("cells"), F.lit(t["longest"]).alias("longest")) for t in tiers.collect()]  # MAX_TIERS at most
     able = F.filter(F.array(*known), lambda t: (F.col("floor") <= 0) | (t["longest"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("floor")))
     goes = rest.withColumn("t", F.explode(able)).select("query_id", "v", "floor", "block", F.col("t.tier").alias("tier"), F.explode(F.sequence(F.lit(0), F.col("t.cells") - 1)).alias("cell"))
