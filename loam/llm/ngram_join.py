@@ -271,7 +271,7 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
 
     # The sets of the nodes that are left, each from one document that has it.
     picked = able.select("node").distinct()
-    one = every.join(picked.hint("merge"), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias("k_doc"), F.col("x.text_key").alias("k_text"))
+    one = every.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).join(picked.hint("merge"), "node").select(F.col("x.doc_id").alias("k_doc"), F.col("x.text_key").alias("k_text"))
     texts = rows.join(one.distinct().hint("merge"), rows["doc_id"].eqNullSafe(F.col("k_doc")) & (rows["text_key"] == F.col("k_text"))).select("text")
     full = staged(_full_sets(texts, k), "full-sets")
     found = _links(dealt(able.join(full.hint("merge"), "node"), "pivot", "node"), percent)
