@@ -15,7 +15,7 @@ from loam.llm.shingles import sets
 #: Entries of a leaf, and children of a node.
 LEAF, FANOUT = 8, 4
 #: Shingles in at least one of so many documents of a slice may be common; so many of the commonest are told to all tasks.
-COMMON_SHARE, COMMON = 500, 100_000
+COMMON_SHARE, COMMON = 2000, 100_000
 
 
 # --- signature trees ---------------------------------------------------------------------------------------------
