@@ -7,6 +7,7 @@ input, whatever they are called, can't clash with internal ones.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -59,6 +60,13 @@ def unstage(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written: its cleaner acts when the driver's garbage is
+    collected, which in a long job of few objects may be never before the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on the executors, once a context."""
     sc = spark.sparkContext

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import identity, same, ship, staged, text_of, unstage
+from loam.llm.common import identity, release, same, ship, staged, text_of, unstage
 from loam.llm.grouping import Forest, components, dealt, spread
-from loam.llm.ngram_join import in_arrow, signed
+from loam.llm.ngram_join import encoded, in_arrow, signed
 from loam.llm.shingles import mix, rolled, slices, words
 
 #: Words of a paragraph, of a shingle; half the span of words over which an anchor's hash is the least; bands (of one row each).
@@ -76,36 +76,55 @@ def heads(docs: DataFrame, **shape) -> DataFrame:
 
 
 def located(docs: DataFrame, **shape) -> DataFrame:
-    """The paragraphs of documents (doc_id, text, bands that others have too) with one of these bands: name, those bands, place
-    in the text (first word, first byte, end) and shingles."""
-    words_in, k = shape.get("words_in", PARAGRAPH), shape.get("k", SHINGLE)
-    schema = "doc_id long, text_key long, name long, bands array<long>, word int, start int, `end` int, shingles binary"
+    """The paragraphs of documents (doc_id, text_key, text, bands that others have too) with one of these bands: name, those
+    bands, place in the text (first word, first byte, end)."""
+    words_in = shape.get("words_in", PARAGRAPH)
+    schema = "doc_id long, text_key long, name long, bands array<long>, word int, start int, `end` int"
 
     def run(batches):
         import pyarrow as pa
 
         for batch in in_arrow(batches, 128):
-            texts = [x.encode() for x in batch.column("text").to_pylist()]
-            ids, keys, shared = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "bands"))
-            out = {c: [] for c in ("doc_id", "text_key", "name", "bands", "word", "start", "end", "shingles")}
-            for i, (at, mins, names, grams, starts, ends) in enumerate(paragraphs(texts, **shape)):
-                hit = np.isin(signed(mins), np.array(shared[i], dtype=np.int64))
-                for j in np.flatnonzero(hit.any(axis=0)):
-                    w = int(at[j])
-                    out["doc_id"].append(ids[i])
-                    out["text_key"].append(keys[i])
-                    out["name"].append(int(names[j].view(np.int64)))
-                    out["bands"].append(signed(mins[:, j][hit[:, j]]).tolist())
-                    out["word"].append(w)
-                    out["start"].append(int(starts[w]))
-                    out["end"].append(int(ends[w + words_in - 1]))
-                    out["shingles"].append(np.unique(grams[w : w + words_in - k + 1]).tobytes())
-            kinds = {"bands": pa.list_(pa.int64()), "word": pa.int32(), "start": pa.int32(), "end": pa.int32(), "shingles": pa.binary()}
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
+            shared = batch.column("bands")
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(7)]
+            for i, (at, mins, names, _, starts, ends) in enumerate(paragraphs(encoded(batch), **shape)):
+                own = np.sort(shared[i].values.to_numpy())
+                mins = signed(mins)
+                hit = own[np.minimum(np.searchsorted(own, mins), len(own) - 1)] == mins
+                some = hit.any(axis=0)
+                w, hit = at[some], hit[:, some]
+                for x, new in zip(out, (np.full(len(w), i), signed(names[some]), hit.sum(axis=0), mins[:, some].T[hit.T], w, starts[w], ends[w + words_in - 1]), strict=True):
+                    x.append(new)
+            row, names, n, values, word, start, end = (np.concatenate(x) for x in out)
+            row = pa.array(row)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
+            ints = [pa.array(x, pa.int32()) for x in (word, start, end)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(names), lists, *ints], names=["doc_id", "text_key", "name", "bands", "word", "start", "end"])
 
     return docs.mapInArrow(run, schema)
 
 
+def spelt(docs: DataFrame, **shape) -> DataFrame:
+    """band, name, shingles of the paragraphs that documents (text, picks: word, name, bands) are asked for."""
+    words_in, k = shape.get("words_in", PARAGRAPH), shape.get("k", SHINGLE)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in in_arrow(batches, 128):
+            bands, names, sets = [], [], []
+            for picks, (_, _, _, grams, _, _) in zip(batch.column("picks").to_pylist(), paragraphs(encoded(batch), **shape), strict=True):
+                for x in picks:
+                    own = np.unique(grams[x["word"] : x["word"] + words_in - k + 1]).tobytes()
+                    for band in x["bands"]:
+                        bands.append(band)
+                        names.append(x["name"])
+                        sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["band", "name", "shingles"])
+
+    return docs.mapInArrow(run, "band long, name long, shingles binary")
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """u, v: a spanning forest of the names in each task whose paragraphs are similar."""
 
@@ -161,15 +180,29 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
     shared = staged(flat.groupBy("band").agg(F.min(whose).alias("a"), F.max(whose).alias("b")).where("a <> b").select("band"), "shared-bands")
     hits = flat.join(shared.hint("merge"), "band").groupBy("doc_id", "text_key").agg(F.collect_set("band").alias("bands")).select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"), "bands")
     hits = staged(hits, "hits")
-    both = rows.join(hits.hint("merge"), rows["doc_id"].eqNullSafe(hits["k_doc"]) & (rows["text_key"] == hits["k_text"])).select("doc_id", "text_key", "text", "bands")
-    found = staged(located(both, **shape), "paragraphs")
     unstage(known, shared)
-
-    # A name once for each band, then pairs of different names within a band.
-    members = found.select(F.explode("bands").alias("band"), "name", "shingles").groupBy("band", "name").agg(F.first("shingles").alias("shingles"))
-    several = staged(found.select(F.explode("bands").alias("band"), "name").groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("band"), "mixed-bands")
-    members = staged(members.join(several.hint("merge"), "band", "left_semi"), "band-members")
+    release(spark)
+
+    def of_texts(keyed: DataFrame, *cols: str) -> DataFrame:
+        return rows.join(keyed.hint("merge"), rows["doc_id"].eqNullSafe(keyed["k_doc"]) & (rows["text_key"] == keyed["k_text"])).select("doc_id", "text_key", "text", *cols)
+
+    found = staged(located(of_texts(hits, "bands"), **shape), "paragraphs")
+    unstage(hits)
+    release(spark)
+
+    # Bands with paragraphs of different names; the words of those are read from one document that has them.
+    places = found.select(F.explode("bands").alias("band"), "name", "doc_id", "text_key", "word")
+    several = staged(places.groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("band"), "mixed-bands")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "word")).alias("x")
+    picks = places.join(several.hint("merge"), "band", "left_semi").groupBy("name").agg(one, F.collect_set("band").alias("bands"))
+    pick = F.struct(F.col("x.word").alias("word"), "name", "bands")
+    picks = picks.groupBy(F.col("x.doc_id").alias("k_doc"), F.col("x.text_key").alias("k_text")).agg(F.collect_list(pick).alias("picks"))
+    picks = staged(picks, "picks")
+    members = staged(spelt(of_texts(picks, "picks"), **shape), "band-members")
+    unstage(several, picks)
+    release(spark)
     links = staged(_links(dealt(members, "band", "name"), percent), "links")
+    unstage(members)
     labels = components(links)
 
     names = found.groupBy("name").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("last"))
