@@ -18,7 +18,7 @@ LINE_PROMPT = r"(?m)^[ \t]*(?:[\w.@:/\\~-]*[$#%>❯➜])[ \t]+"
 URL = r"""(?i)\b(?:https?://|www\.)[^\s<>"'`)\]]+"""
 WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 MD_LINK = r"""\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)"""
-RESERVED = ("index", "log")
+RESERVED = ("index", "spec")
 SECRETS = {
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "openrouter-key": r"sk-or-v1-[A-Za-z0-9_-]{20,}",
@@ -140,7 +140,7 @@ def first_line(text: Column) -> Column:
 
 def section(body: Column, heading: str) -> Column:
     """The text under the first level-1 heading of this name, whatever its case; null if there is none."""
-    got = F.regexp_extract(body, F.lit(rf"(?ims)^# +\Q{heading}\E[ \t]*$\n?(.*?)(?=^# |\z)"), F.lit(1))
+    got = F.regexp_extract(body, rf"(?ims)^# +\Q{heading}\E[ \t]*$\n?(.*?)(?=^# |\z)", 1)
     return F.when(body.rlike(rf"(?im)^# +\Q{heading}\E[ \t]*$"), F.trim(got))
 
 

@@ -11,7 +11,7 @@ from loam.functions.text import depends_path
 # Limits.
 STRIKES, LOG_LIMIT, RECENT = 3, 512 * 1024, 500
 ENTRIES, KEY_CHARS, VALUE_CHARS = 16, 64, 256
-EVENT_KINDS = ("turn_error", "distill_error", "consolidate_error", "sync_error", "embed_error", "gate_blocked", "state_write_error")
+EVENT_KINDS = ("slow-lane-outcome", "distill-op-invalid", "distill-op-retry-exhausted", "link-ref-rejected", "seam-observations-fed", "seam-lesson-status", "lesson-conflict-flagged")
 
 
 def mark_distilled(observations: DataFrame, marks: DataFrame) -> DataFrame:

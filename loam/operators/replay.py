@@ -13,7 +13,7 @@ RESCUE = 0.5
 
 def reason_fields(reasons: Column) -> Column:
     """Map of the fields and positive values that reason strings state."""
-    pairs = F.transform(reasons, lambda r: F.struct(F.regexp_extract(r, F.lit(r"^([^:]+):"), F.lit(1)).alias("k"), F.regexp_extract(r, F.lit(r"^[^:]+:(.*)$"), F.lit(1)).try_cast("double").alias("v")))
+    pairs = F.transform(reasons, lambda r: F.struct(F.regexp_extract(r, r"^([^:]+):", 1).alias("k"), F.regexp_extract(r, r"^[^:]+:(.*)$", 1).try_cast("double").alias("v")))
     good = F.filter(pairs, lambda p: (p["k"] != "") & ~p["k"].isin("depends", "tag-boost") & (F.coalesce(p["v"], F.lit(0.0)) > 0))
     return F.map_from_entries(F.aggregate(good, F.array().cast("array<struct<k:string,v:double>>"), lambda a, p: F.concat(F.filter(a, lambda q: q["k"] != p["k"]), F.array(p))))
 

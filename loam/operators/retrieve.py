@@ -37,8 +37,11 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def field_tokens(topics: DataFrame) -> DataFrame:
     """slug, token, fields: which fields of the topic hold the token, as bits in the order of WEIGHTS."""
     text = lambda f: F.array_join(F.col(f), " ") if dict(topics.dtypes)[f].startswith("array") else F.coalesce(F.col(f), F.lit(""))
-    tagged = [F.transform(tokenize(text(f)), lambda t, i=i: F.struct(t.alias("token"), F.lit(1 << i).alias("bit"))) for i, f in enumerate(WEIGHTS)]
-    rows = topics.select("slug", F.explode(F.flatten(F.array(*tagged))).alias("x"))
+
+    def tagged(i: int, f: str) -> Column:
+        return F.transform(tokenize(text(f)), lambda t: F.struct(t.alias("token"), F.lit(1 << i).alias("bit")))
+
+    rows = topics.select("slug", F.explode(F.flatten(F.array(*[tagged(i, f) for i, f in enumerate(WEIGHTS)]))).alias("x"))
     return rows.groupBy("slug", F.col("x.token").alias("token")).agg(F.bit_or("x.bit").alias("fields"))
 
 
