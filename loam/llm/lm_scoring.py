@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import id_bucket, partitions, ship, staged, text_of
+from loam.llm.common import id_bucket, partitions, release, ship, staged, text_of
 
 #: Bytes of text in a block, and what piece counts are smoothed with.
 BLOCK, SMOOTH = 16 << 20, 0.1
@@ -42,11 +43,11 @@ def byte_pieces(char: str) -> list[str]:
     return [f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogateescape")]
 
 
-def weights_by_rank(pieces: dict[str, float]) -> dict[str, float]:
+def weights_by_rank(pieces: dict[str, float]) -> np.ndarray:
     """Weights by the vocabulary's own scores. Scores of a vocabulary by merges are minus the rank, which is no log
-    probability; a piece of rank r then weighs 1 / (r + 10), as words by rank do."""
-    order = sorted(pieces, key=lambda p: (-pieces[p], p))
-    return {p: 1 / (i + 10) for i, p in enumerate(order)}
+    probability; a piece of rank r then weighs 1 / (r + 10), as words by rank do. In the order of the names."""
+    rank = {p: i for i, p in enumerate(sorted(pieces, key=lambda p: (-pieces[p], p)))}
+    return np.array([1 / (rank[p] + 10) for p in sorted(pieces)])
 
 
 def log_sum(x: list[float]) -> float:
@@ -54,64 +55,65 @@ def log_sum(x: list[float]) -> float:
     return m if m == NEVER else m + math.log(sum([math.exp(y - m) for y in x]))
 
 
-class Speller:
-    """p(word): the sum over all segmentations of the marked word into a first piece, which has the mark, further
-    pieces, which don't, and a stop. Probabilities of first pieces sum to 1, as do those of further pieces with the
-    stop. A character that is no piece is spelt by its bytes.
+class Pieces:
+    """The pieces of a vocabulary, and where they are found by the rolling hash of their characters."""
 
-    weight: of each piece; stop: of the stop. Words of up to VECTOR characters, all of which are pieces, are worked off many at
-    a time: substrings are found by rolling hashes in a table, and the recursions run over all words of a length at once.
-    """
-
-    def __init__(self, weight: dict[str, float], stop: float):
-        self.weight, self.stop_weight = weight, stop
-        self.pieces = sorted(weight)
-        self.place = {p: i for i, p in enumerate(self.pieces)}
-        marked = np.array([p.startswith(MARK) for p in self.pieces])
-        w = np.array([weight[p] for p in self.pieces])
-        later = w[~marked].sum() + stop
-        self.score = np.where(marked, np.log(w / w[marked].sum()), np.log(w / later))
-        self.stop = math.log(stop / later)
-        self.longest = max((len(p) for p in self.pieces if not is_byte(p)), default=1)
-        keys = np.zeros(len(self.pieces), dtype=np.uint64)
-        for i, p in enumerate(self.pieces):
+    def __init__(self, names: Iterable[str]):
+        self.names = sorted(names)
+        self.place = {p: i for i, p in enumerate(self.names)}
+        self.marked = np.array([p.startswith(MARK) for p in self.names])
+        self.longest = max((len(p) for p in self.names if not is_byte(p)), default=1)
+        self.key_of = np.zeros(len(self.names), dtype=np.uint64)
+        self.table = np.full((2, 1 << TABLE), -1, dtype=np.int32)
+        self.spill = []
+        for i, p in enumerate(self.names):
             if not is_byte(p):
                 h = 0
                 for c in p:
                     h = (h * BASE + ord(c)) & ALL
-                keys[i] = h
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        # Where in keys the values with the same high bits (after a mix) begin.
-        self.table = np.full((2, 1 << TABLE), -1, dtype=np.int32)
-        spill = []
-        for i, k in enumerate(keys):
-            if k:
-                for t in (0, 1):
-                    at = self._slot(np.uint64(k), t)
-                    if self.table[t, at] < 0:
-                        self.table[t, at] = i
-                        break
+                self.key_of[i] = h
+        slots = [self._slot(self.key_of, t) for t in (0, 1)]
+        for i, p in enumerate(self.names):
+            if not is_byte(p):
+                t = next((t for t in (0, 1) if self.table[t, slots[t][i]] < 0), None)
+                if t is None:
+                    self.spill.append(i)
                 else:
-                    spill.append(i)
-        self.spill = spill
-        self.key_of = keys
+                    self.table[t, slots[t][i]] = i
 
     @staticmethod
-    def _slot(h, t: int):
-        with np.errstate(over="ignore"):
-            return ((h * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[t])) >> np.uint64(64 - TABLE)).astype(np.int64)
+    def _slot(h: np.ndarray, t: int) -> np.ndarray:
+        return ((h * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[t])) >> np.uint64(64 - TABLE)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the pieces with these hashes; -1 if none."""
-        out = np.full(h.shape, -1, dtype=np.int64)
-        for t in (0, 1):
-            at = self.table[t][self._slot(h, t)]
-            hit = (at >= 0) & (self.key_of[at] == h)
-            out[hit] = at[hit]
-        for i in self.spill:
-            out[h == self.key_of[i]] = i
-        return out
+        at = self.table[0][self._slot(h, 0)]
+        out = np.where(self.key_of[at] == h, at, -1).astype(np.int64)
+        rest = np.flatnonzero((out < 0) & (at >= 0))
+        if len(rest):
+            own = h[rest]
+            at = self.table[1][self._slot(own, 1)]
+            out[rest] = np.where((at >= 0) & (self.key_of[at] == own), at, -1)
+            for i in self.spill:
+                out[rest[own == self.key_of[i]]] = i
+        return np.where(out >= 0, out, -1)
+
+
+class Speller:
+    """p(word): the sum over all segmentations of the marked word into a first piece, which has the mark, further
+    pieces, which don't, and a stop. Probabilities of first pieces sum to 1, as do those of further pieces with the
+    stop. A character that is no piece is spelt by its bytes.
+
+    weight: of each piece; stop: of the stop. Words of up to VECTOR characters, all of which are pieces, are worked off many at
+    a time: substrings are found by rolling hashes in a table, and the recursions run over all words of a length at once.
+    """
+
+    def __init__(self, pieces: Pieces, weight: np.ndarray, stop: float):
+        self.pieces, self.place, self.longest, self.find = pieces, pieces.place, pieces.longest, pieces.find
+        marked = pieces.marked
+        later = weight[~marked].sum() + stop
+        self.score = np.where(marked, np.log(weight / weight[marked].sum()), np.log(weight / later))
+        self.stop = math.log(stop / later)
 
     # Words one at a time.
 
@@ -173,7 +175,7 @@ class Speller:
             for i in range(0, len(own), 8192):
                 some = own[i : i + 8192]
                 chars = np.frombuffer("".join([words[j] for j in some]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(some), n)
-                known = (self.find(chars.astype(np.uint64)) >= 0).all(axis=1) & (chars != ord(MARK)).all(axis=1)
+                known = (self.find(chars.astype(np.uint64).ravel()).reshape(chars.shape) >= 0).all(axis=1) & (chars != ord(MARK)).all(axis=1)
                 rest.append(some[~known])
                 if known.any():
                     yield some[known], np.concatenate([np.full((int(known.sum()), 1), ord(MARK), dtype=np.uint32), chars[known]], axis=1).T.astype(np.uint64)
@@ -300,7 +302,8 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
     ship(spark)
     blocks = staged(blocks_of(docs, folds, held, id_col, text_col), "blocks")
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "times")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    counts = staged(listed.groupBy("word").agg(F.sum("times").alias("c")), "word-counts")
+    counts = staged(listed.groupBy("word").agg(F.sum("times").alias("c")).repartition(2 * partitions(spark), "word"), "word-counts")
+    release(spark)
     ends = blocks.select(F.explode("docs").alias("d")).agg(F.count(F.when(~F.col("d.held_out"), 1)).alias("n")).first()["n"]
     once, twice = (F.count(F.when(F.col("c") == n, 1)) for n in (1, 2))
     found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), once.alias("n1"), twice.alias("n2")).first()
@@ -308,16 +311,18 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
     discount = min(0.95, max(0.05, found["n1"] / max(1, found["n1"] + 2 * found["n2"])))
     left = discount * types / total if total else 1.0
 
-    weight = weights_by_rank(read_pieces(pieces_path))
-    stop = 0.3 * sum(w for p, w in weight.items() if not p.startswith(MARK))
+    vocabulary = read_pieces(pieces_path)
+    pieces = spark.sparkContext.broadcast(Pieces(vocabulary))  # as long as the vocabulary file
+    weight = weights_by_rank(vocabulary)
+    stop = 0.3 * float(weight[~pieces.value.marked].sum())
     for _ in range(rounds if found["v"] else 0):
-        weight, stop = _estimated(counts.where("c > 0"), weight, stop, found["v"])
-    model = spark.sparkContext.broadcast((weight, stop))  # as long as the vocabulary file
+        weight, stop = _estimated(counts.where("c > 0"), pieces, weight, stop, found["v"])
+    model = spark.sparkContext.broadcast((weight, stop))
 
     def spell(batches):
         import pyarrow as pa
 
-        s = Speller(*model.value)
+        s = Speller(pieces.value, *model.value)
         for batch in batches:
             spelt = s.log_probs([decoded(w) for w in batch.column("word").to_pylist()]) + math.log(left)
             c = batch.column("c").to_numpy().astype(np.float64)
@@ -325,7 +330,7 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
             p = np.where(c > 0, np.logaddexp(whole, spelt), spelt)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p / math.log(10))], names=["word", "c", "p"])
 
-    scored = staged(counts.repartition(4 * partitions(spark), "word").mapInArrow(spell, "word binary, c long, p double"), "word-scores")
+    scored = staged(counts.mapInArrow(spell, "word binary, c long, p double"), "word-scores")
     back = listed.select("block", "place", "word").join(scored.hint("merge"), "word").groupBy("block").agg(F.collect_list(F.struct("place", "c", "p")).alias("words"))
     both = blocks.select("block", "docs").join(back.hint("merge"), "block", "left").select("docs", "words")
     base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
@@ -360,7 +365,7 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _estimated(words: DataFrame, weight: dict[str, float], stop: float, types: int) -> tuple[dict[str, float], float]:
+def _estimated(words: DataFrame, pieces, weight: np.ndarray, stop: float, types: int) -> tuple[np.ndarray, float]:
     """Weights by expected counts over different words, with SMOOTH more for each piece; each word has one stop."""
     spark = words.sparkSession
     sent = spark.sparkContext.broadcast((weight, stop))
@@ -368,13 +373,15 @@ def _estimated(words: DataFrame, weight: dict[str, float], stop: float, types: i
     def run(batches):
         import pyarrow as pa
 
-        s = Speller(*sent.value)
-        counts = np.zeros(len(s.pieces))
+        s = Speller(pieces.value, *sent.value)
+        counts = np.zeros(len(s.score))
         for batch in batches:
             s.add_expected([decoded(w) for w in batch.column("word").to_pylist()], counts)
         some = np.flatnonzero(counts > 0)
-        yield pa.RecordBatch.from_arrays([pa.array([s.pieces[i] for i in some], pa.string()), pa.array(counts[some])], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
 
-    got = words.select("word").repartition(4 * partitions(spark), "word").mapInArrow(run, "piece string, n double")
-    got = {r["piece"]: r["n"] for r in got.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # a row a piece
-    return {p: SMOOTH + got.get(p, 0.0) for p in weight}, float(types)
+    got = words.select("word").mapInArrow(run, "piece long, n double")
+    out = np.full(len(weight), SMOOTH)
+    for r in got.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row a piece
+        out[r["piece"]] += r["n"]
+    return out, float(types)
