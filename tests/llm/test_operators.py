@@ -385,15 +385,16 @@ def test_lm_scores(edge_docs, edge_rows, no_docs, pieces):
         want[d, held(d), len(w) + 1, sum(count[x] > 0 for x in w) + 1, n, round(base, 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     # The score against a plain run of the same model.
-    weight = lm_scoring.weights_by_rank(lm_scoring.read_pieces(pieces))
-    s = lm_scoring.Speller(weight, 0.3 * sum(w for p, w in weight.items() if not p.startswith(lm_scoring.MARK)))
     import numpy as np
 
+    names = lm_scoring.read_pieces(pieces)
+    known, weight = lm_scoring.Pieces(names), lm_scoring.weights_by_rank(names)
+    s = lm_scoring.Speller(known, weight, 0.3 * weight[~known.marked].sum())
     for _ in range(2):
-        c = np.zeros(len(s.pieces))
+        c = np.zeros(len(weight))
         for x in count:
             s.expected(x, c)
-        s = lm_scoring.Speller({p: lm_scoring.SMOOTH + c[i] for i, p in enumerate(s.pieces)}, float(len(count)))
+        s = lm_scoring.Speller(known, lm_scoring.SMOOTH + c, float(len(count)))
     n1, n2 = (sum(k == i for k in count.values()) for i in (1, 2))
     cut = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
     p = {}
@@ -415,7 +416,10 @@ def test_lattice_sums_all_segmentations():
 
     m = lm_scoring.MARK
     weight = {m: 2.0, m + "a": 1.0, m + "ab": 3.0, "a": 1.0, "b": 2.0, "ab": 1.5, "ba": 0.5, **{f"<0x{i:02X}>": 0.01 for i in range(256)}}
-    s = lm_scoring.Speller(weight, 9.0)
+    import numpy as np
+
+    known = lm_scoring.Pieces(weight)
+    s = lm_scoring.Speller(known, np.array([weight[p] for p in known.names]), 9.0)
     first, later = sum(w for p, w in weight.items() if p[0] == m), sum(w for p, w in weight.items() if p[0] != m) + 9.0
 
     def cuts(t):
