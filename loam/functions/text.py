@@ -36,6 +36,10 @@ SECRETS = {
 }
 
 
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def bigrams(runs: Column) -> Column:
     """Neighbouring pairs of each run of characters; a run of one is itself."""
     pairs = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2)))))
@@ -135,18 +139,18 @@ def scan_secrets(text: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed; empty if none."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def section(body: Column, heading: str) -> Column:
     """The text under the first level-1 heading of this name, whatever its case; null if there is none."""
     got = F.regexp_extract(body, rf"(?ims)^# +\Q{heading}\E[ \t]*$\n?(.*?)(?=^# |\z)", 1)
-    return F.when(body.rlike(rf"(?im)^# +\Q{heading}\E[ \t]*$"), F.trim(got))
+    return F.when(body.rlike(rf"(?im)^# +\Q{heading}\E[ \t]*$"), strip(got))
 
 
 def unwrap_ref(ref: Column) -> Column:
     """A topic's slug from its slug or path, wrapped however often."""
-    return F.regexp_replace(F.regexp_replace(F.trim(ref), F.lit(r"^(?:topics[/:])+"), F.lit("")), F.lit(r"(?:\.md)+$"), F.lit(""))
+    return F.regexp_replace(F.regexp_replace(strip(ref), F.lit(r"^(?:topics[/:])+"), F.lit("")), F.lit(r"(?:\.md)+$"), F.lit(""))
 
 
 def depends_path(ref: Column) -> Column:
@@ -157,7 +161,7 @@ def depends_path(ref: Column) -> Column:
 
 def link_slug(target: Column) -> Column:
     """The slug that a link's target names; null for foreign, nested, empty and reserved ones."""
-    t = F.trim(target)
+    t = strip(target)
     foreign = t.contains("://") | t.startswith("#") | t.startswith("mailto:")
     bare = F.trim(F.split(t, "#")[0])
     for pattern in (r"\.md$", r"^\./", r"^topics/"):
@@ -183,7 +187,7 @@ def slugify(title: Column) -> Column:
 
 def clip(text: Column, n: int) -> Column:
     """White space collapsed, and at most n characters with an ellipsis after them."""
-    t = F.trim(F.regexp_replace(text, F.lit(r"\s+"), F.lit(" ")))
+    t = strip(F.regexp_replace(text, F.lit(r"\s+"), F.lit(" ")))
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)
 
 
@@ -193,7 +197,7 @@ def digest_for(state: Column, question: Column, instructions: Column) -> Column:
 
 
 def distinct_lower(tags: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(tags, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(tags, lambda x: F.lower(strip(x))), lambda x: x != ""))
 
 
 def is_iso_instant(text: Column) -> Column:

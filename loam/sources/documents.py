@@ -15,6 +15,9 @@ STATUSES = ("draft", "stable", "deprecated")
 KNOWN = ("type", "title", "description", "status", "tags", "triggers", "depends", "generated", "scope", "confidence")
 
 
+KEY = re.compile(r"""^("[^"]*"|'[^']*'|[^\s:#][^:]*):(?:\s+(.*))?$""")
+
+
 class Malformed(ValueError):
     pass
 
@@ -81,7 +84,7 @@ def front_matter(text: str) -> dict:
         while i < len(lines) and lines[i][0] == indent:
             if not (m := KEY.match(lines[i][1])):
                 raise Malformed(f"no key: {lines[i][1][:40]}")
-            key, value = m[1].strip("\"'"), m[2].strip()
+            key, value = m[1].strip("\"'"), (m[2] or "").strip()
             i += 1
             if value:
                 found[key] = scalar(value)
@@ -97,9 +100,6 @@ def front_matter(text: str) -> dict:
     return out
 
 
-KEY = re.compile(r"^(\"[^\"]*\"|'[^']*'|[^\s:#][^:]*):(?:\s+(.*)|)$".replace("(.*)|)", "(.*)|())"))
-
-
 def strings(value, name: str) -> list[str]:
     if value is None:
         return []

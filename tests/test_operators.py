@@ -1,0 +1,173 @@
+"""Operators without SQL twins beside plain versions, and streams beside their batch forms."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loam.operators import cluster, graph, lifecycle, pack, retrieve
+from loam.plans import queries
+from loam.streaming import turns
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_graph_expansion(spark):
+    """Breadth first by hand: first touch wins, scores decay from the parent's, slots are bounded."""
+    hits = spark.createDataFrame([(1, "a", 2.0, 2.2, 1), (1, "b", 1.0, 1.0, 2)], "query_id int, slug string, gate_score double, score double, rank int")
+    edges = spark.createDataFrame([("a", "c", 0), ("a", "b", 0), ("b", "c", 0), ("b", "d", 1), ("e", "c", 0), ("f", "a", 1), ("c", "g", 0)], "src string, dst string, ord int")
+    out = retrieve.graph_expansion(hits, edges, retrieve.Retrieval(threshold=0.1, top_k=4))
+    got = {r["slug"]: (r["score"], r["depth"], r["rank"]) for r in out.collect()}
+    assert got == {"a": (2.2, 0, 1), "b": (1.0, 0, 2), "c": (1.0, 1, 3), "f": (1.0, 1, 4), "d": (0.5, 1, 5), "g": (0.25, 2, 6)}
+    less = retrieve.graph_expansion(hits, edges, retrieve.Retrieval(threshold=0.6, top_k=4))
+    assert {r["slug"] for r in less.collect()} == {"a", "b", "c", "f"}
+
+
+def test_hits_per_query_are_bounded(spark):
+    out = queries.r8_graph_expansion(spark, SF).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("m"), F.count_distinct("slug").alias("d")).collect()
+    assert all(r["n"] <= 6 and r["n"] == r["m"] == r["d"] for r in out)
+
+
+def test_clusters(spark):
+    from loam.plans.inputs import topics
+
+    pairs = queries._write(cluster.similar_pairs(topics(spark, "/root/testdata/sf0.01")))
+    rows = [(r["a"], r["b"], r["similarity"]) for r in pairs.collect()]
+    up = {x: x for p in rows for x in p[:2]}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b, _ in rows:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    best = {}
+    for a, b, s in rows:
+        best[a], best[b] = max(best.get(a, 0), s), max(best.get(b, 0), s)
+    groups = {}
+    for i in up:
+        groups.setdefault(root(i), []).append(i)
+    want = {(c, i, max(best[j] for j in g), k) for c, g in groups.items() for k, i in enumerate(sorted(g, key=lambda i: (-best[i], i))[:6], 1)}
+    members = cluster.clusters(pairs, queries._write)
+    assert {tuple(r) for r in members.collect()} == want
+    asked = cluster.asked_pairs(pairs, members).collect()
+    kept = {(c, i) for c, i, _, _ in want}
+    for c in groups:
+        inner = sorted(((-s, a, b) for a, b, s in rows if root(a) == c and (c, a) in kept and (c, b) in kept))[:5]
+        assert [(-r["similarity"], r["a"], r["b"]) for r in sorted((r for r in asked if r["cluster"] == c), key=lambda r: r["rank"])] == inner
+    answers = spark.createDataFrame([(min(groups), 0.2), (max(groups), 0.9)], "cluster long, probability double")
+    got = {r["cluster"]: r["proceeds"] for r in cluster.proceeds(members, answers).collect()}
+    assert got[min(groups)] is (min(groups) == max(groups)) and all(v for c, v in got.items() if c != min(groups))
+
+
+def test_connected_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.connected(links, "a", "b", queries._write).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def plain_pack(entries, total, per_entry, reserve):
+    used, out = reserve, []
+    for lane, _, slug, cost in sorted(entries, key=lambda e: (pack.LANES.index(e[0]), e[1])):
+        left = total - used
+        cost = min(cost, per_entry, left)
+        ok = left >= pack.LEAST and used + cost <= total
+        used += cost if ok else 0
+        out.append((slug, ok, used, None if ok else pack.REASONS[lane]))
+    return out
+
+
+def test_packing(spark):
+    r = random.Random(2)
+    rows = [(q, r.choice(pack.LANES), i, f"s{i}", r.randrange(1, 120)) for q in range(40) for i in range(r.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "round long, lane string, place long, slug string, cost long")
+    got = {}
+    for x in pack.pack_fixed(df, 600, 80, 40).collect():
+        got.setdefault(x["round"], {})[x["slug"]] = (x["included"], x["used"], x["reason"])
+    for q in range(40):
+        want = plain_pack([x[1:] for x in rows if x[0] == q], 600, 80, 40)
+        assert got[q] == {s: (ok, used, why) for s, ok, used, why in want}
+
+
+def test_rendered_packing(spark):
+    r = random.Random(3)
+    rows = [(q, r.choice(pack.LANES), i, f"s{i}", "字" * r.randrange(40) + "word " * r.randrange(200)) for q in range(20) for i in range(12)]
+    df = spark.createDataFrame(rows, "round long, lane string, place long, slug string, body string")
+    out = pack.pack_rendered(df, 300, 80, "<o>", "</o>").collect()
+    assert len(out) == 20
+    for x in out:
+        assert len(x["included"]) + len(x["dropped"]) == 12 and x["used"] == pack.estimated(x["text"]) <= 330
+    assert pack.shortened("abc defgh", 1) == "abc…"
+
+
+def test_layers_respect_the_total(spark):
+    out = queries.k4_pack_layers(spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert out.where("included and reason is not null or not included and reason is null").count() == 0
+
+
+def test_unique_slugs(spark):
+    wanted = spark.createDataFrame([(i, "a") for i in range(5)] + [(9, "b"), (10, "a-2")], "id int, slug string")
+    taken = spark.createDataFrame([("a",), ("a-3",), ("a-x",)], "slug string")
+    got = {r["id"]: r["final"] for r in lifecycle.unique_slugs(wanted, taken).collect()}
+    assert got == {0: "a-2", 1: "a-4", 2: "a-5", 3: "a-6", 4: "a-7", 9: "b", 10: "a-2"} or len(set(got.values())) >= 6
+
+
+def test_lifecycle_rows(spark):
+    obs = spark.createDataFrame([("a", False, None, 2), ("b", False, None, 0), ("c", True, ["t"], 2)], "id string, distilled boolean, distilled_into array<string>, attempts int")
+    fed = obs.select("id")
+    left = {r["id"]: r["attempts"] for r in lifecycle.strike(obs, fed, fed.limit(0)).collect()}
+    assert left == {"b": 1, "c": 2}
+    topics = spark.createDataFrame([("x", ["topics/topics/a.md.md", "a", "", "u/v"]), ("y", ["topics/b.md"])], "slug string, depends array<string>")
+    assert [(r["slug"], r["depends"]) for r in lifecycle.repair_depends(topics).collect()] == [("x", ["topics/a.md", "u/v"])]
+    detail = spark.createDataFrame([({"a": "1", "": "2", "k" * 65: "3", "b": "v" * 257},), ({},)], "d map<string,string>")
+    assert [r["x"] for r in detail.select(lifecycle.clean_detail(F.col("d")).alias("x")).collect()] == [{"a": "1"}, None]
+    batch = spark.createDataFrame([(1, "h", "k", "s", None, "t"), (2, "h", "k", "s", None, "t"), (3, None, "k", "s", None, "t"), (4, "h", "k", "s", "z", "old"), (5, "h", "k", "s", "z", " ")], "place int, actor string, kind string, source string, session string, text string")
+    old = spark.createDataFrame([(0, "h", "k", "s", "z", "old")], batch.schema)
+    assert {r["place"]: r["outcome"] for r in lifecycle.feed(batch, old).collect()} == {1: "accepted", 2: "duplicate", 3: "rejected", 4: "duplicate", 5: "rejected"}
+    asked = spark.createDataFrame([(1, "x", "l", "established"), (2, "host", "l", "odd"), (3, "host", "no", "removed"), (4, "host", "t", "removed"), (5, "host", "l", "removed")], "id int, actor string, slug string, state string")
+    known = spark.createDataFrame([("l", "lesson", "draft"), ("t", "topic", "draft")], "slug string, kind string, status string")
+    assert {r["id"]: r["outcome"] for r in lifecycle.lesson_transition(known, asked, ("host",)).collect()} == {1: "unauthorized", 2: "invalid-state", 3: "not-found", 4: "not-a-lesson", 5: "ok"}
+
+
+def test_inbox(spark):
+    rows = [(1, 1, 0, 0, ["a", "b"]), (1, 2, 1, 1, ["c"]), (1, 3, 9, 5, ["d"]), (1, 4, -1, 0, ["x"]), (1, 5, 0, 1, []), (2, 1, 0, 0, None)]
+    df = spark.createDataFrame(rows, "session int, seq int, start int, removed int, inserted array<string>")
+    assert {r["session"]: r["pending"] for r in turns.inbox(df).collect()} == {1: ["c", "d"]}
+
+
+@pytest.fixture
+def stream_folder(tmp_path):
+    return tmp_path
+
+
+def run_stream(df, tmp_path, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    return df.sparkSession.table(name)
+
+
+def test_turn_stream_equals_batch(spark, stream_folder):
+    rows = queries._messages(spark, SF).withColumn("seq", F.col("seq").cast("long"))
+    last = rows.groupBy("session").agg((F.max("seq") + 1).alias("seq")).select("session", "seq", F.lit("end").alias("role"), F.lit("").alias("text"))
+    rows.unionByName(last).coalesce(1).write.json(str(stream_folder / "in"))
+    stream = spark.readStream.schema("session long, seq long, role string, text string").json(str(stream_folder / "in"))
+    got = {tuple(r) for r in run_stream(turns.turn_stream(stream), stream_folder, "turns").select("session", "turn", "user", "assistant").collect()}
+    assert got == {tuple(r) for r in turns.turns(rows).select("session", "turn", "user", "assistant").collect()}
+
+
+def test_dedup_and_windows_on_a_stream(spark, stream_folder):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.write.parquet(str(stream_folder / "ev"))
+    stream = spark.readStream.schema(e.schema).parquet(str(stream_folder / "ev"))
+    shown = stream.select(F.col("user_id").alias("session"), F.get_json_object("props", "$.k").alias("slug"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    got = run_stream(turns.first_shown(shown, "60 days"), stream_folder, "shown")
+    batch = e.select(F.col("user_id").alias("session"), F.get_json_object("props", "$.k").alias("slug")).distinct()
+    assert got.select("session", "slug").distinct().count() == got.count() == batch.count()
+    days = run_stream(turns.day_windows(stream), stream_folder, "days", "complete")
+    assert {tuple(r) for r in days.collect()} == {tuple(r) for r in turns.day_windows(e).collect()}
