@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import identity, same, ship, staged, text_of, unstage
+from loam.llm.common import identity, release, same, ship, staged, text_of, unstage
 from loam.llm.grouping import Forest, components, dealt, spread
 from loam.llm.shingles import sets
 
@@ -264,16 +264,20 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     posts = postings(rows, k, percent, common)
     pivots = posts.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("h", "pivot")
     pivots = staged(pivots, "pivots")
+    release(spark)
     members = posts.join(pivots.hint("merge"), "h").select("pivot", "node", "n").distinct()
     members = staged(members, "members")
+    release(spark)
     sigs = every.select("node", "n", "sig").where("n > 0").groupBy("node", "n").agg(F.first("sig").alias("sig"))
     able = staged(_survivors(dealt(members.join(sigs.hint("merge"), ["node", "n"]), "pivot", "node"), percent), "survivors")
+    release(spark)
 
     # The sets of the nodes that are left, each from one document that has it.
     picked = able.select("node").distinct()
     one = every.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).join(picked.hint("merge"), "node").select(F.col("x.doc_id").alias("k_doc"), F.col("x.text_key").alias("k_text"))
     texts = rows.join(one.distinct().hint("merge"), rows["doc_id"].eqNullSafe(F.col("k_doc")) & (rows["text_key"] == F.col("k_text"))).select("text")
     full = staged(_full_sets(texts, k), "full-sets")
+    release(spark)
     found = _links(dealt(able.join(full.hint("merge"), "node"), "pivot", "node"), percent)
     links = staged(found, "links")
     unstage(pivots, members, able, full)
