@@ -202,3 +202,49 @@ def distinct_lower(tags: Column) -> Column:
 
 def is_iso_instant(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}")
+
+
+def matched_tokens(tokens: Column, on: Column) -> Column:
+    """The tokens, in order, that a surface holds whole or in all of their parts."""
+    return F.array_distinct(F.filter(tokens, lambda t: token_matches(F.lower(t), on, strict=True)))
+
+
+def anchors_entity(tokens: Column, slug: Column, title: Column) -> Column:
+    """Whether any token, or a part of one, is on the surface of a topic's slug and title."""
+    on = surface(F.concat(slug, F.lit(" "), title))
+    return F.exists(tokens, lambda t: token_matches(F.lower(t), on))
+
+
+def truncate_utf8(text: Column, most: int) -> Column:
+    """The longest prefix of whole characters within so many bytes of UTF-8."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"))
+    step = lambda a, c: F.when(a["used"] + F.octet_length(c) <= most, F.struct((a["used"] + F.octet_length(c)).alias("used"), (a["n"] + F.when(c == "", 0).otherwise(1)).alias("n"))).otherwise(F.struct(F.lit(most + 1).alias("used"), a["n"].alias("n")))
+    fit = F.aggregate(F.split(F.substring(text, 1, most), ""), start, step)["n"]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, F.lit(1), fit))
+
+
+def escape_html(text: Column) -> Column:
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(c), F.lit(name))
+    return text
+
+
+def table_cell(text: Column) -> Column:
+    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit(r"\s*\n\s*"), F.lit(" "))
+
+
+def display_key(name: Column) -> Column:
+    """camelCase as kebab-case."""
+    return F.lower(F.regexp_replace(name, F.lit("([A-Z])"), F.lit("-$1")))
+
+
+def feature_line(kind: Column, detail: Column) -> Column:
+    """[kind] key=value ..., keys in order, 512 characters at most."""
+    entries = F.transform(F.array_sort(F.map_entries(F.coalesce(detail, F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.substring(F.concat(F.lit("["), kind, F.lit("]"), F.when(F.size(entries) > 0, F.concat(F.lit(" "), F.array_join(entries, " "))).otherwise("")), 1, 512)
+
+
+def trigger_word(reason: Column) -> Column:
+    """The word that a trigger reason names, empty for a bare score; null for other reasons."""
+    value = strip(F.regexp_extract(reason, r"^triggers?[:：](.*)$", 1))
+    return F.when(reason.rlike(r"^triggers?[:：]"), F.when(value.rlike(r"^[\d.+-]+$"), "").otherwise(value))

@@ -124,3 +124,39 @@ def lesson_transition(lessons: DataFrame, requests: DataFrame, actors: tuple[str
     rows = requests.join(lessons.select("slug", "kind", "status"), "slug", "left")
     outcome = F.when(~F.col("actor").isin(*actors), "unauthorized").when(~F.col("state").isin("established", "deprecated", "removed"), "invalid-state").when(F.col("kind").isNull(), "not-found").when(F.col("kind") != "lesson", "not-a-lesson").otherwise("ok")
     return rows.withColumn("outcome", outcome)
+
+
+def history(versions: DataFrame, limit: int = 20) -> DataFrame:
+    """versions (slug, rev, at, subject, body) as the newest `limit` of each topic: revision to ten characters, and the
+    first line of its conclusion."""
+    from loam.functions.text import first_line, section
+
+    rows = tail(versions, limit, "at", ["slug"])
+    return rows.select("slug", F.substring("rev", 1, 10).alias("rev"), "at", "subject", first_line(F.coalesce(section(F.col("body"), "conclusion"), F.lit(""))).alias("conclusion"))
+
+
+def archived(topics: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What goes to the archive, whole rows, and what stays. gone: slug."""
+    return topics.join(gone, "slug", "left_semi"), topics.join(gone, "slug", "left_anti")
+
+
+def conflict_paths(paths: DataFrame) -> DataFrame:
+    """path, slug: different paths of topics; others are left out."""
+    return paths.where(F.col("path").rlike(r"^topics/.+\.md$")).select("path", F.regexp_extract("path", r"^topics/(.+)\.md$", 1).alias("slug")).distinct()
+
+
+def allowed_events(events: DataFrame) -> DataFrame:
+    """Events of known kinds with their detail cleaned."""
+    return events.where(F.col("kind").isin(*EVENT_KINDS)).withColumn("detail", clean_detail(F.col("detail")))
+
+
+def consolidated(topics: DataFrame, ops: DataFrame, now: str) -> DataFrame:
+    """topics after ops (op, slug, target) that name topics: deprecate and promote set the status, refresh the time, merge
+    deprecates a topic and gives its tags to the target."""
+    some = ops.join(topics.select("slug"), "slug", "left_semi")
+    flags = some.groupBy("slug").agg(*[F.bool_or(F.col("op") == o).alias(f"_{o}") for o in ("merge", "promote", "deprecate", "refresh")])
+    given = some.where("op = 'merge'").join(topics.select("slug", F.explode("tags").alias("tag")), "slug").where("target <> slug").groupBy(F.col("target").alias("slug")).agg(F.array_sort(F.collect_set("tag")).alias("_given"))
+    rows = topics.join(flags, "slug", "left").join(given, "slug", "left")
+    status = F.when(F.col("_deprecate") | F.col("_merge"), "deprecated").when(F.col("_promote"), "stable").otherwise(F.col("status"))
+    made = F.when(F.col("_refresh"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("generated_at"))
+    return rows.withColumns({"status": status, "generated_at": made, "tags": F.array_union("tags", F.coalesce("_given", F.array().cast("array<string>")))}).select(*topics.columns)

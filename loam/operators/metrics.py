@@ -154,3 +154,13 @@ def heartbeat(rounds: DataFrame, opens: DataFrame, now: str) -> DataFrame:
 
 def status_counts(topics: DataFrame) -> DataFrame:
     return topics.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def echoes(found: DataFrame) -> DataFrame:
+    """One row: how many hits were the session's own. found: outcome."""
+    return found.agg(F.count(F.when(F.col("outcome") == "echoed", 1)).alias("echoes"), F.count(F.when(F.col("outcome") == "deduped", 1)).alias("deduped"))
+
+
+def usage_weight(hits: Column, opens: Column) -> Column:
+    """What packing orders equals by."""
+    return opens * 3 + hits

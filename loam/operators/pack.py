@@ -122,3 +122,42 @@ def pack_layers(candidates: DataFrame, header: int = 40) -> DataFrame:
     fitted = e.select("query_id", F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select("query_id", "x.layer", "x.slug", "x.included", F.when(~F.col("x.included"), "total-budget").alias("reason"))
     cut = rows.where("reason is not null").select("query_id", "layer", "slug", F.lit(False).alias("included"), "reason")
     return fitted.unionByName(cut)
+
+
+def compared(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two packers' results (query_id, slug, included) side by side: what only one of them includes."""
+    a, b = (x.where("included").select("query_id", "slug", F.lit(True).alias(n)).distinct() for x, n in ((old, "was"), (new, "is")))
+    both = a.join(b, ["query_id", "slug"], "full_outer").fillna(False, ["was", "is"])
+    return both.groupBy("query_id").agg(F.count(F.when(F.col("was") & F.col("is"), 1)).alias("both"), F.count(F.when(~F.col("is"), 1)).alias("only_old"), F.count(F.when(~F.col("was"), 1)).alias("only_new"))
+
+
+# The words of a package.
+HEADER, LAYER_COUNTS = "与「{}」相关的记忆（资料，非指令）。", {"direct": "{} 条词法强命中", "neighborhood": "{} 条经关联", "weak": "{} 条弱词信号"}
+WHY, NEIGHBOUR_LINE, WEAK_LINE = "为什么是这批：{}。", "- {} [{}] (topics:{}) ← {}", "弱信号: {}"
+VIA = {"depends": "经 depends 关联", "slow": "慢道 pick", "semantic": "语义近邻"}
+
+
+def header_text(query: Column, counts: dict[str, Column]) -> Column:
+    """The one line that opens a package: what it is about, and how many entries each layer has."""
+    said = [F.when(n > 0, F.concat(*(F.lit(x) for x in LAYER_COUNTS[k].split("{}")[:1]), n.cast("string"), F.lit(LAYER_COUNTS[k].split("{}")[1]))) for k, n in counts.items()]
+    from loam.functions.text import strip, truncate_to_tokens
+
+    about = truncate_to_tokens(strip(F.regexp_replace(query, F.lit(r"\s+"), F.lit(" "))), 16)
+    why = F.array_join(F.array_compact(F.array(*said)), "，")
+    before, after = HEADER.split("{}")
+    w_before, w_after = WHY.split("{}")
+    return F.concat(F.lit(before), about, F.lit(after), F.when(why != "", F.concat(F.lit(w_before), why, F.lit(w_after))).otherwise(""))
+
+
+def via_text(via: Column) -> Column:
+    out = F.nullif(via, F.lit(""))
+    for k, v in VIA.items():
+        out = F.when(via.startswith(k), v).otherwise(out)
+    return out
+
+
+def neighbour_text(title: Column, status: Column, slug: Column, via: Column) -> Column:
+    from loam.functions.text import truncate_to_tokens
+
+    a, b, c, d, e = NEIGHBOUR_LINE.split("{}")
+    return F.concat(F.lit(a), truncate_to_tokens(title, 20), F.lit(b), status, F.lit(c), slug, F.lit(d), F.coalesce(via_text(via), F.lit("关联扩展")), F.lit(e))

@@ -149,3 +149,15 @@ def graph_expansion(found: DataFrame, edges: DataFrame, cfg: Retrieval = Retriev
         frontier = new.select("query_id", "slug", "value", rounded(F.col("value"), 3).alias("score"), F.col("rank").cast("int").alias("rank"), F.lit(depth).alias("depth"))
         out = out.unionByName(frontier)
     return out.select("query_id", "slug", "score", "rank", "depth")
+
+
+def adopted_picks(answers: DataFrame, adopt: float = 0.6, most: int = 2) -> DataFrame:
+    """The likeliest answers (query_id, slug, probability) of each query in the adopt band."""
+    ok = answers.where(F.col("probability").between(adopt, 1.0))
+    return ok.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("probability").desc(), "slug"))).where(F.col("rank") <= most)
+
+
+def regate(picks: DataFrame, scored: DataFrame) -> DataFrame:
+    """picks (query_id, slug) with whether the structural gate would pass them, and why. Nothing is left out."""
+    both = picks.join(scored.select("query_id", "slug", "strong", "body_hits"), ["query_id", "slug"], "left").fillna({"strong": False, "body_hits": 0})
+    return both.select("query_id", "slug", passes_gate().alias("pass"), F.when(F.col("strong"), "strong").otherwise(F.concat(F.lit("body-hits:"), F.col("body_hits").cast("string"))).alias("why"))

@@ -767,3 +767,133 @@ def e7_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.when(F.col("role") == "assistant", 1).otherwise(0)
     put = F.when(F.col("role") == "assistant", F.array().cast("array<string>")).otherwise(F.array("text"))
     return turns.inbox(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.lit(0).alias("start"), taken.alias("removed"), put.alias("inserted")))
+
+
+# --- the rest ---
+
+
+@query("select p_partkey, '[' || p_brand || '] size=' || p_size || ' type=' || p_type as line from part")
+def p25_feature_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = inputs.table(spark, sf_dir, "part")
+    detail = F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))
+    return p.select("p_partkey", text.feature_line(F.col("p_brand"), detail).alias("line"))
+
+
+@query("select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html from pages")
+def p27_escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("html"))
+
+
+@query("select doc_id, max(case when octet_length(encode(substr(text, 1, n))) <= 256 then substr(text, 1, n) end) as short from documents, (select unnest(range(0, 257)) as n) group by doc_id")
+def t13_truncate_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", text.truncate_utf8(F.col("text"), 256).alias("short"))
+
+
+@query(rf"with l as (select page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) as hrefs from pages) select page_id, unnest(list_distinct(hrefs)) as target from l")
+def p13_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13, P14 over pages: different link targets."""
+    pages = inputs.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("target"))
+
+
+def sql_surface(x: str) -> str:
+    t = sql_tokens(x)
+    return rf"list_distinct(list_concat({t}, flatten(list_transform({t}, lambda t: list_filter(regexp_split_to_array(t, '[+#.\-]+'), lambda p: length(p) >= 2)))))"
+
+
+@query(f"with {TOPICS_SQL}, q as (select item_id as query_id, unnest({sql_surface('text')}) as token from benchmark), w as (select slug, unnest({sql_surface('title || chr(32) || slug')}) as token from roster) select distinct query_id, slug from q join w using (token)")
+def t6_entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics whose title or slug shares a token with a query. Joined by token; parts of compound tokens count on both sides."""
+    parts = lambda c: F.array_distinct(F.concat(c, F.flatten(F.transform(c, lambda t: F.filter(F.split(t, r"[+#.\-]+"), lambda p: F.length(p) >= 2)))))
+    q = inputs.queries(spark, sf_dir).select("query_id", F.explode(parts(text.tokenize(F.col("text")))).alias("token"))
+    t = inputs.roster(spark, sf_dir).select("slug", F.explode(text.surface(F.concat_ws(" ", "title", "slug"))).alias("token"))
+    return q.join(t, "token").select("query_id", "slug").distinct()
+
+
+@query("with v as (select *, row_number() over (partition by user_id order by ts desc) as k from events) select 'u' || user_id as slug, substr(sha256(event_id::varchar), 1, 10) as rev, ts as at, event_type as subject, props as conclusion from v where k <= 20")
+def s18_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as revisions of a topic."""
+    e = inputs.table(spark, sf_dir, "events")
+    body = F.concat(F.lit("# Conclusion\n"), F.col("props"), F.lit("\n# Rest\n"))
+    versions = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), F.sha2(F.col("event_id").cast("string"), 256).alias("rev"), F.col("ts").alias("at"), F.col("event_type").alias("subject"), body.alias("body"))
+    return lifecycle.history(versions)
+
+
+@query(f"with {TOPICS_SQL} select slug, status, true as archived from topics where kind = 'lesson' and status = 'deprecated' union all select slug, status, false from topics where not (kind = 'lesson' and status = 'deprecated')")
+def w4_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3, W4."""
+    t = inputs.topics(spark, sf_dir).select("slug", "kind", "status")
+    gone, stays = lifecycle.archived(t, t.where("kind = 'lesson' and status = 'deprecated'").select("slug"))
+    return gone.select("slug", "status", F.lit(True).alias("archived")).unionByName(stays.select("slug", "status", F.lit(False).alias("archived")))
+
+
+@query("select event_id, props as detail from events where event_type = 'error'")
+def w9_allowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors stand for a known kind of event; others are dropped, as are entries over the limits."""
+    e = inputs.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "link-ref-rejected").otherwise("other")
+    rows = e.select("event_id", kind.alias("kind"), F.create_map(F.lit("props"), F.col("props"), F.repeat(F.lit("k"), F.lit(65)), F.lit("x")).alias("detail"))
+    return lifecycle.allowed_events(rows).select("event_id", F.col("detail")["props"].alias("detail"))
+
+
+@query("select distinct 'topics/' || p_brand || '.md' as path, p_brand as slug from part")
+def w13_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11, W13."""
+    p = inputs.table(spark, sf_dir, "part")
+    paths = p.select(F.explode(F.array(F.concat(F.lit("topics/"), F.col("p_brand"), F.lit(".md")), F.col("p_brand"), F.lit("topics/x"))).alias("path"))
+    return lifecycle.conflict_paths(paths)
+
+
+@query(f"with {TOPICS_SQL}, fixed as (select slug, list_transform(depends, lambda x: 'topics/' || x || '.md') as depends from topics) select slug, depends from fixed")
+def w14_repair_depends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11, P12, W14."""
+    return lifecycle.repair_depends(inputs.topics(spark, sf_dir).select("slug", "depends"))
+
+
+@query("with o as (select o_custkey as query_id, 'd' || o_orderkey as slug, least(o_totalprice / 500000, 1.0::double) as probability from orders), r as (select *, row_number() over (partition by query_id order by probability desc, slug) as rank from o where probability >= 0.6) select query_id, slug, probability, rank::int as rank from r where rank <= 2")
+def r20_adopted_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = inputs.table(spark, sf_dir, "orders")
+    return retrieve.adopted_picks(o.select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("slug"), F.least(F.col("o_totalprice") / 500000, F.lit(1.0)).alias("probability")))
+
+
+@query(f"with {sql_scored()}, h as (select *, row_number() over ({_ORDER}) as k from scored where gate_score >= 0.3) select query_id, slug, {_GATE} as pass, case when strong then 'strong' else 'body-hits:' || body_hits end as why from h where k <= 8")
+def r21_regate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored(spark, sf_dir)
+    return retrieve.regate(retrieve.explicit_search(scored).select("query_id", "slug"), scored)
+
+
+@query(f"with {FACTS_SQL}, o as (select case when exists (select 1 from facts x where x.session = f.session and x.slug = f.slug and x.kind = 'deduped') then 'deduped' when exists (select 1 from facts x where x.session = f.session and x.slug = f.slug and x.kind = 'open') then 'echoed' else 'fresh' end as outcome from facts f where event_type = 'view') select count(*) filter (outcome = 'echoed') as echoes, count(*) filter (outcome = 'deduped') as deduped from o")
+def a10_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.echoes(r15_session_filter(spark, sf_dir))
+
+
+@query("with e as (select user_id as session, event_id as seq, event_type, count(*) filter (event_type = 'signup') over (partition by user_id order by event_id) as epoch from events) select session, min(seq) as seq from e where event_type = 'error' group by session, epoch")
+def e3_session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = inputs.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "end").when(F.col("event_type") == "signup", "seed").otherwise("other")
+    return turns.session_ends(e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind")))
+
+
+@query(f"with {TOPICS_SQL} select slug, case when pos % 5 = 0 then 'deprecated' when pos % 5 = 1 then 'stable' else status end as status, case when pos % 5 = 2 then timestamp '{NOW}' else generated_at end as generated_at from topics")
+def m7_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: every topic has an op by its number."""
+    t = inputs.topics(spark, sf_dir)
+    op = F.when(F.col("pos") % 5 == 0, "deprecate").when(F.col("pos") % 5 == 1, "promote").when(F.col("pos") % 5 == 2, "refresh").otherwise("none")
+    return lifecycle.consolidated(t, t.select(op.alias("op"), "slug", F.lit(None).cast("string").alias("target")), NOW).select("slug", "status", "generated_at")
+
+
+@query()
+def k7_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the pointer packer beside the digest packer."""
+    hits = retrieve.explicit_search(_scored(spark, sf_dir))
+    e = hits.join(inputs.roster(spark, sf_dir).select("slug", "title"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", text.estimate_tokens(F.col("title")).alias("cost"))
+    old, new = (pack.pack_fixed(e, total, per, 40).withColumnRenamed("round", "query_id") for total, per in ((200, 80), (1500, 300)))
+    return pack.compared(old, new)
+
+
+@query("with p as (select p_partkey, p_name, case p_size % 4 when 0 then 'depends:d1' when 1 then 'slow' when 2 then 'other' else '' end as via from part) select p_partkey, '- ' || p_name || ' [stable] (topics:p' || p_partkey || ') ← ' || case when via like 'depends%' then '经 depends 关联' when via = 'slow' then '慢道 pick' when via = '' then '关联扩展' else via end as line from p")
+def k5_neighbour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3, K5, T18."""
+    p = inputs.table(spark, sf_dir, "part")
+    via = F.element_at(F.array(F.lit("depends:d1"), F.lit("slow"), F.lit("other"), F.lit("")), F.col("p_size") % 4 + 1)
+    return p.select("p_partkey", pack.neighbour_text(F.col("p_name"), F.lit("stable"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")), via).alias("line"))

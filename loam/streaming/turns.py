@@ -96,3 +96,11 @@ def day_windows(events: DataFrame, watermark: str = "2 days") -> DataFrame:
         rows = rows.withWatermark("at", watermark)
     out = rows.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("cents"))
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n", "cents")
+
+
+def session_ends(events: DataFrame) -> DataFrame:
+    """session, seq: the end that counts. Ends may come twice; the first fires, and no other until the session is seeded
+    again. events: session, seq, kind (end, seed, other)."""
+    w = Window.partitionBy("session").orderBy("seq")
+    rows = events.withColumn("epoch", F.count(F.when(F.col("kind") == "seed", 1)).over(w)).where("kind = 'end'")
+    return rows.groupBy("session", "epoch").agg(F.min("seq").alias("seq")).select("session", "seq")
