@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import ascii_lower, identity, same, staged, text_of, unstage
+from loam.llm.common import ascii_lower, identity, release, same, staged, text_of, unstage
 
 FIRST_DIGIT, GROWTH = 64, 8
 
@@ -58,6 +58,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         width, level = width * GROWTH, level + 1
     every = reduce(DataFrame.unionByName, done)
     # Rows that repeat the largest id of a group: the first in place stays.
+    release(docs.sparkSession)
     first = every.where("group_size > 1 and doc_id <=> keep_id").groupBy("level", "grp").agg(F.min("place").alias("place")).select("level", "place", F.lit(True).alias("won"))
     return every.join(first, ["level", "place"], "left").select("doc_id", "keep_id", "group_size", (F.col("won").isNotNull() | (F.col("group_size") == 1)).alias("kept"), "text_sha256", "text_key")
 
@@ -76,7 +77,7 @@ def without(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> D
     keys = identity(id_col, text_of(text_col))
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[k.alias(n) for k, n in zip(keys, ("k_doc", "k_text"), strict=True)])
     gone = marked.select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"), "any_kept")
-    out = row.join(gone, same(row, gone, "k_doc", "k_text"), "left_anti")
+    out = row.join(gone.hint("merge"), same(row, gone, "k_doc", "k_text"), "left_anti")
     if not (again := gone.where("any_kept")).isEmpty():
-        out = out.unionByName(row.join(again, same(row, again, "k_doc", "k_text"), "left_semi").dropDuplicates(["k_doc", "k_text"]))
+        out = out.unionByName(row.join(again.hint("merge"), same(row, again, "k_doc", "k_text"), "left_semi").dropDuplicates(["k_doc", "k_text"]))
     return out.select("row.*")

@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *keys)
 
     def drawn(names: DataFrame) -> DataFrame:
-        return rows.join(names, rows["doc_id"].eqNullSafe(names["k_doc"]) & (rows["text_key"] == names["k_text"])).select("row", "k_doc", "k_text", "copies")
+        return rows.join(names.hint("merge"), rows["doc_id"].eqNullSafe(names["k_doc"]) & (rows["text_key"] == names["k_text"])).select("row", "k_doc", "k_text", "copies")
 
     out = drawn(found.where("times = 1"))
     if not (again := found.where("times > 1")).isEmpty():

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import identity, release, same, ship, staged, text_of, unstage
+from loam.llm.common import identity, release, ship, staged, text_of, unstage
 from loam.llm.grouping import Forest, components, dealt, spread
 from loam.llm.shingles import sets
 
