@@ -13,7 +13,7 @@ _VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint
 _VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that are worked off at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,6 +14,8 @@ from loam.llm.shingles import mix, rolled, slices, words
 #: Words of a paragraph, of a shingle; half the span of words over which an anchor's hash is the least; bands (of one row each).
 PARAGRAPH, SHINGLE, REACH, BANDS = 24, 5, 4, 2
 PERCENT = 80
+#: Pairs that are compared at a time; what fills short sets.
+PAIRS, FILL = 16_384, np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -125,30 +127,62 @@ def spelt(docs: DataFrame, **shape) -> DataFrame:
     return docs.mapInArrow(run, "band long, name long, shingles binary")
 
 
+def padded(shingles, offset: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a binary Arrow array as rows of a matrix, filled with the largest value; and their sizes."""
+    ends = np.frombuffer(shingles.buffers()[1], dtype=np.int32)[shingles.offset + offset : shingles.offset + offset + n + 1].astype(np.int64) // 8
+    sizes = np.diff(ends)
+    out = np.full((n, max(1, int(sizes.max(initial=1)))), FILL, dtype=np.uint64)
+    values = np.frombuffer(shingles.buffers()[2], dtype=np.uint64, count=int(ends[-1]))[int(ends[0]) :]
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out, sizes
+
+
+def similar(sets: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of rows i and j have a Jaccard similarity of percent / 100 or more."""
+    out = np.zeros(len(i), dtype=bool)
+    near = np.flatnonzero(100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+    for at in (near[k : k + PAIRS] for k in range(0, len(near), PAIRS)):
+        x, y = sets[i[at]], sets[j[at]]
+        y = np.where(y == FILL, FILL - np.uint64(1), y)
+        shared = np.zeros(len(at), dtype=np.int64)
+        for c in range(y.shape[1]):
+            shared += (x == y[:, c : c + 1]).any(axis=1)
+        out[at] = 100 * shared >= percent * (sizes[i[at]] + sizes[j[at]] - shared)
+    return out
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: a spanning forest of the names in each task whose paragraphs are similar."""
+    """u, v: a spanning forest of the names in each task whose paragraphs are similar. Tasks of one size are worked off
+    together; the pairs of one task are at most those of two blocks."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            us, vs = [], []
-            for m in batch.column("m").to_pylist():
-                sets = [np.frombuffer(x["shingles"], dtype=np.uint64) for x in m]
-                own, two = [x["own"] for x in m], len({x["own"] for x in m}) > 1
-                forest = Forest(len(m))
-                index: dict[int, list[int]] = {}
-                for j, s in enumerate(sets):  # overlaps by an index of shingles
-                    shared: dict[int, int] = {}
-                    for g in s.tolist():
-                        for i in index.setdefault(g, []):
-                            shared[i] = shared.get(i, 0) + 1
-                        index[g].append(j)
-                    for i, n in shared.items():
-                        if (not two or own[i] != own[j]) and 100 * n >= percent * (len(sets[i]) + len(s) - n) and forest.join(i, j):
-                            us.append(m[i]["name"])
-                            vs.append(m[j]["name"])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        for whole in batches:
+            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+                lists = batch.column("m")
+                counts = np.diff(lists.offsets.to_numpy())
+                first, total = lists.offsets[0].as_py(), int(counts.sum())
+                names, own = (lists.values.field(c).to_numpy()[first : first + total] for c in ("name", "own"))
+                sets, sizes = padded(lists.values.field("shingles"), first, total)
+                starts, us, vs, forest = np.cumsum(counts) - counts, [], [], Forest(total)
+                for n in np.unique(counts):
+                    i, j = np.triu_indices(n, 1)
+                    groups = starts[counts == n]
+                    for part in (groups[k : k + max(1, PAIRS // len(i))] for k in range(0, len(groups), max(1, PAIRS // len(i)))):
+                        a, b = ((part[:, None] + x).ravel() for x in (i, j))
+                        if n > 2:  # of two blocks only the pairs across count
+                            two = np.array([own[g : g + n].min() != own[g : g + n].max() for g in part])
+                            some = ~np.repeat(two, len(i)) | (own[a] != own[b])
+                            a, b = a[some], b[some]
+                        hit = similar(sets, sizes, a, b, percent)
+                        a, b = a[hit], b[hit]
+                        if n > 3 and len(a):
+                            kept = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if forest.join(x, y)]
+                            a, b = a[kept], b[kept]
+                        us.append(names[a])
+                        vs.append(names[b])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (us, vs)], names=["u", "v"])
 
     lists = spread(rows, "band", "a", "b").groupBy("band", "a", "b").agg(F.collect_list(F.struct("name", "shingles", "own")).alias("m"))
     return lists.where(F.size("m") > 1).select("m").mapInArrow(run, "u long, v long")
