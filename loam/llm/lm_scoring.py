@@ -234,6 +234,21 @@ def column_log_sum(rows: list[np.ndarray]) -> np.ndarray:
         return safe + np.log(np.exp(x - safe).sum(axis=0))
 
 
+def gathered(batches, rows: int = 100_000):
+    """Arrow batches put together to about so many rows: words of one length are then enough for a vector."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def decoded(word: bytes) -> str:
     return word.decode("utf-8", "surrogateescape")
 
@@ -323,7 +338,7 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
         import pyarrow as pa
 
         s = Speller(pieces.value, *model.value)
-        for batch in batches:
+        for batch in gathered(batches):
             spelt = s.log_probs([decoded(w) for w in batch.column("word").to_pylist()]) + math.log(left)
             c = batch.column("c").to_numpy().astype(np.float64)
             whole = np.log(np.where(c > 0, c - discount, 1.0) / max(1, total))
@@ -375,7 +390,7 @@ def _estimated(words: DataFrame, pieces, weight: np.ndarray, stop: float, types:
 
         s = Speller(pieces.value, *sent.value)
         counts = np.zeros(len(s.score))
-        for batch in batches:
+        for batch in gathered(batches):
             s.add_expected([decoded(w) for w in batch.column("word").to_pylist()], counts)
         some = np.flatnonzero(counts > 0)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
