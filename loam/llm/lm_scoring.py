@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loam.llm.common import id_bucket, partitions, release, ship, staged, text_of
 
 #: Bytes of text in a block, and what piece counts are smoothed with.
-BLOCK, SMOOTH = 16 << 20, 0.1
+BLOCK, SMOOTH = 8 << 20, 0.1
 #: Re-estimations of the pieces' weights.
 ROUNDS = 4
 MARK = "▁"
