@@ -13,10 +13,10 @@ from loam.llm.common import id_bucket, ship, text_of
 
 UNKNOWN = "und"
 #: Units of each direction; bytes of a window; the byte value that fills windows.
-UNITS, SPAN, FILL = 8, 128, 256
+UNITS, SPAN, FILL = 12, 128, 256
 #: The training sample: windows of each language at most (on average), windows of one document at most.
-SAMPLE, PER_DOC = 1500, 12
-STEPS, BATCH, RATE = 260, 160, 0.03
+SAMPLE, PER_DOC = 3000, 24
+STEPS, BATCH, RATE = 400, 192, 0.03
 LETTER = regex.compile(r"\p{L}")
 
 
