@@ -88,7 +88,8 @@ def text_of(name: str = "text") -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, UPPER.lower())
+    """A-Z lower-cased. translate() looks up each character; text of ASCII alone takes the byte loop of lower()."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
 def n_words(c: Column) -> Column:
