@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loam.llm.common import ship, text_of
 
 #: Pre-tokens that a worker remembers; beyond, it begins anew.
-REMEMBER = 800_000
+REMEMBER = 400_000
 
 
 class PerfectHash:
