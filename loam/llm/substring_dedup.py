@@ -14,8 +14,8 @@ from loam.llm.shingles import mix, rolled, slices, words
 #: Words of a paragraph, of a shingle; half the span of words over which an anchor's hash is the least; bands (of one row each).
 PARAGRAPH, SHINGLE, REACH, BANDS = 24, 5, 4, 2
 PERCENT = 80
-#: Pairs that are compared at a time; what fills short sets.
-PAIRS, FILL = 16_384, np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Pairs, and members of tasks, that are worked off at a time; what fills short sets.
+PAIRS, MEMBERS, FILL = 16_384, 32_768, np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -151,38 +151,60 @@ def similar(sets: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, p
     return out
 
 
+def candidates(sets: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that can be similar: with each group's shingles in order of how many of its rows hold them, two
+    sets as similar as that share one of their first n - ceil(percent * n / 100) + 1. What all rows share comes last."""
+    m, width = sets.shape
+    there = np.arange(width) < sizes[:, None]
+    keys = mix(sets ^ (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+    _, where, times = np.unique(keys[there], return_inverse=True, return_counts=True)
+    place = np.full((m, width), len(times), dtype=np.int64)
+    place[there] = where
+    often = np.append(times, np.iinfo(np.int32).max)[place]
+    first = np.argsort(often * (len(times) + 1) + place, axis=1, kind="stable")
+    place, often = (np.take_along_axis(x, first, axis=1) for x in (place, often))
+    head = (np.arange(width) < (sizes - -(-percent * sizes // 100) + 1)[:, None]) & there & (often > 1)
+    row, token = np.nonzero(head)[0], place[head]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    counts = np.diff(np.r_[starts, len(token)])
+    pairs = [np.empty(0, np.int64)]
+    for n in np.unique(counts[counts > 1]):
+        i, j = np.triu_indices(n, 1)
+        runs = starts[counts == n]
+        pairs += [np.unique((row[part[:, None] + i] * m + row[part[:, None] + j]).ravel()) for part in (runs[k : k + max(1, PAIRS // len(i))] for k in range(0, len(runs), max(1, PAIRS // len(i))))]
+    both = np.unique(np.concatenate(pairs))
+    return both // m, both % m
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: a spanning forest of the names in each task whose paragraphs are similar. Tasks of one size are worked off
-    together; the pairs of one task are at most those of two blocks."""
+    """u, v: a spanning forest of the names in each task whose paragraphs are similar. Many tasks are worked off together."""
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-                lists = batch.column("m")
+            upto = np.cumsum(np.diff(whole.column("m").offsets.to_numpy())) // MEMBERS  # runs of tasks with about MEMBERS members
+            cuts = np.r_[0, np.flatnonzero(np.diff(upto)) + 1, whole.num_rows]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                lists = whole.column("m").slice(lo, hi - lo)
                 counts = np.diff(lists.offsets.to_numpy())
+                if not len(counts):
+                    continue
                 first, total = lists.offsets[0].as_py(), int(counts.sum())
                 names, own = (lists.values.field(c).to_numpy()[first : first + total] for c in ("name", "own"))
                 sets, sizes = padded(lists.values.field("shingles"), first, total)
-                starts, us, vs, forest = np.cumsum(counts) - counts, [], [], Forest(total)
-                for n in np.unique(counts):
-                    i, j = np.triu_indices(n, 1)
-                    groups = starts[counts == n]
-                    for part in (groups[k : k + max(1, PAIRS // len(i))] for k in range(0, len(groups), max(1, PAIRS // len(i)))):
-                        a, b = ((part[:, None] + x).ravel() for x in (i, j))
-                        if n > 2:  # of two blocks only the pairs across count
-                            two = np.array([own[g : g + n].min() != own[g : g + n].max() for g in part])
-                            some = ~np.repeat(two, len(i)) | (own[a] != own[b])
-                            a, b = a[some], b[some]
-                        hit = similar(sets, sizes, a, b, percent)
-                        a, b = a[hit], b[hit]
-                        if n > 3 and len(a):
-                            kept = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if forest.join(x, y)]
-                            a, b = a[kept], b[kept]
-                        us.append(names[a])
-                        vs.append(names[b])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (us, vs)], names=["u", "v"])
+                group = np.repeat(np.arange(len(counts)), counts)
+                starts = np.cumsum(counts) - counts
+                two = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))[group]
+                a, b = candidates(sets, sizes, group, percent)
+                some = ~two[a] | (own[a] != own[b])  # of two blocks only the pairs across count
+                a, b = a[some], b[some]
+                hit = similar(sets, sizes, a, b, percent)
+                forest = Forest(total)
+                kept = [k for k, (x, y) in enumerate(zip(a[hit].tolist(), b[hit].tolist(), strict=True)) if forest.join(x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[x[hit][kept]], pa.int64()) for x in (a, b)], names=["u", "v"])
 
     lists = spread(rows, "band", "a", "b").groupBy("band", "a", "b").agg(F.collect_list(F.struct("name", "shingles", "own")).alias("m"))
     return lists.where(F.size("m") > 1).select("m").mapInArrow(run, "u long, v long")
