@@ -253,19 +253,33 @@ def decoded(word: bytes) -> str:
     return word.decode("utf-8", "surrogateescape")
 
 
+def packed_terms(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """A document's words as gaps between rising places, and counts, each in as few bytes as all of them need."""
+    gaps = np.diff(places, prepend=0)
+    wide, large = int(gaps.max(initial=0) >= 1 << 16), int(counts.max(initial=0) >= 1 << 8)
+    return bytes([2 * wide + large]) + gaps.astype("<u4" if wide else "<u2").tobytes() + counts.astype("<u4" if large else "u1").tobytes()
+
+
+def terms_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts."""
+    gap, count = np.dtype("<u4" if data[0] & 2 else "<u2"), np.dtype("<u4" if data[0] & 1 else "u1")
+    n = (len(data) - 1) // (gap.itemsize + count.itemsize)
+    return np.cumsum(np.frombuffer(data, gap, n, 1).astype(np.int64)), np.frombuffer(data, count, n, 1 + n * gap.itemsize).astype(np.int64)
+
+
 def blocks_of(docs: DataFrame, folds: int, held: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each run of documents of about BLOCK bytes: block, its different words and how often they are in its training documents, and its
     documents as places in that list with counts."""
     fold = F.coalesce(id_bucket(id_col, folds) == held, F.lit(False))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"), fold.alias("held_out"))
-    schema = "block string, words array<binary>, times array<long>, docs array<struct<doc_id:long,held_out:boolean,places:binary,counts:binary>>"
+    schema = "block string, words array<binary>, times array<long>, docs array<struct<doc_id:long,held_out:boolean,terms:binary>>"
 
     def run(batches):
         import uuid
 
         import pyarrow as pa
 
-        doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("places", pa.binary()), ("counts", pa.binary())])
+        doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("terms", pa.binary())])
         fields = pa.schema([("block", pa.string()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("docs", pa.list_(doc))])
         index: dict[bytes, int] = {}
         held_rows, size, times = [], 0, np.zeros(1 << 16, dtype=np.int64)
@@ -284,7 +298,7 @@ def blocks_of(docs: DataFrame, folds: int, held: int, id_col: str, text_col: str
                         times = np.concatenate([times, np.zeros(len(index), dtype=np.int64)])
                     if not out:
                         times[places] += counts
-                    held_rows.append({"doc_id": doc_id, "held_out": out, "places": places.tobytes(), "counts": counts.astype(np.int32).tobytes()})
+                    held_rows.append({"doc_id": doc_id, "held_out": out, "terms": packed_terms(places, counts)})
                     size += len(data) + 64
                     if size >= BLOCK:
                         yield block()
@@ -346,6 +360,7 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p / math.log(10))], names=["word", "c", "p"])
 
     scored = staged(counts.mapInArrow(spell, "word binary, c long, p double"), "word-scores")
+    release(spark)
     back = listed.select("block", "place", "word").join(scored.hint("merge"), "word").groupBy("block").agg(F.collect_list(F.struct("place", "c", "p")).alias("words"))
     both = blocks.select("block", "docs").join(back.hint("merge"), "block", "left").select("docs", "words")
     base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
@@ -366,7 +381,7 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
                 base = base_of(c)
                 out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
                 for d in rows:
-                    at, n = np.frombuffer(d["places"], np.int32), np.frombuffer(d["counts"], np.int32)
+                    at, n = terms_of(d["terms"])
                     out["doc_id"].append(d["doc_id"])
                     out["held_out"].append(d["held_out"])
                     out["n_tokens"].append(int(n.sum()) + 1)
