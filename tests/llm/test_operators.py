@@ -410,6 +410,14 @@ def test_lm_scores(edge_docs, edge_rows, no_docs, pieces):
     assert lm_scoring.score(no_docs, pieces).count() == 0
 
 
+def test_packed_terms():
+    import numpy as np
+
+    for places, counts in (([], []), ([0], [1]), ([0, 5, 70_000, 70_001], [1, 255, 256, 70_000]), ([3, 9], [2, 2]), ([65_535, 131_071], [1, 1])):
+        a, n = lm_scoring.terms_of(lm_scoring.packed_terms(np.array(places, dtype=np.int32), np.array(counts, dtype=np.int64)))
+        assert a.tolist() == places and n.tolist() == counts
+
+
 def test_lattice_sums_all_segmentations():
     """Against the sum over all ways to cut a word; and all words of a tiny alphabet have probability 1 together."""
     from itertools import product
