@@ -21,10 +21,9 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-def line_hash(line: Column) -> Column:
-    """128 bits of the line's key; null for a key without code points."""
-    key = line_key(line)
-    return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2")))
+def key_hash(key: Column) -> Column:
+    """128 bits of a line's key."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
 
 
 class LineRuns:
@@ -86,8 +85,9 @@ def common_lines(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_co
     more. Rows without such lines are left out. Every row counts as a document, also one that repeats another."""
     text = text_of(text_col)
     batch = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(batches)).cast("int")
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(text), line_hash), lambda h: h.isNotNull()))
-    rows = docs.select(*identity(id_col, text), batch.alias("batch"), F.explode(hashes).alias("h"))
+    # Each key is made once, and hashed outside of the array functions, in generated code.
+    keys = F.array_distinct(F.filter(F.transform(lines_of(text), line_key), lambda k: k != ""))
+    rows = docs.select(*identity(id_col, text), batch.alias("batch"), F.explode(keys).alias("key")).withColumn("h", key_hash(F.col("key")))
     lines = staged(rows.select("doc_id", "text_key", "h.h1", "h.h2", "batch"), "lines", ["batch"])
     runs = LineRuns(docs.sparkSession, min_docs)
     for b in range(batches):
@@ -107,6 +107,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     rows = docs.select(*identity(id_col, text), text.alias("text"))
     found = common_lines(docs, min_docs, id_col, text_col)
     both = rows.join(found, same(rows, found, "doc_id", "text_key"), "left").select(rows["doc_id"], lines_of(rows["text"]).alias("lines"), "drops")
-    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drops", line_hash(x)), F.lit(False))))
+    keyed = F.transform("lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    stays = F.filter(keyed, lambda x: (x["key"] == "") | ~F.array_contains("drops", key_hash(x["key"])))
+    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda x: x["line"]))
     out = both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
