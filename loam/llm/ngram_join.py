@@ -269,7 +269,7 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     members = staged(members, "members")
     release(spark)
     sigs = every.select("node", "n", "sig").where("n > 0").groupBy("node", "n").agg(F.first("sig").alias("sig"))
-    able = staged(_survivors(dealt(members.join(sigs.hint("merge"), ["node", "n"]), "pivot", "node"), percent), "survivors")
+    able = staged(_survivors(dealt(members, "pivot", "node").join(sigs.hint("merge"), ["node", "n"]), percent), "survivors")
     release(spark)
 
     # The sets of the nodes that are left, each from one document that has it.
@@ -278,7 +278,7 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     texts = rows.join(one.distinct().hint("merge"), rows["doc_id"].eqNullSafe(F.col("k_doc")) & (rows["text_key"] == F.col("k_text"))).select("text")
     full = staged(_full_sets(texts, k), "full-sets")
     release(spark)
-    found = _links(dealt(able.join(full.hint("merge"), "node"), "pivot", "node"), percent)
+    found = _links(dealt(able, "pivot", "node").join(full.hint("merge"), "node"), percent)
     links = staged(found, "links")
     unstage(pivots, members, able, full)
 
