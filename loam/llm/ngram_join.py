@@ -15,7 +15,7 @@ from loam.llm.shingles import sets
 #: Entries of a leaf, and children of a node.
 LEAF, FANOUT = 8, 4
 #: Shingles in at least one of so many documents of a slice may be common; so many of the commonest are told to all tasks.
-COMMON_SHARE, COMMON = 2000, 100_000
+COMMON_SHARE, COMMON = 4000, 400_000
 
 
 # --- signature trees ---------------------------------------------------------------------------------------------
@@ -258,7 +258,7 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     every = staged(described(rows, k), "sets")
     often = every.where("n is null").select(F.explode(F.arrays_zip("common", "times")).alias("x")).groupBy("x.common").agg(F.sum("x.times").alias("times"))
     often = often.orderBy(F.col("times").desc(), "common").limit(COMMON).select("common")
-    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(np.uint64)))  # 0.8 MB at most
+    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(np.uint64)))  # 3.2 MB at most
     every = every.where("n is not null").select("doc_id", "text_key", "node", "n", "sig")
 
     posts = postings(rows, k, percent, common)
