@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from loam.llm.common import new_path, partitions, ship, staged, unstage
 
 VERSION, MAGIC = b"WARC/", b"\x1f\x8b\x08"
-CHUNK, MAX_HEAD = 1 << 20, 1 << 16
+CHUNK = 1 << 20
+BLANK = b"\r\n\r\n"
 #: A new archive begins when one has so many bytes; equal payloads from so many bytes on are written once.
 ROLL, LEAST = 16 << 20, 100
 
@@ -68,6 +69,7 @@ class Window:
 
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.data = file, size, 0, b""
+        self.blank = (0, 0)  # from where to where no blank line begins
 
     def get(self, offset: int, n: int) -> bytes:
         n = max(0, min(n, self.size - offset))
@@ -87,19 +89,33 @@ class Window:
         return self.size
 
 
+    def head_end(self, start: int) -> int:
+        """Where the first blank line from start on begins, however far it is; -1 if none. What was searched once is not searched
+        again, so many false starts before one blank line cost one pass."""
+        since, upto = self.blank
+        at = upto if since <= start <= upto else start
+        since = min(since, start) if at == upto else start
+        while at < self.size:
+            part = self.get(at, CHUNK)
+            i = part.find(BLANK)
+            if i >= 0:
+                self.blank = (since, at + i)
+                return at + i
+            at += max(1, len(part) - len(BLANK) + 1)
+        self.blank = (since, self.size)
+        return -1
+
+
 class Bad(ValueError):
     pass
 
 
-def parse(get, size: int) -> tuple[dict[str, str], int, int]:
-    """Headers, and the block's first byte and length, of the record that begins at byte 0 of get(offset, n)."""
-    head, n = b"", 4096
-    while b"\r\n\r\n" not in head:
-        if head and (len(head) >= size or len(head) >= MAX_HEAD):
-            raise Bad("no end of the headers")
-        head = get(0, n)
-        n *= 2
-    head = head.partition(b"\r\n\r\n")[0]
+def parse(get, stop: int, size: int) -> tuple[dict[str, str], int, int]:
+    """Headers, and the block's first byte and length, of the record that begins at byte 0 of get(offset, n) and whose headers
+    end at byte stop (-1: nowhere); they may be of any length."""
+    if stop < 0:
+        raise Bad("no end of the headers")
+    head = get(0, stop)
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise Bad("no version line")
@@ -132,12 +148,13 @@ def one(w: Window, at: int) -> Record:
         except zlib.error as e:
             raise Bad(f"gzip: {e}") from None
         data, end = b"".join(parts), pos - len(z.unused_data)
-        headers, start, length = parse(lambda o, n: data[o : o + n], len(data))
+        headers, start, length = parse(lambda o, n: data[o : o + n], data.find(BLANK), len(data))
         if start + length + 4 != len(data):
             raise Bad("the member holds more than a record")
         block, tail = data[start : start + length], data[start + length :]
     else:
-        headers, start, length = parse(lambda o, n: w.get(at + o, n), w.size - at)
+        stop = w.head_end(at) if w.get(at, len(VERSION)) == VERSION else -1
+        headers, start, length = parse(lambda o, n: w.get(at + o, n), stop - at if stop >= 0 else -1, w.size - at)
         block, tail, end = w.get(at + start, length), w.get(at + start + length, 4), at + start + length + 4
     checked(headers, block, tail)
     return Record(at, end, headers, block)

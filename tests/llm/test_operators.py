@@ -300,6 +300,20 @@ def test_warc_salvage():
     assert list(warc.salvage(io.BytesIO(b""), 0)) == []
 
 
+def test_warc_long_urls(spark):
+    """Header blocks of any length: of a page, of the first page of a group of copies, and in a plain archive."""
+    long, html = "http://a/" + "x" * 100_000, "<p>" + "y" * 200
+    rows = [(1, long, html), (2, "u", html), (3, "v", html), (4, long, "alone"), (5, "\x01" * 40_000, "z" * 150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = got(warc.round_trip(df), "page_id", "record_type", "refers_to")
+    assert found == Counter([(1, "response", None), (2, "revisit", 1), (3, "revisit", 1), (4, "response", None), (5, "response", None)])
+    plain = b"".join(zlib.decompress(warc.record("response", str(i), u, b"p", payload_digest="-", payload_bytes=1, page_id=i), 31) for i, u in enumerate([long, "u", 30 * long]))
+    for data in (plain, b"WARC/" * 50 + plain, plain[:50] + plain):
+        records = [x for x in warc.salvage(io.BytesIO(data), len(data)) if isinstance(x, warc.Record)]
+        assert [x.headers["x-page-id"] for x in records] == ["0", "1", "2"]
+        assert [len(x.headers["warc-target-uri"]) for x in records] == [len(long), 1, 30 * len(long)]
+
+
 # --- 6 BPE ---
 
 
