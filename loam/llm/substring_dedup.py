@@ -1,4 +1,4 @@
-"""Substring dedup by paragraph MinHash banding."""
+"""Substring dedup by paragraph MinHash banding, verified over whole passages."""
 
 from __future__ import annotations
 
@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.common import identity, release, same, ship, staged, text_of, unstage
-from loam.llm.grouping import Forest, components, dealt, spread
+from loam.llm.grouping import components
 from loam.llm.ngram_join import encoded, in_arrow, signed
 from loam.llm.shingles import mix, rolled, slices, words
 
-#: Words of a paragraph, of a shingle; half the span of words over which an anchor's hash is the least; bands (of one row each).
-PARAGRAPH, SHINGLE, REACH, BANDS = 24, 5, 4, 2
+#: Words of a paragraph, of a shingle that similarity is counted in, of a seed (a shingle that a paragraph's MinHash is taken of).
+PARAGRAPH, SHINGLE, SEED = 24, 5, 12
 PERCENT = 80
-#: Pairs, and members of tasks, that are worked off at a time; what fills short sets.
-PAIRS, MEMBERS, FILL = 16_384, 32_768, np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Pairs that are worked off at a time; what fills short sets.
+PAIRS, FILL = 16_384, np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -29,112 +29,173 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def paragraphs(texts: list[bytes], words_in: int = PARAGRAPH, k: int = SHINGLE, reach: int = REACH, bands: int = BANDS):
-    """Per text: first words of its paragraphs, their bands (bands x paragraphs), their names, all its shingles, and its
-    words' first bytes and ends.
+def seeds(texts: list[bytes], words_in: int = PARAGRAPH):
+    """Per text: first words of its seeds, their hashes, hashes of all its words, and its words' first bytes and ends.
 
-    Prose often comes without blank lines, and passages are pasted into lines; so a paragraph is not what stands between
-    two line feeds but begins wherever the hash of a shingle is the least among its neighbours within `reach` words, and has
-    words_in words. Equal passages so have equal paragraphs wherever they stand: every reach + 1 to about 2 * reach + 1
-    words one begins. Texts shorter than a paragraph have none.
+    Prose often comes without blank lines, and passages are pasted into lines; so every run of words_in words is a paragraph. Its
+    MinHash is the least hash of its SEED-word shingles; a text's seeds are the shingles that are a paragraph's least. Two
+    texts that share words_in words in a row share a seed within them. Texts shorter than a paragraph have none.
     """
+    n = words_in - SEED + 1
     for a, b in slices(texts):
         h, starts, ends, place = words(texts[a:b])
-        grams = rolled(h, k)
-        order = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-        rows = [mix(grams + np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & 0xFFFFFFFFFFFFFFFF)) for j in range(bands)]
-        for i in range(b - a):
-            lo, hi = int(place[i]), int(place[i + 1])
-            last = hi - lo - words_in + 1
-            if last <= 0:
-                yield np.empty(0, np.int64), np.empty((bands, 0), np.uint64), np.empty(0, np.uint64), grams[:0], starts[lo:hi], ends[lo:hi]
-                continue
-            own = grams[lo : hi - k + 1]
-            o = order[lo : hi - k + 1]
-            padded = np.concatenate([np.full(reach, np.iinfo(np.uint64).max), o, np.full(reach, np.iinfo(np.uint64).max)])
-            at = np.flatnonzero(o == sliding_min(padded, 2 * reach + 1))
-            at = at[at < last]
-            m = words_in - k + 1
-            mins = np.array([sliding_min(r[lo : hi - k + 1], m)[at] for r in rows])
-            total = np.concatenate([[np.uint64(0)], np.cumsum(own * np.uint64(0xC2B2AE3D27D4EB4F) ^ (own >> np.uint64(17)))])
-            names = mix(total[at + m] - total[at]) if len(at) else np.empty(0, np.uint64)
-            yield at, mins, names, own, starts[lo:hi], ends[lo:hi]
-
-
-def heads(docs: DataFrame, **shape) -> DataFrame:
-    """doc_id, text_key, band values of each document, without repeats."""
+        grams = rolled(h, SEED)
+        for lo, hi in zip(place[:-1].tolist(), place[1:].tolist(), strict=True):
+            at = np.empty(0, np.int64)
+            if hi - lo >= words_in:
+                own, edge = grams[lo : hi - SEED + 1], np.zeros(n - 1, np.uint64)
+                at = np.flatnonzero(own == ~sliding_min(~np.concatenate([edge, sliding_min(own, n), edge]), n))
+            yield at, grams[lo + at], h[lo:hi], starts[lo:hi], ends[lo:hi]
+
+
+def heads(docs: DataFrame, words_in: int) -> DataFrame:
+    """doc_id, text_key, seeds of each document, without repeats."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in in_arrow(batches):
-            texts = [x.encode() for x in batch.column("text").to_pylist()]
-            lists = [signed(np.unique(mins)) for _, mins, *_ in paragraphs(texts, **shape)]
+            lists = [signed(np.unique(x)) for _, x, *_ in seeds(encoded(batch), words_in)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "text_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "text_key", "seeds"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, seeds array<long>")
 
 
-def located(docs: DataFrame, **shape) -> DataFrame:
-    """The paragraphs of documents (doc_id, text_key, text, bands that others have too) with one of these bands: name, those
-    bands, place in the text (first word, first byte, end)."""
-    words_in = shape.get("words_in", PARAGRAPH)
-    schema = "doc_id long, text_key long, name long, bands array<long>, word int, start int, `end` int"
+def banded(docs: DataFrame, offsets: list[int], width: int, words_in: int) -> DataFrame:
+    """The bands of documents (doc_id, text_key, text, and seeds that others have too or places): hashes of the runs of width
+    words that begin at these offsets from a shared seed, or from a place. doc_id, text_key, band, word."""
+    by_place = "places" in docs.columns
 
     def run(batches):
         import pyarrow as pa
 
         for batch in in_arrow(batches, 128):
-            shared = batch.column("bands")
-            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(7)]
-            for i, (at, mins, names, _, starts, ends) in enumerate(paragraphs(encoded(batch), **shape)):
-                own = np.sort(shared[i].values.to_numpy())
-                mins = signed(mins)
-                hit = own[np.minimum(np.searchsorted(own, mins), len(own) - 1)] == mins
-                some = hit.any(axis=0)
-                w, hit = at[some], hit[:, some]
-                for x, new in zip(out, (np.full(len(w), i), signed(names[some]), hit.sum(axis=0), mins[:, some].T[hit.T], w, starts[w], ends[w + words_in - 1]), strict=True):
-                    x.append(new)
-            row, names, n, values, word, start, end = (np.concatenate(x) for x in out)
+            row, bands, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            asked = batch.column("places" if by_place else "seeds")
+            for i, (places, own, h, *_) in enumerate(seeds(encoded(batch), words_in)):
+                want = np.sort(asked[i].values.to_numpy())
+                if by_place:
+                    places = want
+                else:
+                    own = signed(own)
+                    places = places[want[np.minimum(np.searchsorted(want, own), len(want) - 1)] == own]
+                first = np.unique(places[:, None] + np.array(offsets))
+                first = first[(first >= 0) & (first <= len(h) - width)]
+                row.append(np.full(len(first), i))
+                bands.append(signed(rolled(h, width)[first]))
+                at.append(first)
+            row, bands, at = (np.concatenate(x) for x in (row, bands, at))
             row = pa.array(row)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
-            ints = [pa.array(x, pa.int32()) for x in (word, start, end)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(names), lists, *ints], names=["doc_id", "text_key", "name", "bands", "word", "start", "end"])
-
-    return docs.mapInArrow(run, schema)
-
-
-def spelt(docs: DataFrame, **shape) -> DataFrame:
-    """band, name, shingles of the paragraphs that documents (text, picks: word, name, bands) are asked for."""
-    words_in, k = shape.get("words_in", PARAGRAPH), shape.get("k", SHINGLE)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("text_key").take(row), pa.array(bands), pa.array(at, pa.int32())], names=["doc_id", "text_key", "band", "word"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, band long, word int")
+
+
+def _next(u: np.ndarray, v: np.ndarray) -> tuple[int, int] | None:
+    """Places of equal values in u and v, near both beginnings."""
+    size, whole = 16, max(len(u), len(v))
+    while len(u) and len(v):
+        a, b = u[:size], v[:size]
+        order = np.argsort(b, kind="stable")
+        pos = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
+        hit = np.flatnonzero(b[order[pos]] == a)
+        if len(hit):
+            far = hit + order[pos[hit]]
+            best = int(np.argmin(far))
+            return int(hit[best]), int(order[pos[hit[best]]])
+        if size >= whole:
+            break
+        size *= 8
+    return None
+
+
+def chain(x: np.ndarray, y: np.ndarray, gx: np.ndarray, gy: np.ndarray, i: int, j: int, limit: int) -> np.ndarray:
+    """Runs of equal words (place in x, in y, length) from words i and j on: the first begins there, each further one at the next
+    shingle in common, as long as no more than limit words are skipped."""
+    out, skipped = [], 0
+    while True:
+        n = min(len(x) - i, len(y) - j)
+        differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
+        t = int(differ[0]) if len(differ) else n
+        out.append((i, j, t))
+        i, j = i + t, j + t
+        left = limit - skipped + 1
+        step = _next(gx[i : i + left], gy[j : j + left]) if left > 0 else None
+        if step is None:
+            return np.array(out, dtype=np.int64)
+        skipped += max(step)
+        i, j = i + step[0], j + step[1]
+
+
+def passages(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int]], percent: int, words_in: int, k: int):
+    """Spans (first word and end in x, in y) of at least words_in words, and the pairs that are in none.
+
+    x and y: hashes of words; pairs: places in x and y where equal runs of words begin. From each, equal runs are chained in both
+    directions across edits, and the longest joined span counts whose k-word shingles are similar by percent: aligned ones,
+    100 * common >= percent * (all of x's span + all of y's span - common).
+    """
+    gx, gy = (rolled(a, k) for a in (x, y))
+    back = [a[::-1] for a in (x, y, gx, gy)]
+    limit = min(len(x), len(y)) * (100 - percent) // percent + k
+    spans, alone = [], []
+    for i, j in sorted(pairs):
+        if any(a <= i and i + SEED <= b for a, b, _, _ in spans):
+            continue
+        right = chain(x, y, gx, gy, i, j, limit)
+        left = chain(*back, len(x) - i, len(y) - j, limit)
+        a, a2 = len(x) - left[:, 0] - left[:, 2], len(y) - left[:, 1] - left[:, 2]
+        b, b2 = right[:, 0] + right[:, 2], right[:, 1] + right[:, 2]
+        # The runs at the start are one; any other has its own shingles.
+        more_l, more_r = (np.cumsum(np.where(np.arange(len(c)) > 0, c[:, 2] - k + 1, 0)) for c in (left, right))
+        common = left[0, 2] + right[0, 2] - k + 1 + more_l[:, None] + more_r
+        in_x, in_y = b - a[:, None], b2 - a2[:, None]
+        ok = (100 * common >= percent * (in_x + in_y - 2 * (k - 1) - common)) & (np.minimum(in_x, in_y) >= words_in)
+        if ok.any():
+            m, n = np.unravel_index(np.argmax(np.where(ok, common, -1)), ok.shape)
+            spans.append((int(a[m]), int(b[n]), int(a2[m]), int(b2[n])))
+        else:
+            alone.append((i, j))
+    return spans, alone
+
+
+def verified(pairs: DataFrame, percent: int, words_in: int, k: int) -> DataFrame:
+    """pairs: document d (doc_id, text_key, text), f (the same), places (word, f_word, band). A row for each span that d shares with f:
+    both names, word, upto, start, end in each; and one for each place in none: both names, band."""
+    sides = ["word", "upto", "start", "end"]
+    cols = ["d_doc", "d_key", "f_doc", "f_key"]
+    schema = ", ".join([f"{c} long" for c in cols] + [f"{p}_{c} int" for p in "df" for c in sides] + ["band long"])
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in in_arrow(batches, 128):
-            bands, names, sets = [], [], []
-            for picks, (_, _, _, grams, _, _) in zip(batch.column("picks").to_pylist(), paragraphs(encoded(batch), **shape), strict=True):
-                for x in picks:
-                    own = np.unique(grams[x["word"] : x["word"] + words_in - k + 1]).tobytes()
-                    for band in x["bands"]:
-                        bands.append(band)
-                        names.append(x["name"])
-                        sets.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["band", "name", "shingles"])
-
-    return docs.mapInArrow(run, "band long, name long, shingles binary")
-
-
-def padded(shingles, offset: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sets of a binary Arrow array as rows of a matrix, filled with the largest value; and their sizes."""
-    ends = np.frombuffer(shingles.buffers()[1], dtype=np.int32)[shingles.offset + offset : shingles.offset + offset + n + 1].astype(np.int64) // 8
-    sizes = np.diff(ends)
-    out = np.full((n, max(1, int(sizes.max(initial=1)))), FILL, dtype=np.uint64)
-    values = np.frombuffer(shingles.buffers()[2], dtype=np.uint64, count=int(ends[-1]))[int(ends[0]) :]
-    out[np.arange(out.shape[1]) < sizes[:, None]] = values
-    return out, sizes
+        kinds = pa.schema([(c, pa.int64()) for c in cols] + [(f"{p}_{c}", pa.int32()) for p in "df" for c in sides] + [("band", pa.int64())])
+        for batch in in_arrow(batches, 64):
+            row, out = [], []
+            split = []
+            for name in ("d_text", "f_text"):
+                split.append([v for texts in [encoded(batch, name)] for a, b in slices(texts) for v in _split(texts[a:b])])
+            for i, (places, (x, *xs), (y, *ys)) in enumerate(zip(batch.column("places").to_pylist(), *split, strict=True)):
+                band = {(p["word"], p["f_word"]): p["band"] for p in places}
+                spans, alone = passages(x, y, list(band), percent, words_in, k)
+                for a, b, a2, b2 in spans:
+                    row.append(i)
+                    out.append((a, b, int(xs[0][a]), int(xs[1][b - 1]), a2, b2, int(ys[0][a2]), int(ys[1][b2 - 1]), None))
+                for at in alone:
+                    row.append(i)
+                    out.append((None,) * 8 + (band[at],))
+            row = pa.array(row, pa.int64())
+            values = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in cols] + [pa.array(v, f.type) for v, f in zip(values, list(kinds)[4:], strict=True)], schema=kinds)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _split(texts: list[bytes]):
+    h, starts, ends, place = words(texts)
+    for lo, hi in zip(place[:-1].tolist(), place[1:].tolist(), strict=True):
+        yield h[lo:hi], starts[lo:hi], ends[lo:hi]
 
 
 def similar(sets: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -178,63 +239,35 @@ def candidates(sets: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent:
     return both // m, both % m
 
 
-def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: a spanning forest of the names in each task whose paragraphs are similar. Many tasks are worked off together."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for whole in batches:
-            upto = np.cumsum(np.diff(whole.column("m").offsets.to_numpy())) // MEMBERS  # runs of tasks with about MEMBERS members
-            cuts = np.r_[0, np.flatnonzero(np.diff(upto)) + 1, whole.num_rows]
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                lists = whole.column("m").slice(lo, hi - lo)
-                counts = np.diff(lists.offsets.to_numpy())
-                if not len(counts):
-                    continue
-                first, total = lists.offsets[0].as_py(), int(counts.sum())
-                names, own = (lists.values.field(c).to_numpy()[first : first + total] for c in ("name", "own"))
-                sets, sizes = padded(lists.values.field("shingles"), first, total)
-                group = np.repeat(np.arange(len(counts)), counts)
-                starts = np.cumsum(counts) - counts
-                two = (np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))[group]
-                a, b = candidates(sets, sizes, group, percent)
-                some = ~two[a] | (own[a] != own[b])  # of two blocks only the pairs across count
-                a, b = a[some], b[some]
-                hit = similar(sets, sizes, a, b, percent)
-                forest = Forest(total)
-                kept = [k for k, (x, y) in enumerate(zip(a[hit].tolist(), b[hit].tolist(), strict=True)) if forest.join(x, y)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[x[hit][kept]], pa.int64()) for x in (a, b)], names=["u", "v"])
-
-    lists = spread(rows, "band", "a", "b").groupBy("band", "a", "b").agg(F.collect_list(F.struct("name", "shingles", "own")).alias("m"))
-    return lists.where(F.size("m") > 1).select("m").mapInArrow(run, "u long, v long")
-
-
-def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words_in: int = PARAGRAPH, k: int = SHINGLE, reach: int = REACH, bands: int = BANDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words_in: int = PARAGRAPH, k: int = SHINGLE) -> DataFrame:
     """Passages that another document has too, alike or nearly.
 
-    Each document's paragraphs (see paragraphs) get a MinHash of their k-word shingles: `bands` bands of one row, so a
-    pair of similarity s collides with probability 1 - (1 - s) ** bands (0.96 at 0.8), a passage of several paragraphs almost surely, and an equal
-    one always. Paragraphs that collide are joined and their exact Jaccard similarity is held against percent / 100;
-    links make clusters of paragraphs by connected components. Of a cluster that is found in two documents or more, the
-    occurrences in the document with the smallest id stay and the others are to go. Neighbouring
-    and overlapping paragraphs with the same decision make one span.
+    Every run of words_in words is a paragraph, its MinHash a seed (see seeds). Seeds that several documents have get two bands, the 18
+    words that begin or end six words outside of them; two documents with the same words_in words around a seed share one. Each document is
+    held against the first one (smallest id) that has the band: from there equal words are extended to both sides, across edits, to the
+    longest joined span whose k-word shingles have a Jaccard similarity of percent / 100, counted by aligned places. Where that
+    makes no passage of words_in words, the documents of the band meet again by all their runs of words_in words in it. So any two documents
+    that share words_in words in a row are found, and so is a passage that is similar by percent, if at 0.8 its edits are replaced words (at most
+    one in 45, which leaves such a run); one of 44 to 48 words with a word inserted in the middle may be left with runs of 22.
+
+    In a span that is shared with an earlier document all words are to go, so that by induction the first occurrence stays. Spans with the same
+    decision that overlap or touch are one; spans that stay are listed unless they lie within one that goes. Linked spans are clusters by
+    connected components: a span that goes is linked with the one it was first held against.
 
-    A row for each span: doc_id, start, end (bytes of the UTF-8 text), n_words (at least words_in), removed, cluster (smallest id of
-    a document that has the span's first paragraph, or one linked with it), text_key. Documents without repeats have no
+    A row for each span: doc_id, start, end (bytes of the UTF-8 text), n_words (at least words_in), removed, cluster (id of the first document
+    of its cluster, its own for a span that stays), text_key. Documents without repeats have no
     row. Null, empty and shorter texts have none either. Rows that repeat id and text are one document; rows with a null id
     come last in the choice of what stays, and so does, among rows that share an id, the larger text_key. Empty table: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    shape = {"words_in": words_in, "k": k, "reach": reach, "bands": bands}
     text = text_of(text_col)
     rows = docs.select(*identity(id_col, text), text.alias("text"))
-    known = staged(heads(rows, **shape).where(F.size("bands") > 0), "heads")
-    flat = known.select("doc_id", "text_key", F.explode("bands").alias("band"))
+    known = staged(heads(rows, words_in).where(F.size("seeds") > 0), "heads")
+    flat = known.select("doc_id", "text_key", F.explode("seeds").alias("seed"))
     whose = F.xxhash64("doc_id", "text_key")
-    shared = staged(flat.groupBy("band").agg(F.min(whose).alias("a"), F.max(whose).alias("b")).where("a <> b").select("band"), "shared-bands")
-    hits = flat.join(shared.hint("merge"), "band").groupBy("doc_id", "text_key").agg(F.collect_set("band").alias("bands")).select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"), "bands")
+    shared = staged(flat.groupBy("seed").agg(F.min(whose).alias("a"), F.max(whose).alias("b")).where("a <> b").select("seed"), "shared-seeds")
+    hits = flat.join(shared.hint("merge"), "seed").groupBy("doc_id", "text_key").agg(F.collect_set("seed").alias("seeds")).select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"), "seeds")
     hits = staged(hits, "hits")
     unstage(known, shared)
     release(spark)
@@ -242,37 +275,61 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
     def of_texts(keyed: DataFrame, *cols: str) -> DataFrame:
         return rows.join(keyed.hint("merge"), rows["doc_id"].eqNullSafe(keyed["k_doc"]) & (rows["text_key"] == keyed["k_text"])).select("doc_id", "text_key", "text", *cols)
 
-    found = staged(located(of_texts(hits, "bands"), **shape), "paragraphs")
+    def matched(found: DataFrame) -> DataFrame:
+        """Each document of a band against its first one."""
+        first = found.groupBy("band").agg(F.min(F.struct(_rank().alias("r"), "word")).alias("f"), F.max(_rank()).alias("last")).where("f.r <> last").select("band", "f")
+        place = F.struct("word", F.col("f.word").alias("f_word"), "band")
+        pairs = found.join(first.hint("merge"), "band").where(_rank() != F.col("f.r")).groupBy("doc_id", "text_key", F.col("f.r.doc_id").alias("f_doc"), F.col("f.r.text_key").alias("f_key")).agg(F.collect_set(place).alias("places"))
+        pairs = staged(pairs.withColumnsRenamed({"doc_id": "k_doc", "text_key": "k_text"}), "pairs")
+        one = of_texts(pairs, "f_doc", "f_key", "places").select(F.col("doc_id").alias("d_doc"), F.col("text_key").alias("d_key"), F.col("text").alias("d_text"), F.col("f_doc").alias("k_doc"), F.col("f_key").alias("k_text"), "places")
+        both = of_texts(one, "d_doc", "d_key", "d_text", "places").withColumnsRenamed({"doc_id": "f_doc", "text_key": "f_key", "text": "f_text"})
+        out = staged(verified(both, percent, words_in, k), "matches")
+        unstage(pairs)
+        release(spark)
+        return out
+
+    side = (words_in - SEED) // 2
+    width = words_in - side
+    found = staged(banded(of_texts(hits, "seeds"), [-side, 0], width, words_in).distinct(), "bands")
     unstage(hits)
     release(spark)
-
-    # Bands with paragraphs of different names; the words of those are read from one document that has them.
-    places = found.select(F.explode("bands").alias("band"), "name", "doc_id", "text_key", "word")
-    several = staged(places.groupBy("band").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("band"), "mixed-bands")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "word")).alias("x")
-    picks = places.join(several.hint("merge"), "band", "left_semi").groupBy("name").agg(one, F.collect_set("band").alias("bands"))
-    pick = F.struct(F.col("x.word").alias("word"), "name", "bands")
-    picks = picks.groupBy(F.col("x.doc_id").alias("k_doc"), F.col("x.text_key").alias("k_text")).agg(F.collect_list(pick).alias("picks"))
-    picks = staged(picks, "picks")
-    members = staged(spelt(of_texts(picks, "picks"), **shape), "band-members")
-    unstage(several, picks)
-    release(spark)
-    links = staged(_links(dealt(members, "band", "name"), percent), "links")
-    unstage(members)
-    labels = components(links)
-
-    names = found.groupBy("name").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("last"))
-    names = staged(names.join(labels.withColumnRenamed("node", "name").hint("merge"), "name", "left").withColumn("component", F.coalesce("component", "name")), "names")
-    clusters = names.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("component", "first")
-    named = staged(names.select("name", "component").join(clusters.hint("merge"), "component").select("name", "first"), "named")
-    spans = found.select("doc_id", "text_key", "name", "word", "start", "end").distinct().join(named.hint("merge"), "name")
-    spans = spans.select("doc_id", "text_key", "word", "start", "end", F.col("first.doc_id").alias("cluster"), (_rank() != F.col("first")).alias("removed"))
-
-    doc = Window.partitionBy("doc_id", "text_key", "removed").orderBy("word")
-    reached = F.max("word").over(doc.rowsBetween(Window.unboundedPreceding, -1)) + words_in
-    runs = spans.withColumn("new", F.when(reached >= F.col("word"), 0).otherwise(1)).withColumn("run", F.sum("new").over(doc))
-    out = runs.groupBy("doc_id", "text_key", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + words_in).cast("long").alias("n_words"), F.min_by("cluster", "word").alias("cluster"))
-    return out.select("doc_id", "start", "end", "n_words", "removed", "cluster", "text_key")
+    matches = matched(found)
+    again = matches.where("band is not null").select("band").distinct()
+    places = found.join(again.hint("merge"), "band", "left_semi").groupBy(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text")).agg(F.collect_set(F.col("word").cast("long")).alias("places"))
+    wide = staged(banded(of_texts(staged(places, "places"), "places"), list(range(-side, 1)), words_in, words_in).distinct(), "wide-bands")
+    unstage(found)
+    matches = matches.unionByName(matched(wide)).where("band is null").withColumns({"d": F.xxhash64("d_doc", "d_key"), "f": F.xxhash64("f_doc", "f_key")})
+
+    def ends(p: str, *cols) -> DataFrame:
+        return matches.select(F.col(p).alias("doc"), F.col(f"{p}_doc").alias("doc_id"), F.col(f"{p}_key").alias("text_key"), *[F.col(f"{p}_{c}").alias(c) for c in ("word", "upto", "start", "end")], *cols).distinct()
+
+    def joined(spans: DataFrame) -> DataFrame:
+        """spans with run: the same for those of a document that overlap or touch."""
+        doc = Window.partitionBy("doc").orderBy("word", "upto")
+        reached = F.max("upto").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+        return spans.withColumn("new", F.when(reached >= F.col("word"), 0).otherwise(1)).withColumn("run", F.sum("new").over(doc)).drop("new")
+
+    goes, stays = ends("d").withColumn("removed", F.lit(True)), ends("f").withColumn("removed", F.lit(False))
+    nodes = joined(goes.drop("removed").unionByName(stays.drop("removed")).distinct())
+    nodes = staged(nodes.withColumn("node", F.xxhash64("doc", "run")).drop("run"), "nodes")
+    spot = ["doc", "word", "upto"]
+    from_first = matches.select(F.col("d").alias("doc"), F.col("d_word").alias("word"), F.col("d_upto").alias("upto"), F.struct(F.col("d_word"), F.col("f_doc").isNull(), F.col("f_doc"), F.col("f_key"), F.col("f"), F.col("f_word"), F.col("f_upto")).alias("x"))
+    parent = from_first.join(nodes.select(*spot, "node").hint("merge"), spot).groupBy("node").agg(F.min("x").alias("x")).select(F.col("node").alias("u"), F.col("x.f").alias("doc"), F.col("x.f_word").alias("word"), F.col("x.f_upto").alias("upto"))
+    links = staged(parent.join(nodes.select(*spot, F.col("node").alias("v")).hint("merge"), spot).select("u", "v"), "links")
+    labels = staged(components(links), "labels")
+    firsts = nodes.join(labels.hint("merge"), "node").groupBy("component").agg(F.min(_rank()).alias("first"))
+    cluster = labels.join(firsts.hint("merge"), "component").select("node", F.col("first.doc_id").alias("cluster"))
+
+    def merged(spans: DataFrame) -> DataFrame:
+        return joined(spans).groupBy("doc", "doc_id", "text_key", "removed", "run").agg(F.min("word").alias("word"), F.max("upto").alias("upto"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+    starts = nodes.groupBy("doc", "word").agg(F.min("node").alias("node")).join(cluster.hint("merge"), "node").select("doc", "word", "cluster")
+    gone = merged(goes).join(starts.hint("merge"), ["doc", "word"])
+    runs = gone.unionByName(merged(stays).withColumn("cluster", F.col("doc_id")))
+    runs = runs.groupBy("doc", "doc_id", "text_key").agg(F.collect_list(F.struct("removed", "word", "upto", "start", "end", "cluster")).alias("all"))
+    listed = F.filter("all", lambda x: x["removed"] | ~F.exists("all", lambda y: y["removed"] & (y["word"] <= x["word"]) & (y["upto"] >= x["upto"])))
+    out = runs.select("doc_id", "text_key", F.explode(listed).alias("x"))
+    return out.select("doc_id", "x.start", "x.end", (F.col("x.upto") - F.col("x.word")).cast("long").alias("n_words"), "x.removed", "x.cluster", "text_key")
 
 
 def _rank():

@@ -561,6 +561,37 @@ def test_passages_wherever_they_stand(spark, monkeypatch):
     assert all((cut[i] == t) == (i not in gone) for i, t in rows) and len(cut) == len(rows)
 
 
+def test_near_passages_are_whole(spark):
+    """A passage of 51 words with its middle word changed (similarity 0.808), one of 30 and one of 100 words with two edits, each pasted into two contexts:
+    every word of both occurrences is in a span. One of 40 words with two edits is not similar, and has no row."""
+    r = random.Random(13)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, spans = [], {}
+    for i in range(120):
+        n, edits = [(51, [25]), (30, []), (100, [33, 66]), (40, [13, 26])][i % 4]
+        own = prose(n)
+        for d, text in ((2 * i, own), (2 * i + 1, ["edit" if w in edits else x for w, x in enumerate(own)])):
+            a, b = prose(r.randrange(60)), prose(r.randrange(60))
+            rows.append((d, " ".join(a + text + b)))
+            if i % 4 < 3:
+                spans[d] = (len(" ".join([*a, ""])), len(" ".join(a + text)), n, d % 2 == 1, d - d % 2)
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["start"], x["end"], x["n_words"], x["removed"], x["cluster"]) for x in out} == spans and len(out) == len(spans)
+
+
+def test_passages_behind_a_common_phrase(spark):
+    """Twenty words that an earlier document has alone do not hide the thirty that two others share around them."""
+    r = random.Random(14)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(40):
+        own = prose(30)
+        rows += [(3 * i, " ".join(prose(20) + own[5:25] + prose(20))), (3 * i + 1, " ".join(prose(9) + own)), (3 * i + 2, " ".join(own + prose(9)))]
+        want |= {(3 * i + 1, False, 30), (3 * i + 2, True, 30)}
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["removed"], x["n_words"]) for x in out} == want
+
+
 def test_staged_tables_read_back(spark):
     df = spark.createDataFrame([(1, "a"), (None, None)], "a long, b string")
     assert got(staged(df, "x"), "a", "b") == got(df, "a", "b")
