@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     q = quantised(vec_col, scale)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), q.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    rows = staged(rows, "search-rows")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "search-rows")
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, `rank` int, vec_id long, score long")
@@ -133,7 +133,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     packed = rows.join(F.broadcast(tiers.select("tier", "cells")), "tier").withColumn("cell", cell)
     blocks = max(1, -(-n_queries // BLOCK))
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "tier", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
-    buckets = packed.groupBy("tier", "cell").agg(F.collect_list(F.struct("vec_id", "v", "length")).alias("rows"))
+    buckets = packed.groupBy("tier", "cell").agg(F.collect_list(F.struct("vec_id", "row", "v", "length")).alias("rows"))
     buckets = staged(buckets.repartition(max(1, min(2 * partitions(spark), n_buckets)), "tier", "cell"), "search-buckets")
     head = rows.agg(F.max("tier")).first()[0]
 
@@ -148,18 +148,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
                 for r in range(batch.num_rows):
                     asks, cands = (batch.column(c)[r].values for c in ("asks", "rows"))
                     q_ids, floors = (asks.field(c).to_numpy(zero_copy_only=False) for c in ("query_id", "floor"))
-                    c_ids, lengths = (cands.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "length"))
+                    c_ids, c_rows, lengths = (cands.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row", "length"))
                     fall = np.argsort(-lengths, kind="stable")
                     found = scan(matrix(asks.field("v").to_numpy(zero_copy_only=False)), q_ids, floors, matrix(cands.field("v").to_numpy(zero_copy_only=False)[fall]), c_ids[fall], lengths[fall], k)
-                    c_ids = c_ids[fall]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([q_ids[i] for i, _, _ in found], pa.int64()), "vec_id": pa.array([c_ids[j] for _, j, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.int64())})
+                    c_ids, c_rows = c_ids[fall], c_rows[fall]
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([q_ids[i] for i, _, _ in found], pa.int64()), "vec_id": pa.array([c_ids[j] for _, j, _ in found], pa.int64()), "row": pa.array([c_rows[j] for _, j, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.int64())})
 
         both = grouped.join(buckets, ["tier", "cell"]).repartition(4 * partitions(spark), "block", "tier", "cell").select("asks", "rows")
-        return both.mapInArrow(run, "query_id long, vec_id long, score long")
+        return both.mapInArrow(run, "query_id long, vec_id long, row long, score long")
 
-    ordered = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ordered = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "row")
 
     def cut(found: DataFrame) -> DataFrame:
+        # Only repeated query rows find the same row with the same score again.
         return found.distinct().withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
 
     first_cell = queries.withColumns({"tier": F.greatest("tier", F.lit(head)), "cell": F.lit(0), "floor": F.lit(float("-inf"))})
@@ -171,7 +172,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     able = F.filter(F.array(*known), lambda t: (F.col("floor") <= 0) | (t["longest"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("floor")))
     goes = rest.withColumn("t", F.explode(able)).select("query_id", "v", "floor", "block", F.col("t.tier").alias("tier"), F.explode(F.sequence(F.lit(0), F.col("t.cells") - 1)).alias("cell"))
     goes = goes.where(~((F.col("tier") == head) & (F.col("cell") == 0)))
-    every_one = seen.select("query_id", "vec_id", "score").unionByName(meet(goes))
+    every_one = seen.select("query_id", "vec_id", "row", "score").unionByName(meet(goes))
     return cut(every_one).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -485,6 +485,15 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_counts_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (2, [2.5, 0.0]), (3, [1.0, 0.0]), (4, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = Counter([(0, 1, 1, 196608), (0, 2, 1, 196608), (0, 3, 2, 163840), (0, 4, 2, 131072), (0, 5, 3, 65536)])
+    assert got(topk_search.top_k(df, 5, 50), "query_id", "rank", "vec_id", "score") == want
+    again = spark.createDataFrame([*rows, rows[0]], df.schema)  # a repeated query row adds no answers
+    assert got(topk_search.top_k(again, 5, 50), "query_id", "rank", "vec_id", "score") == want
+
+
 # --- 10 substring dedup ---
 
 
