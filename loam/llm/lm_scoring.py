@@ -9,12 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import id_bucket, partitions, release, ship, staged, text_of
+from loam.llm.common import id_bucket, partitions, release, ship, staged, text_of, unstage
 
-#: Bytes of text in a block, and what piece counts are smoothed with.
-BLOCK, SMOOTH = 8 << 20, 0.1
-#: Re-estimations of the pieces' weights.
-ROUNDS = 4
+#: Bytes of text in a block; the stop's weight among further pieces, as a share of theirs.
+BLOCK, STOP = 8 << 20, 0.3
 MARK = "▁"
 #: Longest words that are worked off many at a time; bits of the table of pieces; the rolling hash's base.
 VECTOR, TABLE, BASE, ALL = 40, 18, 0x100000001B3, (1 << 64) - 1
@@ -43,11 +41,14 @@ def byte_pieces(char: str) -> list[str]:
     return [f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogateescape")]
 
 
-def weights_by_rank(pieces: dict[str, float]) -> np.ndarray:
-    """Weights by the vocabulary's own scores. Scores of a vocabulary by merges are minus the rank, which is no log
-    probability; a piece of rank r then weighs 1 / (r + 10), as words by rank do. In the order of the names."""
-    rank = {p: i for i, p in enumerate(sorted(pieces, key=lambda p: (-pieces[p], p)))}
-    return np.array([1 / (rank[p] + 10) for p in sorted(pieces)])
+def piece_weights(pieces: dict[str, float]) -> np.ndarray:
+    """What the vocabulary's scores make a piece weigh, in the order of the names: exp(score) for log probabilities. Scores of a
+    vocabulary of merges are 0, -1, -2, ..., minus the rank; a piece of rank r then weighs 1 / (r + 10), as words by rank do."""
+    names = sorted(pieces)
+    scores = np.array([pieces[p] for p in names])
+    if len(scores) and scores.max() <= 0 and (scores == np.rint(scores)).all():
+        return 1 / (10 - scores)
+    return np.exp(scores)
 
 
 def log_sum(x: list[float]) -> float:
@@ -143,27 +144,6 @@ class Speller:
             into[e].append(at + s)
         return log_sum(into[-1]) + self.stop
 
-    def expected(self, word: str, counts: np.ndarray) -> None:
-        """Adds the expected count of each piece given the word, by forward and backward recursion."""
-        text = MARK + word
-        n, arcs = len(text), self.arcs(text)
-        ahead, back = [0.0] + [NEVER] * n, [NEVER] * n + [0.0]
-        into: list[list[float]] = [[] for _ in range(n + 1)]
-        out: list[list[float]] = [[] for _ in range(n + 1)]
-        for b, e, _, s in arcs:
-            if b and ahead[b] == NEVER:
-                ahead[b] = log_sum(into[b])
-            into[e].append(ahead[b] + s)
-        total = log_sum(into[n])
-        for b, e, _, s in reversed(arcs):
-            if e < n and back[e] == NEVER:
-                back[e] = log_sum(out[e])
-            out[b].append(s + back[e])
-        for b, e, spelt, s in arcs:
-            p = math.exp(ahead[b] + s + back[e] - total)
-            for i in spelt:
-                counts[i] += p
-
     # Many words at once.
 
     def _batches(self, words: list[str]):
@@ -181,7 +161,8 @@ class Speller:
                     yield some[known], np.concatenate([np.full((int(known.sum()), 1), ord(MARK), dtype=np.uint32), chars[known]], axis=1).T.astype(np.uint64)
         yield np.concatenate(rest), None
 
-    def _forward(self, chars: np.ndarray):
+    def _forward(self, chars: np.ndarray) -> np.ndarray:
+        """Log probability of the marked words in the columns, without the stop."""
         n, m = chars.shape
         found: dict[tuple[int, int], np.ndarray] = {}
         for b in range(n):
@@ -196,7 +177,7 @@ class Speller:
         ahead[0] = 0
         for e in range(1, n + 1):
             ahead[e] = column_log_sum([ahead[b] + score[at] for (b, x), at in found.items() if x == e])
-        return found, score, ahead
+        return ahead[n]
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
@@ -205,26 +186,9 @@ class Speller:
                 for i in own:
                     out[i] = self.log_prob(words[i])
             else:
-                out[own] = self._forward(chars)[2][-1] + self.stop
+                out[own] = self._forward(chars) + self.stop
         return out
 
-    def add_expected(self, words: list[str], counts: np.ndarray) -> None:
-        """expected() of all words."""
-        for own, chars in self._batches(words):
-            if chars is None:
-                for i in own:
-                    self.expected(words[i], counts)
-                continue
-            found, score, ahead = self._forward(chars)
-            n, m = chars.shape
-            back = np.full((n + 1, m), NEVER)
-            back[n] = 0
-            for b in range(n - 1, 0, -1):
-                back[b] = column_log_sum([back[e] + score[at] for (x, e), at in found.items() if x == b])
-            for (b, e), at in found.items():
-                p = np.exp(ahead[b] + score[at] + back[e] - ahead[n])
-                counts += np.bincount(at + 1, weights=p, minlength=len(counts) + 1)[1:]
-
 
 def column_log_sum(rows: list[np.ndarray]) -> np.ndarray:
     x = np.array(rows)
@@ -310,19 +274,18 @@ def blocks_of(docs: DataFrame, folds: int, held: int, id_col: str, text_col: str
     return rows.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """log10 probability of every text under a model of the texts whose fold isn't held out.
+def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """log10 probability of every text: the sum over all segmentations of its words into pieces of an existing vocabulary.
 
-    Tokens are the words of the A-Z lower-cased text and one end. A token with training count c is drawn whole with
-    probability (c - D) / N; the mass left, D * T / N (N training tokens, T different ones, D the usual absolute discount n1 /
-    (n1 + 2 n2)), goes to spelling: the sum over all segmentations of a word into pieces of an existing vocabulary. Piece
-    weights begin with the vocabulary's scores and are re-estimated, `rounds` times, by expected counts over all
-    different training words. So a token's probability is the sum of all paths through a lattice of the whole word and
-    the pieces, and the probabilities of all tokens sum to 1.
+    Tokens are the words of the A-Z lower-cased text and one end. Each token is the end with the probability that the texts
+    whose fold isn't held out give it, (ends + 0.5) / (N + 1); otherwise it is a word, whose probability is that of all paths through
+    the lattice of its pieces, by forward recursion in log space. The pieces' weights are the vocabulary's own scores (see
+    piece_weights) and nothing else. Every string has a path, as characters that are no piece are spelt by bytes, and the probabilities
+    of all tokens sum to 1.
 
     A row for each row of docs: doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score
-    (add-half unigrams), score. Null texts count as empty: one token, the end. Null ids are in no held-out fold. Without any
-    training text all tokens are unknown. Empty table: no rows.
+    (add-half unigrams of the words of all training texts), score. Null texts count as empty: one token, the end. Null ids are in no held-out
+    fold. Without any training text all tokens are unknown, and the end has probability 1/2. Empty table: no rows.
 
     Words are counted block by block: each run of documents lists its different words once, these lists are summed by word, each
     different word is scored once, and the scores go back to the blocks. No list holds the words of all documents.
@@ -334,37 +297,29 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
     counts = staged(listed.groupBy("word").agg(F.sum("times").alias("c")).repartition(2 * partitions(spark), "word"), "word-counts")
     release(spark)
     ends = blocks.select(F.explode("docs").alias("d")).agg(F.count(F.when(~F.col("d.held_out"), 1)).alias("n")).first()["n"]
-    once, twice = (F.count(F.when(F.col("c") == n, 1)) for n in (1, 2))
-    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), once.alias("n1"), twice.alias("n2")).first()
+    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, types = found["n"] + ends, found["v"] + (ends > 0)
-    discount = min(0.95, max(0.05, found["n1"] / max(1, found["n1"] + 2 * found["n2"])))
-    left = discount * types / total if total else 1.0
+    end = (ends + 0.5) / (total + 1)
 
     vocabulary = read_pieces(pieces_path)
-    pieces = spark.sparkContext.broadcast(Pieces(vocabulary))  # as long as the vocabulary file
-    weight = weights_by_rank(vocabulary)
-    stop = 0.3 * float(weight[~pieces.value.marked].sum())
-    for _ in range(rounds if found["v"] else 0):
-        weight, stop = _estimated(counts.where("c > 0"), pieces, weight, stop, found["v"])
-    model = spark.sparkContext.broadcast((weight, stop))
+    model = spark.sparkContext.broadcast(Pieces(vocabulary))  # as long as the vocabulary file
+    weight = piece_weights(vocabulary)
 
     def spell(batches):
         import pyarrow as pa
 
-        s = Speller(pieces.value, *model.value)
+        s = Speller(model.value, weight, STOP * weight[~model.value.marked].sum())
         for batch in gathered(batches):
-            spelt = s.log_probs([decoded(w) for w in batch.column("word").to_pylist()]) + math.log(left)
-            c = batch.column("c").to_numpy().astype(np.float64)
-            whole = np.log(np.where(c > 0, c - discount, 1.0) / max(1, total))
-            p = np.where(c > 0, np.logaddexp(whole, spelt), spelt)
+            p = s.log_probs([decoded(w) for w in batch.column("word").to_pylist()]) + math.log1p(-end)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p / math.log(10))], names=["word", "c", "p"])
 
     scored = staged(counts.mapInArrow(spell, "word binary, c long, p double"), "word-scores")
+    unstage(counts)
     release(spark)
     back = listed.select("block", "place", "word").join(scored.hint("merge"), "word").groupBy("block").agg(F.collect_list(F.struct("place", "c", "p")).alias("words"))
     both = blocks.select("block", "docs").join(back.hint("merge"), "block", "left").select("docs", "words")
     base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
-    end_score = math.log10((ends - discount) / total) if ends else math.log10(0.5 / (total + 1))
+    end_score = math.log10(end)
 
     def sums(batches):
         import pyarrow as pa
@@ -393,25 +348,3 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, roun
 
     out = both.mapInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _estimated(words: DataFrame, pieces, weight: np.ndarray, stop: float, types: int) -> tuple[np.ndarray, float]:
-    """Weights by expected counts over different words, with SMOOTH more for each piece; each word has one stop."""
-    spark = words.sparkSession
-    sent = spark.sparkContext.broadcast((weight, stop))
-
-    def run(batches):
-        import pyarrow as pa
-
-        s = Speller(pieces.value, *sent.value)
-        counts = np.zeros(len(s.score))
-        for batch in gathered(batches):
-            s.add_expected([decoded(w) for w in batch.column("word").to_pylist()], counts)
-        some = np.flatnonzero(counts > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
-
-    got = words.select("word").mapInArrow(run, "piece long, n double")
-    out = np.full(len(weight), SMOOTH)
-    for r in got.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row a piece
-        out[r["piece"]] += r["n"]
-    return out, float(types)

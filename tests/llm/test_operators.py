@@ -384,7 +384,7 @@ def pieces():
 
 
 def test_lm_scores(edge_docs, edge_rows, no_docs, pieces):
-    out = lm_scoring.score(edge_docs, pieces, rounds=2).collect()
+    out = lm_scoring.score(edge_docs, pieces).collect()
     count, ends = Counter(), 0
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     for d, t, *_ in edge_rows:
@@ -399,26 +399,30 @@ def test_lm_scores(edge_docs, edge_rows, no_docs, pieces):
         want[d, held(d), len(w) + 1, sum(count[x] > 0 for x in w) + 1, n, round(base, 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     # The score against a plain run of the same model.
-    import numpy as np
-
     names = lm_scoring.read_pieces(pieces)
-    known, weight = lm_scoring.Pieces(names), lm_scoring.weights_by_rank(names)
-    s = lm_scoring.Speller(known, weight, 0.3 * weight[~known.marked].sum())
-    for _ in range(2):
-        c = np.zeros(len(weight))
-        for x in count:
-            s.expected(x, c)
-        s = lm_scoring.Speller(known, lm_scoring.SMOOTH + c, float(len(count)))
-    n1, n2 = (sum(k == i for k in count.values()) for i in (1, 2))
-    cut = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
-    p = {}
-    for _, t, *_ in edge_rows:
-        for x in WORD.findall(lower(t or "")):
-            if x not in p:
-                p[x] = math.log10(max(0, count[x] - cut) / n + cut * v / n * math.exp(s.log_prob(x)) or 1e-300)
-                if p[x] < -290:
-                    p[x] = (math.log(cut * v / n) + s.log_prob(x)) / math.log(10)
-    end = math.log10((ends - cut) / n)
+    weight = {x: 1 / (10 - w) for x, w in names.items()}
+    first, later = sum(w for x, w in weight.items() if x[0] == lm_scoring.MARK), 1.3 * sum(w for x, w in weight.items() if x[0] != lm_scoring.MARK)
+
+    def plain_word(x):
+        """The sum over all ways to cut the marked word, begin by begin, in plain probabilities scaled by character."""
+        t = lm_scoring.MARK + x
+        ways, scale = [1.0] + [0.0] * len(t), 0.0
+        for e in range(1, len(t) + 1):
+            for b in range(max(0, e - 24), e):
+                piece = t[b:e]
+                if piece in weight and not lm_scoring.is_byte(piece) and (b == 0 or piece[0] != lm_scoring.MARK):
+                    ways[e] += ways[b] * weight[piece] / (later if b else first)
+                elif e == b + 1:
+                    ways[e] += ways[b] * math.prod(weight[f"<0x{c:02X}>"] / later for c in piece.encode())
+            top = max(ways[max(0, e - 23) : e + 1])
+            if 0 < top < 1e-100:
+                ways, scale = [w / top for w in ways], scale + math.log10(top)
+        return math.log10(ways[-1]) + scale + math.log10(0.3 / 1.3)
+
+    assert max(len(x) for x in weight) <= 24
+    end = (ends + 0.5) / (n + 1)
+    p = {x: plain_word(x) + math.log10(1 - end) for _, t, *_ in edge_rows for x in WORD.findall(lower(t or ""))}
+    end = math.log10(end)
     plain = Counter((d, round(sum(p[x] for x in WORD.findall(lower(t or ""))) + end, 4)) for d, t, *_ in edge_rows)
     assert Counter((r["doc_id"], round(r["score"], 4)) for r in out) == plain
     assert lm_scoring.score(no_docs, pieces).count() == 0
