@@ -26,9 +26,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and there are no other
+    executors (tests). What lies in it of this application goes when the driver ends."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loam-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -37,7 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loam-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    top = f"{shared_dir(spark)}/loam-{sc.applicationId}"
+    if getattr(sc, "_loam_top", None) != top:  # staged tables that later steps still read can go only at the end
+        at = spark._jvm.org.apache.hadoop.fs.Path(top)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        sc._loam_top = top
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
