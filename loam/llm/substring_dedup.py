@@ -93,40 +93,61 @@ def banded(docs: DataFrame, offsets: list[int], width: int, words_in: int) -> Da
     return docs.mapInArrow(run, "doc_id long, text_key long, band long, word int")
 
 
-def _next(u: np.ndarray, v: np.ndarray) -> tuple[int, int] | None:
-    """Places of equal values in u and v, near both beginnings."""
-    size, whole = 16, max(len(u), len(v))
-    while len(u) and len(v):
-        a, b = u[:size], v[:size]
-        order = np.argsort(b, kind="stable")
-        pos = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-        hit = np.flatnonzero(b[order[pos]] == a)
-        if len(hit):
-            far = hit + order[pos[hit]]
-            best = int(np.argmin(far))
-            return int(hit[best]), int(order[pos[hit[best]]])
-        if size >= whole:
-            break
+def _next(u: list[int], v: list[int], i: int, j: int, most: int) -> tuple[int, int] | None:
+    """How far behind i in u and j in v the nearest equal values are (least sum, then least in u), each less than most."""
+    if most > 3 and i + 3 < len(u) and j + 3 < len(v):  # a replaced, added or lost word
+        a, b, c, d, e, f = u[i], v[j], u[i + 1], v[j + 1], u[i + 2], v[j + 2]
+        if a == d:
+            return 0, 1
+        if c == b:
+            return 1, 0
+        if a == f:
+            return 0, 2
+        if c == d:
+            return 1, 1
+        if e == b:
+            return 2, 0
+    size, whole = 16, min(most, max(len(u) - i, len(v) - j))
+    while True:
+        first: dict[int, int] = {}
+        for n, b in enumerate(v[j : j + min(size, most)]):
+            first.setdefault(b, n)
+        best, far = None, 2 * size
+        for n, a in enumerate(u[i : i + min(size, most)]):
+            if n >= far:
+                break
+            if (m := first.get(a)) is not None and n + m < far:
+                best, far = (n, m), n + m
+        if best is not None or size >= whole:
+            return best
         size *= 8
-    return None
 
 
-def chain(x: np.ndarray, y: np.ndarray, gx: np.ndarray, gy: np.ndarray, i: int, j: int, limit: int) -> np.ndarray:
+def equal_run(x: list[int], y: list[int], i: int, j: int) -> int:
+    """How many words from i in x and j in y on are equal."""
+    n, t, step = min(len(x) - i, len(y) - j), 0, 8
+    while step and t < n:
+        if x[i + t : i + t + step] == y[j + t : j + t + step]:
+            t, step = t + step, 2 * step
+        else:
+            step //= 2
+    return min(t, n)
+
+
+def chain(x: list[int], y: list[int], gx: list[int], gy: list[int], i: int, j: int, limit: int, known: dict) -> np.ndarray:
     """Runs of equal words (place in x, in y, length) from words i and j on: the first begins there, each further one at the next
-    shingle in common, as long as no more than limit words are skipped."""
-    out, skipped = [], 0
+    shingle in common, as long as no more than limit words are skipped. known: what follows the ends of runs, for further calls."""
+    t, skipped = equal_run(x, y, i, j), 0
+    out = [(i, j, t)]
     while True:
-        n = min(len(x) - i, len(y) - j)
-        differ = np.flatnonzero(x[i : i + n] != y[j : j + n])
-        t = int(differ[0]) if len(differ) else n
-        out.append((i, j, t))
         i, j = i + t, j + t
-        left = limit - skipped + 1
-        step = _next(gx[i : i + left], gy[j : j + left]) if left > 0 else None
-        if step is None:
+        if (i, j) not in known:
+            near = _next(gx, gy, i, j, limit + 1)
+            known[i, j] = near and (*near, equal_run(x, y, i + near[0], j + near[1]))
+        if (step := known[i, j]) is None or (skipped := skipped + max(step[:2])) > limit:
             return np.array(out, dtype=np.int64)
-        skipped += max(step)
-        i, j = i + step[0], j + step[1]
+        i, j, t = i + step[0], j + step[1], step[2]
+        out.append((i, j, t))
 
 
 def passages(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int]], percent: int, words_in: int, k: int):
@@ -134,17 +155,20 @@ def passages(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int]], percent
 
     x and y: hashes of words; pairs: places in x and y where equal runs of words begin. From each, equal runs are chained in both
     directions across edits, and the longest joined span counts whose k-word shingles are similar by percent: aligned ones,
-    100 * common >= percent * (all of x's span + all of y's span - common).
+    100 * common >= percent * (all of x's span + all of y's span - common). Places of one run of equal words have one chain.
     """
-    gx, gy = (rolled(a, k) for a in (x, y))
-    back = [a[::-1] for a in (x, y, gx, gy)]
+    forth = [a.tolist() for a in (x, y, rolled(x, k), rolled(y, k))]
+    back = [a[::-1] for a in forth]
     limit = min(len(x), len(y)) * (100 - percent) // percent + k
-    spans, alone = [], []
+    spans, alone, tried, after, before = [], [], {}, {}, {}
     for i, j in sorted(pairs):
         if any(a <= i and i + SEED <= b for a, b, _, _ in spans):
             continue
-        right = chain(x, y, gx, gy, i, j, limit)
-        left = chain(*back, len(x) - i, len(y) - j, limit)
+        if i < tried.get(i - j, 0):
+            alone.append((i, j))
+            continue
+        right = chain(*forth, i, j, limit, after)
+        left = chain(*back, len(x) - i, len(y) - j, limit, before)
         a, a2 = len(x) - left[:, 0] - left[:, 2], len(y) - left[:, 1] - left[:, 2]
         b, b2 = right[:, 0] + right[:, 2], right[:, 1] + right[:, 2]
         # The runs at the start are one; any other has its own shingles.
@@ -157,6 +181,7 @@ def passages(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int]], percent
             spans.append((int(a[m]), int(b[n]), int(a2[m]), int(b2[n])))
         else:
             alone.append((i, j))
+            tried[i - j] = i + int(right[0, 2])
     return spans, alone
 
 
@@ -176,15 +201,16 @@ def verified(pairs: DataFrame, percent: int, words_in: int, k: int) -> DataFrame
             split = []
             for name in ("d_text", "f_text"):
                 split.append([v for texts in [encoded(batch, name)] for a, b in slices(texts) for v in _split(texts[a:b])])
-            for i, (places, (x, *xs), (y, *ys)) in enumerate(zip(batch.column("places").to_pylist(), *split, strict=True)):
-                band = {(p["word"], p["f_word"]): p["band"] for p in places}
+            for i, (places, (x, *xs), (y, *ys)) in enumerate(zip(batch.column("places"), *split, strict=True)):
+                at = places.values
+                band = dict(zip(zip(*(at.field(c).to_pylist() for c in ("word", "f_word")), strict=True), at.field("band").to_pylist(), strict=True))
                 spans, alone = passages(x, y, list(band), percent, words_in, k)
                 for a, b, a2, b2 in spans:
                     row.append(i)
                     out.append((a, b, int(xs[0][a]), int(xs[1][b - 1]), a2, b2, int(ys[0][a2]), int(ys[1][b2 - 1]), None))
-                for at in alone:
+                for place in alone:
                     row.append(i)
-                    out.append((None,) * 8 + (band[at],))
+                    out.append((None,) * 8 + (band[place],))
             row = pa.array(row, pa.int64())
             values = list(zip(*out, strict=True)) or [()] * 9
             yield pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in cols] + [pa.array(v, f.type) for v, f in zip(values, list(kinds)[4:], strict=True)], schema=kinds)
