@@ -307,6 +307,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
         place = F.struct("word", F.col("f.word").alias("f_word"), "band")
         pairs = found.join(first.hint("merge"), "band").where(_rank() != F.col("f.r")).groupBy("doc_id", "text_key", F.col("f.r.doc_id").alias("f_doc"), F.col("f.r.text_key").alias("f_key")).agg(F.collect_set(place).alias("places"))
         pairs = staged(pairs.withColumnsRenamed({"doc_id": "k_doc", "text_key": "k_text"}), "pairs")
+        release(spark)
         one = of_texts(pairs, "f_doc", "f_key", "places").select(F.col("doc_id").alias("d_doc"), F.col("text_key").alias("d_key"), F.col("text").alias("d_text"), F.col("f_doc").alias("k_doc"), F.col("f_key").alias("k_text"), "places")
         both = of_texts(one, "d_doc", "d_key", "d_text", "places").withColumnsRenamed({"doc_id": "f_doc", "text_key": "f_key", "text": "f_text"})
         out = staged(verified(both, percent, words_in, k), "matches")
