@@ -317,13 +317,13 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
 
     side = (words_in - SEED) // 2
     width = words_in - side
-    found = staged(banded(of_texts(hits, "seeds"), [-side, 0], width, words_in).distinct(), "bands")
+    found = staged(banded(of_texts(hits, "seeds"), [-side, 0], width, words_in), "bands")
     unstage(hits)
     release(spark)
     matches = matched(found)
     again = matches.where("band is not null").select("band").distinct()
     places = found.join(again.hint("merge"), "band", "left_semi").groupBy(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text")).agg(F.collect_set(F.col("word").cast("long")).alias("places"))
-    wide = staged(banded(of_texts(staged(places, "places"), "places"), list(range(-side, 1)), words_in, words_in).distinct(), "wide-bands")
+    wide = staged(banded(of_texts(staged(places, "places"), "places"), list(range(-side, 1)), words_in, words_in), "wide-bands")
     unstage(found)
     matches = matches.unionByName(matched(wide)).where("band is null").withColumns({"d": F.xxhash64("d_doc", "d_key"), "f": F.xxhash64("f_doc", "f_key")})
 
