@@ -62,21 +62,47 @@ def compact(lines: DataFrame, by: str, keep_newest: float, limit: int = LOG_LIMI
     return rows.where((F.col("size") <= limit) | (F.col("nth") <= keep)).select(*lines.columns)
 
 
+NUMBERED = r"^(.*)-([2-9]|[1-9]\d{1,8})$"
+
+
 def unique_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """wanted (id, slug) with final: the slug, or the slug with the first free number from 2 on, in id order.
+    """wanted (id, slug) with final: the slug, or the slug with the first number from 2 on that is free, in id order; what earlier
+    rows were given isn't free either.
 
-    Numbers that taken already has for a slug are skipped: the n-th comer gets the n-th free one, counted without trying them in turn.
+    Names can only meet within a family, the slugs that are the same without the numbers at their ends. Where a family wants one
+    slug, the n-th comer gets the n-th free number, counted without trying them in turn. Families that want several
+    (a and a-2) are folded in id order, a family a task.
     """
-    base = F.regexp_extract("slug", r"^(.*)-(\d{1,9})$", 1)
-    number = F.regexp_extract("slug", r"^(.*)-(\d{1,9})$", 2)
-    numbered = taken.where(F.col("slug").rlike(r"-([2-9]|[1-9]\d{1,8})$")).select(base.alias("slug"), number.cast("long").alias("i"))
-    used = numbered.unionByName(taken.select("slug", F.lit(1).cast("long").alias("i"))).distinct()
+    root = F.regexp_replace("slug", r"(?:-(?:[2-9]|[1-9]\d{1,8}))+$", "")
+    rows = wanted.select("id", "slug", root.alias("root"))
+    held = taken.select("slug", root.alias("root")).distinct()
+    kinds = rows.groupBy("root").agg((F.min("slug") != F.max("slug")).alias("mixed"))
+    rows = rows.join(kinds, "root")
+    one, many = rows.where("not mixed"), rows.where("mixed")
+
+    numbers = held.select(F.regexp_extract("slug", NUMBERED, 1).alias("slug"), F.regexp_extract("slug", NUMBERED, 2).try_cast("long").alias("i")).where("i is not null")
+    used = numbers.unionByName(held.select("slug", F.lit(1).cast("long").alias("i"))).distinct()
     lists = used.groupBy("slug").agg(F.array_sort(F.collect_list("i")).alias("used"))
     nth = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
-    rows = wanted.withColumn("nth", nth.cast("long")).join(lists, "slug", "left")
+    simple = one.withColumn("nth", nth.cast("long")).join(lists, "slug", "left")
     # The n-th number that isn't used: n, moved on by one for each used number up to it.
     free = F.aggregate(F.coalesce("used", F.array().cast("array<bigint>")), F.col("nth"), lambda a, u: F.when(u <= a, a + 1).otherwise(a))
-    return rows.select("id", "slug", free.alias("i")).select("id", F.when(F.col("i") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("i").cast("string"))).alias("final"))
+    simple = simple.select("id", "slug", free.alias("i")).select("id", F.when(F.col("i") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("i").cast("string"))).alias("final"))
+
+    def fold(asked, there):
+        names, last, out = set(there["slug"]), {}, []
+        for slug in asked.sort_values("id")["slug"]:
+            i = last.get(slug, 1)
+            while (name := slug if i == 1 else f"{slug}-{i}") in names:
+                i += 1
+            names.add(name)
+            last[slug] = i
+            out.append(name)
+        return asked.sort_values("id")[["id"]].assign(final=out)
+
+    kind = dict(wanted.dtypes)["id"]
+    folded = many.groupBy("root").cogroup(held.join(many.select("root").distinct(), "root", "left_semi").groupBy("root")).applyInPandas(fold, f"id {kind}, final string")
+    return simple.unionByName(folded)
 
 
 def clean_detail(detail: Column) -> Column:

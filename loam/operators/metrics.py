@@ -35,9 +35,15 @@ def stats(rounds: DataFrame) -> DataFrame:
     )
 
 
+def _live(*left_out: str) -> Column:
+    """A round's hits whose slug is in none of these lists of it."""
+    out = F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in left_out]))
+    return F.filter("hits", lambda h: ~F.array_contains(out, h["slug"]))
+
+
 def top_injected(rounds: DataFrame, n: int = TOP) -> DataFrame:
-    """Slugs by how often they were hits and not de-duplicated; ties by slug."""
-    hit = F.explode(F.filter("hits", lambda h: ~F.array_contains(F.col("deduped"), h["slug"])))
+    """Slugs by how often they were hits, neither de-duplicated nor echoed; ties by slug."""
+    hit = F.explode(_live("deduped", "echoed"))
     return rounds.select(hit.alias("h")).groupBy(F.col("h.slug").alias("slug")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "slug").limit(n)
 
 
@@ -46,10 +52,10 @@ def near_miss_histogram(rounds: DataFrame) -> DataFrame:
 
 
 def usage(rounds: DataFrame, opens: DataFrame, now: str, days: int) -> DataFrame:
-    """slug, hits, opens in the window that ends now: hits of injected rounds that were neither de-duplicated nor
+    """slug, hits, opens in the window that ends now: hits of injected rounds that were neither de-duplicated, echoed nor
     dropped, and slow picks; opens count one each."""
     since = days_before(moment(now), days)
-    lives = F.filter(F.transform("hits", lambda h: h["slug"]), lambda s: ~F.array_contains(F.concat("deduped", "dropped"), s))
+    lives = F.transform(_live("deduped", "echoed", "dropped"), lambda h: h["slug"])
     hit = rounds.where(F.col("injected") & (F.col("at") >= since)).select(F.explode(F.concat(lives, F.transform("slow", lambda s: s["slug"]))).alias("slug"))
     both = hit.select("slug", F.lit(1).alias("h"), F.lit(0).alias("o")).unionByName(opens.where(F.col("at") >= since).select("slug", F.lit(0).alias("h"), F.lit(1).alias("o")))
     return both.groupBy("slug").agg(F.sum("h").alias("hits"), F.sum("o").alias("opens"))
@@ -57,7 +63,7 @@ def usage(rounds: DataFrame, opens: DataFrame, now: str, days: int) -> DataFrame
 
 def rendered(rounds: DataFrame) -> DataFrame:
     """session, day, at, slug, score: pointers that each round showed, once each; slow picks without a score."""
-    live = F.filter("hits", lambda h: ~F.array_contains(F.concat("deduped", "dropped"), h["slug"]))
+    live = _live("deduped", "echoed", "dropped")
     shown = F.concat(F.transform(live, lambda h: F.struct(h["slug"].alias("slug"), h["score"].alias("score"))), F.transform("slow", lambda s: F.struct(s["slug"].alias("slug"), F.lit(None).cast("double").alias("score"))))
     rows = rounds.select("session", "day", "at", F.posexplode(shown).alias("nth", "x"))
     first = rows.groupBy("session", "day", "at", F.col("x.slug").alias("slug")).agg(F.min_by(F.col("x.score"), F.col("nth")).alias("score"))
@@ -101,32 +107,57 @@ def band_rates(rounds: DataFrame, opens: DataFrame) -> DataFrame:
     return out.select("band", "pointers", "opens", rate(F.col("opens"), F.col("pointers")).alias("open_rate"))
 
 
+def numbered(rows: DataFrame, order: str, *then: str, cell: Column) -> DataFrame:
+    """rows with nth, their number from 1 in the order of these columns. cell: a whole number that grows with the order and splits it
+    into ranges; ranges are counted, and rows numbered within them, so no task holds more than the rows of a range and the list of ranges."""
+    celled = rows.withColumn("_cell", cell)
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy(order, *then))
+    return celled.withColumn("_k", place).join(starts, "_cell").withColumn("nth", F.col("_k") + F.col("_before")).drop("_cell", "_k", "_before")
+
+
 def attribute_opens(opens: DataFrame, rounds: DataFrame, hours: int = ATTRIBUTION_HOURS, tail: int = ATTRIBUTION_TAIL) -> DataFrame:
     """opens (event_id, session, slug, at) with source, score and since (seconds): the newest round of the session, in
     log order and among the last `tail` rounds of the log at that time, not over 48 hours old, in which the slug was shown (also
-    one de-duplicated there); otherwise the source is search.
+    one de-duplicated there, but no dropped or echoed one); otherwise the source is search.
 
-    An as-of join as an equi-join by session and slug within the window, and one best row an open. Log order is place.
+    Log order is place. The log at the time of an open reaches up to the last place of a round that isn't later than it, so a
+    round whose clock is ahead counts if it lies before that place. The number of a log's rows by then is a running maximum
+    over time, by hours and within them; then an as-of join by session and slug, and one best row an open.
     """
-    was = F.filter("hits", lambda h: ~F.array_contains(F.col("dropped"), h["slug"]))
+    was = _live("dropped", "echoed")
+    log = numbered(rounds, "place", "session", cell=F.floor(F.col("place") / F.lit(1 << 16)))
+    hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    marks = log.select("at", "nth", F.lit(None).cast("long").alias("event_id")).unionByName(opens.select("at", F.lit(None).cast("long").alias("nth"), "event_id")).withColumn("hour", hour("at"))
+    reached = F.max("_n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    hours_of = marks.groupBy("hour").agg(F.max("nth").alias("_n")).withColumn("earlier", reached).drop("_n")
+    upto = F.max("nth").over(Window.partitionBy("hour").orderBy("at"))
+    length = marks.withColumn("upto", upto).where("event_id is not null").join(hours_of, "hour").select("event_id", F.greatest("upto", "earlier").alias("length"))
     shown = F.concat(F.transform(was, lambda h: F.struct(h["slug"].alias("slug"), h["score"].alias("score"))), F.transform("slow", lambda s: F.struct(s["slug"].alias("slug"), F.lit(None).cast("double").alias("score"))))
-    rows = rounds.select("session", "place", F.col("at").alias("r_at"), F.posexplode(shown).alias("nth", "x"))
-    rows = rows.select("session", "place", "r_at", "nth", F.col("x.slug").alias("slug"), F.col("x.score").alias("r_score"))
+    rows = log.select("session", F.col("nth").alias("line"), F.col("at").alias("r_at"), F.posexplode(shown).alias("nth", "x"))
+    rows = rows.select("session", "line", "r_at", "nth", F.col("x.slug").alias("slug"), F.col("x.score").alias("r_score"))
     age = F.timestamp_diff("MICROSECOND", F.col("r_at"), F.col("at")) / 1e6
-    both = opens.join(rows, ["session", "slug"]).withColumn("since", F.greatest(age, F.lit(0.0))).where(age <= hours * 3600)
-    newest = Window.partitionBy("event_id").orderBy(F.col("place").desc(), "nth")
+    seen = (F.col("line") <= F.col("length")) & (F.col("line") > F.col("length") - tail)
+    both = opens.join(length, "event_id").join(rows, ["session", "slug"]).withColumn("since", F.greatest(age, F.lit(0.0))).where(seen & (age <= hours * 3600))
+    newest = Window.partitionBy("event_id").orderBy(F.col("line").desc(), "nth")
     found = both.withColumn("k", F.row_number().over(newest)).where("k = 1").select("event_id", "r_score", "since", F.lit("pointer").alias("hit"))
     out = opens.join(found, "event_id", "left")
     return out.select("event_id", "session", "slug", "at", F.coalesce("hit", F.lit("search")).alias("source"), F.col("r_score").alias("score"), "since")
 
 
 def slow_lane(rounds: DataFrame) -> DataFrame:
-    """One row: rounds with slow picks, and the upper median of their seconds from computed to consumed."""
-    s = rounds.where(F.size("slow") > 0).select((F.timestamp_diff("MICROSECOND", F.col("at"), F.col("consumed_at")) / 1e6).alias("lag"))
-    # The upper median by rank, without gathering the lags in one list.
-    counts = s.groupBy("lag").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy("lag"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return ranked.agg(F.coalesce(F.max("all"), F.lit(0)).alias("slow_rounds"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("lag"))).alias("median_lag"))
+    """One row: rounds with slow picks, and the upper median of their seconds from computed to consumed, none below 0."""
+    lag = F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", F.col("at"), F.col("consumed_at")) / 1e6)
+    s = rounds.where((F.size("slow") > 0) & F.col("consumed_at").isNotNull()).select(lag.alias("lag"), F.floor(lag).cast("long").alias("second"))
+    every = rounds.agg(F.count(F.when(F.size("slow") > 0, 1)).alias("slow_rounds"))
+    # The upper median by rank: the second it lies in by counts of seconds, then its place among the lags of that second.
+    seconds = s.groupBy("second").agg(F.count(F.lit(1)).alias("n"))
+    ranked = seconds.withColumn("upto", F.sum("n").over(Window.orderBy("second"))).withColumn("middle", F.floor(F.sum("n").over(Window.partitionBy()) / 2))
+    here = ranked.where((F.col("upto") > F.col("middle")) & (F.col("upto") - F.col("n") <= F.col("middle"))).select("second", (F.col("middle") - F.col("upto") + F.col("n") + 1).alias("k"))
+    lags = s.groupBy("second", "lag").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(here), "second")
+    median = lags.withColumn("upto", F.sum("n").over(Window.partitionBy("second").orderBy("lag"))).where(F.col("upto") >= F.col("k")).agg(F.min("lag").alias("median_lag"))
+    return every.join(median)
 
 
 def tuning_hint(rounds: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -59,8 +59,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval rounds, a row for each session and day, as the injection log has them: views are hits (those of 100 and
-    more: slow picks), errors were dropped, sign-ups de-duplicated, purchases near misses; a round with a hit is injected
-    unless everything was de-duplicated."""
+    more: slow picks), errors were dropped, sign-ups de-duplicated, purchases near misses, and every second purchase names a
+    slug that came out of the session itself (echoed); a round with a hit is injected unless everything was de-duplicated."""
     f = facts(spark, sf_dir)
     picked = lambda test, *cols: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("ts", "event_id", *cols)))), lambda x: F.struct(*[x[c].alias(c) for c in ("slug", "score") if c in cols]))
     f = f.withColumn("score", F.col("value") / 20)
@@ -68,6 +68,7 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     slugs = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.struct("ts", "event_id", "slug")))), lambda x: x["slug"])
     out = f.groupBy("session", "day").agg(
         F.min("ts").alias("at"), picked(fast, "slug", "score").alias("hits"), picked(slow, "slug").alias("slow"), slugs("error").alias("dropped"), slugs("signup").alias("deduped"),
+        F.collect_set(F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), F.col("slug"))).alias("echoed"),
         picked(F.col("event_type") == "purchase", "slug", "score").alias("near"), F.max("event_id").alias("place"),
     )
     return out.withColumns({"injected": F.size("hits") > F.size("deduped"), "used_tokens": 60 * F.size("hits"), "consumed_at": F.expr("at + make_dt_interval(0, 0, 0, size(slow) * 2.5)")})
@@ -77,7 +78,7 @@ FACTS_SQL = """
 facts as (
   select event_id, ts, user_id as session, ts::date as day, event_type, 't' || (props::json->>'$.k') as slug, value, value / 20 as score,
     case when event_type = 'view' then (case when value < 100 then 'hit' else 'slow' end) when event_type = 'error' then 'dropped'
-      when event_type = 'signup' then 'deduped' when event_type = 'purchase' then 'near' else 'open' end as kind
+      when event_type = 'signup' then 'deduped' when event_type = 'purchase' then 'near' else 'open' end as kind, event_type = 'purchase' and event_id % 2 = 0 as echo
   from events),
 rounds as (
   select session, day, min(ts) as at, max(event_id) as place, count(*) filter (kind = 'hit') as n_hits, count(*) filter (kind = 'deduped') as n_deduped,

@@ -80,7 +80,7 @@ near as (select *, row_number() over (partition by query_id order by case when b
 _SHOWN = """
 shown0 as (
   select f.session, f.day, r.at, f.slug, f.score, f.kind, f.ts, f.event_id from facts f join rounds r using (session, day)
-  where (f.kind = 'hit' and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and x.kind in ('deduped', 'dropped'))) or f.kind = 'slow'),
+  where (f.kind = 'hit' and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and (x.kind in ('deduped', 'dropped') or x.echo))) or f.kind = 'slow'),
 shown as (
   select session, day, at, slug, first(case when kind = 'hit' then score end order by case when kind = 'hit' then 0 else 1 end, ts, event_id) as score
   from shown0 group by session, day, at, slug)"""
@@ -228,7 +228,7 @@ def a1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stats(inputs.rounds(spark, sf_dir))
 
 
-@query(f"with {FACTS_SQL} select slug, count(*) as n from facts f where kind = 'hit' and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and x.kind = 'deduped') group by slug order by n desc, slug limit 10")
+@query(f"with {FACTS_SQL} select slug, count(*) as n from facts f where kind = 'hit' and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and (x.kind = 'deduped' or x.echo)) group by slug order by n desc, slug limit 10")
 def a2_top_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, J6, O5."""
     return metrics.top_injected(inputs.rounds(spark, sf_dir))
@@ -244,7 +244,7 @@ _USAGE = f"""
 live as (
   select f.slug, 1 as h, 0 as o from facts f join rounds r using (session, day)
   where r.injected and r.at >= timestamp '{NOW}' - interval 14 day and (f.kind = 'slow' or (f.kind = 'hit'
-    and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and x.kind in ('deduped', 'dropped'))))
+    and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and (x.kind in ('deduped', 'dropped') or x.echo))))
   union all select slug, 0, 1 from facts where kind = 'open' and ts >= timestamp '{NOW}' - interval 14 day),
 usage as (select slug, sum(h)::bigint as hits, sum(o)::bigint as opens from live group by slug)"""
 
@@ -328,11 +328,14 @@ def s10_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {FACTS_SQL}, sh as (
-  select f.session, r.place, r.at as r_at, f.slug, case when kind = 'hit' then score end as r_score, case when kind = 'hit' then 0 else 1 end as lane, f.ts, f.event_id from facts f join rounds r using (session, day)
-  where f.kind = 'slow' or (f.kind = 'hit' and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and x.kind = 'dropped'))),
-m as (select o.event_id, sh.r_score, greatest(epoch_us(o.ts) - epoch_us(r_at), 0)::double / 1e6 as since, row_number() over (partition by o.event_id order by place desc, lane, sh.ts, sh.event_id) as k
-  from facts o join sh on o.kind = 'open' and sh.session = o.session and sh.slug = o.slug and (epoch_us(o.ts) - epoch_us(r_at))::double / 1e6 <= 172800)
+    f"""with {FACTS_SQL}, log as (select *, row_number() over (order by place) as line from rounds),
+sh as (
+  select f.session, r.line, r.at as r_at, f.slug, case when kind = 'hit' then score end as r_score, case when kind = 'hit' then 0 else 1 end as lane, f.ts, f.event_id from facts f join log r using (session, day)
+  where f.kind = 'slow' or (f.kind = 'hit' and not exists (select 1 from facts x where x.session = f.session and x.day = f.day and x.slug = f.slug and (x.kind = 'dropped' or x.echo)))),
+reach as (select at, max(line) over (order by at) as line from log),
+o as (select f.*, (select max(line) from reach where reach.at <= f.ts) as length from facts f where kind = 'open'),
+m as (select o.event_id, sh.r_score, greatest(epoch_us(o.ts) - epoch_us(r_at), 0)::double / 1e6 as since, row_number() over (partition by o.event_id order by line desc, lane, sh.ts, sh.event_id) as k
+  from o join sh on sh.session = o.session and sh.slug = o.slug and sh.line <= o.length and sh.line > o.length - 50 and (epoch_us(o.ts) - epoch_us(r_at))::double / 1e6 <= 172800)
 select o.event_id, o.session, o.slug, o.ts as at, case when m.k is null then 'search' else 'pointer' end as source, r_score as score, since from facts o left join m on m.event_id = o.event_id and m.k = 1 where o.kind = 'open'"""
 )
 def j7_attribute_opens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,6 +467,8 @@ def _write(df: DataFrame) -> DataFrame:
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         import tempfile
 
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loam-"))
     return df.checkpoint()
 
@@ -476,13 +481,16 @@ best as (select pos, max(similarity) as best from (select a as pos, similarity f
 mem as (select cluster, pos, max(best) over (partition by cluster) as peak, row_number() over (partition by cluster order by best desc, pos) as rank from lab join best using (pos))"""
 
 
-@query()
+@query(f"{_CLUSTERS} select cluster, pos, peak, rank::int as rank from mem where rank <= 6")
 def g4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reach of a component has no cheap SQL here; a test holds it against a plain version."""
-    return cluster.clusters(cluster.similar_pairs(inputs.topics(spark, sf_dir)), _write)
+    """G4, A17, O6."""
+    return cluster.clusters(_write(cluster.similar_pairs(inputs.topics(spark, sf_dir))), _write)
 
 
-@query()
+@query(
+    f"{_CLUSTERS}, k as (select * from mem where rank <= 6), i as (select x.cluster, p.a, p.b, p.similarity, row_number() over (partition by x.cluster order by p.similarity desc, p.a, p.b) as rank "
+    "from pairs p join k x on x.pos = p.a join k y on y.pos = p.b and x.cluster = y.cluster) select cluster, a, b, similarity, rank::int as rank from i where rank <= 5"
+)
 def g5_asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _write(cluster.similar_pairs(inputs.topics(spark, sf_dir)))
     return cluster.asked_pairs(pairs, cluster.clusters(pairs, _write))
@@ -655,10 +663,16 @@ def w11_compact_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.compact(_lines(spark, sf_dir), "log", 0.75, 100_000).select("log", "place")
 
 
-@query("with w as (select o_orderkey as id, lower(o_orderpriority) as slug, row_number() over (partition by lower(o_orderpriority) order by o_orderkey) as k from orders) select id, case when slug = '1-urgent' then slug || '-' || (k + 1 + case when k >= 2 then 1 else 0 end) when k = 1 then slug else slug || '-' || k end as final from w")
+@query("""with o as (select o_orderkey as id, lower(o_orderpriority) as slug, min(o_orderkey) over () as first, max(o_orderkey) over () as last from orders),
+w as (select id, slug, row_number() over (partition by slug order by id) as k from o where id not in (first, last))
+select id, case when slug = '1-urgent' then slug || '-' || (k + 1 + case when k >= 2 then 1 else 0 end) when k = 1 then slug when slug = '2-high' and k >= 3 then slug || '-' || (k + 1) else slug || '-' || k end as final from w
+union all select first, '2-high-3' from (select distinct first from o) union all select last, '3-medium-2-2' from (select distinct last from o)""")
 def w15_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One priority's name and its number 3 are taken."""
-    wanted = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lower("o_orderpriority").alias("slug"))
+    """One priority's name and its number 3 are taken; the first order wants a number of another's, the last one a number that is gone by then."""
+    orders = inputs.table(spark, sf_dir, "orders")
+    ends = orders.agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    slug = F.when(F.col("o_orderkey") == F.col("first"), "2-high-3").when(F.col("o_orderkey") == F.col("last"), "3-medium-2").otherwise(F.lower("o_orderpriority"))
+    wanted = orders.join(F.broadcast(ends)).select(F.col("o_orderkey").alias("id"), slug.alias("slug"))
     return lifecycle.unique_slugs(wanted, spark.createDataFrame([("1-urgent",), ("1-urgent-3",)], "slug string"))
 
 
