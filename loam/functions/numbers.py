@@ -52,6 +52,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+def overlaps(a: Column, b: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+def delegation_depth(session: Column, option: Column) -> Column:
+    """The deeper of what a session and an option say; nulls and what is below 0 count as 0."""
+    return F.greatest(F.coalesce(session.cast("long"), F.lit(0)), F.coalesce(option.cast("long"), F.lit(0)), F.lit(0).cast("long"))
+
+
 def probability(answer: Column) -> Column:
     p = answer.try_cast("double")
     return F.when(p.between(0.0, 1.0), p)

@@ -79,12 +79,13 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(wide * F.lit(0.75) + (F.length(text) - wide) / F.lit(4.0)).cast("long")
 
 
-def truncate_to_tokens(text: Column, budget: int) -> Column:
+def truncate_to_tokens(text: Column, budget: int | Column) -> Column:
     """The longest prefix within the budget, without white space at its end, and an ellipsis; short texts as they are.
 
     In quarter tokens each character costs 1 or 3, so the prefix ends where the running cost passes 4 * budget.
     """
-    chars = F.split(F.substring(text, 1, 4 * budget + 1), "")
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    chars = F.split(F.substr(text, F.lit(1), 4 * budget + 1), "")
     cost = lambda c: F.when(c.rlike(WIDE_CHAR), 3).otherwise(1)
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"))
     step = lambda a, c: F.when((c == "") | (a["used"] < 0), a).when(a["used"] + cost(c) <= 4 * budget, F.struct((a["used"] + cost(c)).alias("used"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(-1).alias("used"), a["n"].alias("n")))
@@ -129,12 +130,20 @@ def is_trivial(text: Column, tokens: Column) -> Column:
     return (F.size(tokens) <= 3) | bare.between(1, 16)
 
 
-def scan_secrets(text: Column) -> Column:
-    """The first pattern, in order, that the text matches: pattern, offset, and up to ten printable characters before it."""
-    found = [F.when(text.rlike(p), F.struct(F.lit(n).alias("pattern"), (F.regexp_instr(text, F.lit(p)) - 1).alias("offset"))) for n, p in SECRETS.items()]
+def scan_secrets(text: Column, literals: tuple[str, ...] = (), source: str = "") -> Column:
+    """The first pattern, in order, that the text matches, and then the first literal: pattern, offset, and up to ten printable
+    characters before it. A context that shows the match itself or any literal is replaced whole."""
+    some = lambda name, at, matched: F.struct(F.lit(name).alias("pattern"), at.alias("offset"), matched.alias("matched"))
+    found = [F.when(text.rlike(p), some(n, F.regexp_instr(text, F.lit(p)) - 1, F.regexp_extract(text, p, 0))) for n, p in SECRETS.items()]
+    external = f"external({source})" if source else "external"
+    found += [F.when(text.contains(x), some(external, F.instr(text, x) - 1, F.lit(x))) for x in literals if x]
     hit = F.coalesce(*found)
     before = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), hit["offset"] - 9), F.least(F.lit(10), hit["offset"])), F.lit(r"[^\x20-\x7e]"), F.lit("."))
-    return F.when(hit.isNotNull(), F.struct(hit["pattern"].alias("pattern"), hit["offset"].alias("offset"), F.concat(before, F.lit("[REDACTED:"), hit["pattern"], F.lit("]")).alias("context")))
+    context = F.concat(before, F.lit("[REDACTED:"), hit["pattern"], F.lit("]"))
+    leaks = context.contains(hit["matched"])
+    for x in literals:
+        leaks = leaks | (context.contains(x) if x else F.lit(False))
+    return F.when(hit.isNotNull(), F.struct(hit["pattern"].alias("pattern"), hit["offset"].alias("offset"), F.when(leaks, "[REDACTED]").otherwise(context).alias("context")))
 
 
 def first_line(text: Column) -> Column:
@@ -148,6 +157,50 @@ def section(body: Column, heading: str) -> Column:
     return F.when(body.rlike(rf"(?im)^# +\Q{heading}\E[ \t]*$"), strip(got))
 
 
+def sections(body: Column) -> Column:
+    """Headings of level 1 with the text under each, in order; what comes before the first is left out."""
+    parts = F.filter(F.split(body, r"(?m)^(?=# .)"), lambda p: p.rlike(r"^# ."))
+    return F.transform(parts, lambda p: F.struct(strip(F.substring_index(F.substr(p, F.lit(3)), "\n", 1)).alias("heading"), strip(F.when(p.contains("\n"), F.substr(p, F.locate("\n", p) + 1)).otherwise("")).alias("text")))
+
+
+def set_section(body: Column, heading: str, text: Column) -> Column:
+    """body with this text under the first heading of this name, whatever its case, or under a new one at the end."""
+    all_ = sections(body)
+    at = F.array_position(F.transform(all_, lambda s: F.lower(s["heading"])), F.lit(heading.lower()))
+    new = F.transform(all_, lambda s, i: F.struct(s["heading"].alias("heading"), F.when(i + 1 == at, text).otherwise(s["text"]).alias("text")))
+    more = F.when(at == 0, F.array(F.struct(F.lit(heading).alias("heading"), text.alias("text")))).otherwise(F.slice(new, 1, 0))
+    return F.concat(F.array_join(F.transform(F.concat(new, more), lambda s: F.concat(F.lit("# "), s["heading"], F.lit("\n\n"), s["text"])), "\n\n"), F.lit("\n"))
+
+
+def content_line(doc: Column) -> Column:
+    """The first line that is neither blank nor a heading, 200 characters of it; empty if none."""
+    lines = F.filter(F.transform(F.split(doc, "\n"), strip), lambda x: (x != "") & ~x.startswith("#"))
+    return F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, 200)
+
+
+def preview(text: Column, most: int = 240) -> Column:
+    """The first line that isn't blank, as it is, cut with an ellipsis."""
+    line = F.coalesce(F.get(F.filter(F.split(text, "\n"), lambda x: strip(x) != ""), F.lit(0)), F.lit(""))
+    return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
+
+
+def cut_line(text: Column, most: int) -> Column:
+    """clip(), but never under 200 characters."""
+    return clip(text, max(200, most))
+
+
+def topic_kind(kind: Column) -> Column:
+    return F.when(F.lower(strip(F.coalesce(kind, F.lit("")))) == "lesson", "lesson").otherwise("topic")
+
+
+def lesson_status(confidence: Column) -> Column:
+    return F.when(F.coalesce(confidence, F.lit("")) == "established", "stable").otherwise("draft")
+
+
+def clean_triggers(triggers: Column) -> Column:
+    return F.filter(F.transform(F.coalesce(triggers, F.array().cast("array<string>")), strip), lambda x: x.isNotNull() & (x != ""))
+
+
 def unwrap_ref(ref: Column) -> Column:
     """A topic's slug from its slug or path, wrapped however often."""
     return F.regexp_replace(F.regexp_replace(strip(ref), F.lit(r"^(?:topics[/:])+"), F.lit("")), F.lit(r"(?:\.md)+$"), F.lit(""))

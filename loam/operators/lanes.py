@@ -60,6 +60,73 @@ def valid_picks(picks: DataFrame, candidates: DataFrame, most: int = MOST_PICKS)
     return one.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "slug", F.substring("why", 1, WHY).alias("why"))
 
 
+def gate_candidates(found: DataFrame, roster: DataFrame, most: int = 8) -> DataFrame:
+    """query_id, question, slug, title: the first `most` candidates (query_id, slug, rank) of each query that the roster still has; questions
+    are numbered over those."""
+    from pyspark.sql import Window
+
+    some = found.where(F.col("rank") <= most).join(roster.select("slug", "title"), "slug")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return some.select("query_id", F.concat(F.lit("c"), nth.cast("string")).alias("question"), "slug", "title")
+
+
+def op_key(op, slug, title):
+    """The slug that an operation is about, as columns: its own for an update, that of its title otherwise."""
+    from loam.functions.text import slugify
+
+    named = F.when(op == "update", slug).otherwise(title)
+    return F.when(named.isNull(), "").otherwise(slugify(named))
+
+
+def attributed(ops: DataFrame, fed: DataFrame) -> DataFrame:
+    """ops (id, observed array) with valid (the ids that were fed, in order), filtered (how many others) and dropped (none is left). fed: id."""
+    rows = ops.select("id", F.posexplode_outer("observed").alias("nth", "obs")).join(fed.select(F.col("id").alias("obs"), F.lit(True).alias("known")).distinct(), "obs", "left")
+    per = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("nth", "obs")))).alias("v"), F.count("nth").alias("n"))
+    valid = F.transform("v", lambda x: x["obs"])
+    return ops.join(per, "id").select(*[ops[c] for c in ops.columns], valid.alias("valid"), (F.col("n") - F.size("v")).alias("filtered"), (F.size("v") == 0).alias("dropped"))
+
+
+def routed(observations: DataFrame) -> DataFrame:
+    """observations with branch: what a run takes. Signals that were fed make lessons, and wait as long as there is anything else."""
+    signal = (F.col("source") == "fed") & (F.col("kind") == "signal")
+    others = observations.agg(F.coalesce(F.bool_or(~F.coalesce(signal, F.lit(False))), F.lit(False)).alias("others"))
+    rows = observations.join(F.broadcast(others)).withColumn("signal", F.coalesce(signal, F.lit(False)))
+    return rows.withColumn("branch", F.when(~F.col("signal"), "topic").when(F.col("others"), "waits").otherwise("lesson")).drop("signal", "others")
+
+
+def flagged_conflicts(ops: DataFrame, established: DataFrame) -> DataFrame:
+    """id, conflicts (different slugs of established lessons that the op says it conflicts with, in order, joined by commas), declared
+    (how many it named); ops without any are left out."""
+    rows = ops.select("id", F.size("conflicts_with").alias("declared"), F.posexplode("conflicts_with").alias("nth", "slug"))
+    known = rows.join(established.select("slug").distinct(), "slug", "left_semi").groupBy("id", "declared", "slug").agg(F.min("nth").alias("nth"))
+    per = known.groupBy("id", "declared").agg(F.array_sort(F.collect_list(F.struct("nth", "slug"))).alias("v"))
+    return per.select("id", F.array_join(F.transform("v", lambda x: x["slug"]), ",").alias("conflicts"), "declared")
+
+
+def run_counters(outcomes: DataFrame) -> DataFrame:
+    """One row of a run's counters over its operations (op, outcome, filtered, marked)."""
+    n = lambda test, name: F.count(F.when(test, 1)).alias(name)
+    ok = F.col("outcome") == "accepted"
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return outcomes.agg(n(ok & (F.col("op") == "create"), "created"), n(ok & (F.col("op") == "update"), "updated"), n(F.col("outcome") == "invalid", "invalid"), n(~F.col("outcome").isin("accepted", "invalid"), "rejected"), total("filtered"), total("marked"))
+
+
+def comparison_rows(answers: DataFrame) -> DataFrame:
+    """answers (slug, probability as text) as verdict rows of a comparison: band forced to record; what is no probability is left out."""
+    from loam.functions.numbers import probability
+
+    return answers.select("slug", probability(F.col("probability")).alias("probability")).where("probability is not null").select(F.concat(F.lit("slug:"), "slug").alias("ref"), "probability", F.lit("record").alias("band"))
+
+
+def verdicts_of(log: DataFrame, lane: str = "fastgate-shadow", adopt: float = 0.6, record: float = 0.1) -> DataFrame:
+    """Rows of one lane of a decision log (lane, ref, probability, band) that name a topic and have a probability: slug, probability, band (by the
+    probability where the row has none of its own)."""
+    p = F.col("probability").cast("double")
+    ok = (F.col("lane") == lane) & F.col("ref").startswith("slug:") & p.isNotNull() & ~F.isnan(p) & (F.abs(p) < F.lit(float("inf")))
+    band = F.when(F.col("band").isin("adopt", "record", "fallback"), F.col("band")).when(p >= adopt, "adopt").when(p >= record, "record").otherwise("fallback")
+    return log.where(ok).withColumn("slug", F.substr("ref", F.lit(6))).withColumn("band", band)
+
+
 def distill(pending: list[dict], call: Callable[[str], str], batch: int = BATCH) -> list[dict]:
     """Operations that a model proposes for a queue of observations, batch by batch: a batch too long for an answer is
     halved (to 5 at least), a malformed answer is asked for once more, eight calls at most. call raises OverflowError where the answer was cut off."""

@@ -133,6 +133,17 @@ def expired(topics: DataFrame, now: str, days: int) -> DataFrame:
     return topics.where(F.lit(days > 0) & (F.col("status") == "deprecated") & (F.col("generated_at") <= cutoff))
 
 
+def newest(topics: DataFrame, n: int = 100) -> DataFrame:
+    """The n topics generated last, ties by slug, with rank. A top-n, not a sort of all."""
+    top = topics.orderBy(F.col("generated_at").desc(), "slug").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("generated_at").desc(), "slug")))
+
+
+def undistilled(observations: DataFrame, n: int = 40, within: int = 2000) -> DataFrame:
+    """The last n rows that aren't distilled, among the last `within` of the log."""
+    return tail(tail(observations, within).where(~F.col("distilled")), n)
+
+
 def repair_depends(topics: DataFrame) -> DataFrame:
     """topics whose depends changed by taking each reference's one path, empty and repeated ones left out."""
     fixed = F.array_distinct(F.filter(F.transform("depends", depends_path), lambda x: x != ""))

@@ -76,6 +76,25 @@ def zero_open(rounds: DataFrame, opens: DataFrame, now: Column) -> DataFrame:
     return often.join(opens.select("slug").distinct(), "slug", "left_anti")
 
 
+def zero_open_list(rounds: DataFrame, opens: DataFrame, n: int = TOP) -> DataFrame:
+    """slug, injections, total: the n most rendered slugs of zero_open() as of the newest round, ties by slug, and how many there are."""
+    now = rounds.agg(F.max("at").alias("now"))
+    recent = rounds.join(F.broadcast(now)).where(F.col("at") >= days_before(F.col("now"), ZERO_OPEN_DAYS))
+    often = rendered(recent).groupBy("slug").agg(F.count(F.lit(1)).alias("injections")).where(F.col("injections") >= ZERO_OPEN_LEAST)
+    all_ = often.join(opens.select("slug").distinct(), "slug", "left_anti")
+    top = all_.orderBy(F.col("injections").desc(), "slug").limit(n)
+    return top.join(F.broadcast(all_.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def status_report(topics: DataFrame, observations: DataFrame, conflicts: DataFrame, broken: DataFrame, within: int = 2000) -> DataFrame:
+    """One row: topics by status, observations (of the last `within`) pending and all, conflicting slugs and broken topics."""
+    by = topics.agg(F.count(F.lit(1)).alias("topics"), *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("draft", "stable", "deprecated")])
+    seen = observations.orderBy(F.col("place").desc()).limit(within)
+    obs = seen.agg(F.count(F.when(~F.col("distilled"), 1)).alias("pending"), F.count(F.lit(1)).alias("observations"))
+    n = lambda df, name: df.select("slug").distinct().agg(F.count(F.lit(1)).alias(name))
+    return by.join(obs).join(n(conflicts, "conflicts")).join(n(broken, "broken"))
+
+
 def open_topics(rounds: DataFrame, opens: DataFrame, n: int = TOP) -> DataFrame:
     """The most rendered slugs with their opens and open rate; ties by slug."""
     shown = rendered(rounds).groupBy("slug").agg(F.count(F.lit(1)).alias("injections"))

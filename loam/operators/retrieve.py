@@ -128,13 +128,14 @@ def session_filter(found: DataFrame, injected: DataFrame, distilled: DataFrame)
 
 
 def graph_expansion(found: DataFrame, edges: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
-    """Hits with neighbours over undirected edges (src, dst, ord), up to top_k + 2 a query: query_id, slug, score, depth.
+    """Hits with neighbours over undirected edges, up to top_k + 2 a query: query_id, slug, score, depth. edges: src, dst, ord (place among
+    the references of src) and back (place of src in the roster); a node's own references come first, then what refers to it.
 
     Breadth first: at depth d a neighbour gets its parent's score * 0.5 ** d, the parent's own decay included. A node is
     met once, by its first parent in rank order and there by edge order, and then neither passes on nor takes a slot if it
     misses the threshold or no slot is left. Each depth is two joins; the number of slots bounds what is carried on.
     """
-    both = edges.select(F.col("src").alias("from"), F.col("dst").alias("slug"), F.lit(0).alias("way"), "ord").unionByName(edges.select(F.col("dst").alias("from"), F.col("src").alias("slug"), F.lit(1).alias("way"), "ord"))
+    both = edges.select(F.col("src").alias("from"), F.col("dst").alias("slug"), F.lit(0).alias("way"), "ord").unionByName(edges.select(F.col("dst").alias("from"), F.col("src").alias("slug"), F.lit(1).alias("way"), F.col("back").alias("ord")))
     out = found.select("query_id", "slug", F.col("gate_score").alias("value"), "score", "rank", F.lit(0).alias("depth"))
     frontier, met = out, out.select("query_id", "slug")
     for depth in range(1, cfg.graph_depth + 1):

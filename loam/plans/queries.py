@@ -167,12 +167,26 @@ def r15_session_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "session", "slug", "outcome")
 
 
-@query()
+@query(
+    f"""with {sql_scored()}, h as (select *, row_number() over ({_ORDER}) as rank from scored where gate_score >= 0.3 and {_GATE}),
+h4 as (select query_id, slug, gate_score as value, score, rank::int as rank, 0 as depth from h where rank <= 4),
+rf as (select slug as src, pos, unnest(list_concat(depends, links)) as dst, generate_subscripts(list_concat(depends, links), 1) as ord from roster),
+adj as (select src as u, dst as v, 0 as way, min(ord) as ord from rf where src <> dst group by src, dst union all select dst, src, 1, pos from (select distinct src, dst, pos from rf where src <> dst)),
+s1 as (select h4.query_id, v as slug, h4.value * 0.5::double as value, h4.rank as parent, way, ord, row_number() over (partition by h4.query_id, v order by h4.rank, way, ord) as k from h4 join adj on u = h4.slug),
+n1 as (select * from s1 where k = 1 and not exists (select 1 from h4 where h4.query_id = s1.query_id and h4.slug = s1.slug)),
+c0 as (select query_id, count(*) as n from h4 group by query_id),
+t1 as (select query_id, slug, value, n + row_number() over (partition by query_id order by parent, way, ord, slug) as rank from n1 join c0 using (query_id) where value >= 0.3),
+d1 as (select * from t1 where rank <= 6),
+s2 as (select d1.query_id, v as slug, d1.value * 0.25::double as value, d1.rank as parent, way, ord, row_number() over (partition by d1.query_id, v order by d1.rank, way, ord) as k from d1 join adj on u = d1.slug),
+n2 as (select * from s2 where k = 1 and not exists (select 1 from h4 where h4.query_id = s2.query_id and h4.slug = s2.slug) and not exists (select 1 from n1 where n1.query_id = s2.query_id and n1.slug = s2.slug)),
+c1 as (select query_id, count(*) as n from (select query_id from h4 union all select query_id from d1) group by query_id),
+t2 as (select query_id, slug, value, n + row_number() over (partition by query_id order by parent, way, ord, slug) as rank from n2 join c1 using (query_id) where value >= 0.3)
+select query_id, slug, score, rank, depth from h4 union all select query_id, slug, {sql_round("value", 3)}, rank::int, 1 from d1 union all select query_id, slug, {sql_round("value", 3)}, rank::int, 2 from t2 where rank <= 6"""
+)
 def r8_graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R8, G3, J10, J11."""
     topics = inputs.roster(spark, sf_dir)
-    ref = graph.references(topics).select("src", "dst", F.when(F.col("via") == "depends", 0).otherwise(1).alias("ord"))
-    return retrieve.graph_expansion(retrieve.hits(_scored(spark, sf_dir)), ref)
+    return retrieve.graph_expansion(retrieve.hits(_scored(spark, sf_dir)), graph.ordered_references(topics))
 
 
 _VEC = "v as (select vec_id, list_transform(embedding, lambda x: x::double) as e, label from embeddings)"
@@ -255,11 +269,21 @@ def a4_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.usage(inputs.rounds(spark, sf_dir), inputs.opens(spark, sf_dir), NOW, 14)
 
 
-@query(f"with {FACTS_SQL}, {_SHOWN} select slug, count(*) as n from shown where at >= timestamp '{NOW}' - interval 30 day and slug not in (select slug from facts where kind = 'open' and value > 60) group by slug having count(*) >= 5")
+@query(f"with {FACTS_SQL}, {_SHOWN} select slug, count(*) as n from shown where at >= timestamp '{NOW}' - interval 30 day and slug not in (select 't' || (c_nationkey * 3) from customer) group by slug having count(*) >= 5")
 def a5_zero_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5, against the opens of a value over 60 (all topics have some open)."""
-    often = inputs.facts(spark, sf_dir).where("event_type = 'click' and value > 60")
-    return metrics.zero_open(inputs.rounds(spark, sf_dir), often, metrics.moment(NOW))
+    """A5; customers stand in for the open log, as by clicks all topics have some open."""
+    return metrics.zero_open(inputs.rounds(spark, sf_dir), _customer_opens(spark, sf_dir), metrics.moment(NOW))
+
+
+def _customer_opens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), (F.col("c_nationkey") * 3).cast("string")).alias("slug"))
+
+
+@query(f"""with {FACTS_SQL}, {_SHOWN}, z as (select slug, count(*) as injections from shown where at >= (select max(at) from rounds) - interval 30 day and slug not in (select 't' || (c_nationkey * 3) from customer) group by slug having count(*) >= 5)
+select *, (select count(*) from z) as total from z order by injections desc, slug limit 10""")
+def o4_zero_open_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of the newest round."""
+    return metrics.zero_open_list(inputs.rounds(spark, sf_dir), _customer_opens(spark, sf_dir))
 
 
 @query(f"with {FACTS_SQL}, {_SHOWN} select session, day, at, slug, score from shown")

@@ -98,6 +98,27 @@ def day_windows(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n", "cents")
 
 
+def top_level(events: DataFrame, enabled: bool = False) -> DataFrame:
+    """events (depth, option_depth, ...) of sessions that no other session delegated; all of them if enabled. Works on streams too."""
+    from loam.functions.numbers import delegation_depth
+
+    return events if enabled else events.where(delegation_depth(F.col("depth"), F.col("option_depth")) == 0)
+
+
+def slow_outcomes(exits: DataFrame) -> DataFrame:
+    """exits (message, aborted, picks) of a slow lane with the outcome that its ledger keeps: every exit has one."""
+    failed = F.col("message").isNotNull()
+    late = F.coalesce(F.col("message").startswith("slow-lane call timeout"), F.lit(False)) | F.coalesce("aborted", F.lit(False))
+    return exits.withColumn("outcome", F.when(failed & late, "timeout").when(failed, "llm-error").when(F.coalesce("picks", F.lit(0)) == 0, "none-relevant").otherwise("picked"))
+
+
+def due(runs: DataFrame, now: str, days: int | None) -> DataFrame:
+    """runs (job, at) with due: the last evaluated run is unknown or days old or more; never due without a cadence."""
+    last = runs.groupBy("job").agg(F.max("at").alias("last"))
+    age = F.timestamp_diff("MICROSECOND", F.col("last"), F.lit(now).cast("timestamp_ntz"))
+    return last.withColumn("due", F.lit(days is not None) & (F.col("last").isNull() | (age >= (days or 0) * 86_400_000_000)))
+
+
 def session_ends(events: DataFrame) -> DataFrame:
     """session, seq: the end that counts. Ends may come twice; the first fires, and no other until the session is seeded
     again. events: session, seq, kind (end, seed, other)."""
