@@ -137,13 +137,13 @@ def scan_secrets(text: Column, literals: tuple[str, ...] = (), source: str = "")
     found = [F.when(text.rlike(p), some(n, F.regexp_instr(text, F.lit(p)) - 1, F.regexp_extract(text, p, 0))) for n, p in SECRETS.items()]
     external = f"external({source})" if source else "external"
     found += [F.when(text.contains(x), some(external, F.instr(text, x) - 1, F.lit(x))) for x in literals if x]
-    hit = F.coalesce(*found)
-    before = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), hit["offset"] - 9), F.least(F.lit(10), hit["offset"])), F.lit(r"[^\x20-\x7e]"), F.lit("."))
-    context = F.concat(before, F.lit("[REDACTED:"), hit["pattern"], F.lit("]"))
-    leaks = context.contains(hit["matched"])
-    for x in literals:
-        leaks = leaks | (context.contains(x) if x else F.lit(False))
-    return F.when(hit.isNotNull(), F.struct(hit["pattern"].alias("pattern"), hit["offset"].alias("offset"), F.when(leaks, "[REDACTED]").otherwise(context).alias("context")))
+    def described(hit: Column) -> Column:
+        before = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), hit["offset"] - 9), F.least(F.lit(10), hit["offset"])), F.lit(r"[^\x20-\x7e]"), F.lit("."))
+        context = F.concat(before, F.lit("[REDACTED:"), hit["pattern"], F.lit("]"))
+        leaks = F.exists(F.array(hit["matched"], *[F.lit(x) for x in literals if x]), lambda x: context.contains(x))
+        return F.when(hit.isNotNull(), F.struct(hit["pattern"].alias("pattern"), hit["offset"].alias("offset"), F.when(leaks, "[REDACTED]").otherwise(context).alias("context")))
+
+    return F.get(F.transform(F.array(F.coalesce(*found)), described), F.lit(0))  # the match is looked for once
 
 
 def first_line(text: Column) -> Column:

@@ -131,6 +131,16 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg(F.count(F.when(F.col("was") & F.col("is"), 1)).alias("both"), F.count(F.when(~F.col("is"), 1)).alias("only_old"), F.count(F.when(~F.col("was"), 1)).alias("only_new"))
 
 
+def round_rows(queries: DataFrame, packed: DataFrame, reserve: int) -> DataFrame:
+    """A log row for each query that isn't blank: query_id, included and dropped slugs in order, used tokens, injected. packed: as of pack_fixed()."""
+    slugs = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("place", "slug")))), lambda x: x["slug"])
+    per = packed.groupBy(F.col("round").alias("query_id")).agg(slugs(F.col("included")).alias("included"), slugs(~F.col("included")).alias("dropped"), F.max("used").alias("used"))
+    none = F.array().cast("array<string>")
+    rows = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("query_id").join(per, "query_id", "left")
+    included = F.coalesce("included", none)
+    return rows.select("query_id", included.alias("included"), F.coalesce("dropped", none).alias("dropped"), F.coalesce("used", F.lit(reserve).cast("long")).alias("used"), (F.size(included) > 0).alias("injected"))
+
+
 # Lines of entries.
 HEAD_LINE, SCORED, FROM_LESSON, WHY_RELATED = "### {} [{}] (topics:{}{})", " score:{}", " (lesson source:{})", "为什么相关: {}"
 CONCLUSION_LINE, OPEN_LINE, ADVICE_LINE, GRAPH_LINE, CONFLICT_LINE = "结论: {}", "待决: {}", "建议: {}", "(经依赖关系关联: {})", "⚠ 此条存在未合并冲突，结论可能过期。"

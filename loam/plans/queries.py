@@ -545,13 +545,6 @@ def t9_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "documents").select("doc_id", text.truncate_to_tokens(F.col("text"), 80).alias("short"))
 
 
-@query()
-def t10_sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T10-T12, over conversations."""
-    c = inputs.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", text.sanitize_query(F.col("text")).alias("query"))
-
-
 _SECRET = "case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in text.SECRETS.items()) + " end"
 
 
@@ -599,14 +592,6 @@ def n8_decision_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- packing ---
 
 
-@query()
-def k1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of each query against the pointer budget, at costs that follow from their titles."""
-    hits = retrieve.explicit_search(_scored(spark, sf_dir))
-    entries = hits.join(inputs.roster(spark, sf_dir).select("slug", "title"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", text.estimate_tokens(F.col("title")).alias("cost"))
-    return pack.pack_fixed(entries, pack.POINTER["total"], pack.POINTER["per_entry"], reserve=40)
-
-
 @query()
 def k3_pack_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1-K3: the same with texts cut to the budget that is left."""
@@ -798,15 +783,6 @@ def e_day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.day_windows(inputs.table(spark, sf_dir, "events"))
 
 
-@query()
-def e7_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's messages as splices; assistants' messages take the first pending one."""
-    c = inputs.table(spark, sf_dir, "conversations")
-    taken = F.when(F.col("role") == "assistant", 1).otherwise(0)
-    put = F.when(F.col("role") == "assistant", F.array().cast("array<string>")).otherwise(F.array("text"))
-    return turns.inbox(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.lit(0).alias("start"), taken.alias("removed"), put.alias("inserted")))
-
-
 # --- the rest ---
 
 
@@ -920,15 +896,6 @@ def m7_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.consolidated(t, t.select(op.alias("op"), "slug", F.lit(None).cast("string").alias("target")), NOW).select("slug", "status", "generated_at")
 
 
-@query()
-def k7_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: the pointer packer beside the digest packer."""
-    hits = retrieve.explicit_search(_scored(spark, sf_dir))
-    e = hits.join(inputs.roster(spark, sf_dir).select("slug", "title"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", text.estimate_tokens(F.col("title")).alias("cost"))
-    old, new = (pack.pack_fixed(e, total, per, 40).withColumnRenamed("round", "query_id") for total, per in ((200, 80), (1500, 300)))
-    return pack.compared(old, new)
-
-
 @query("with p as (select p_partkey, p_name, case p_size % 4 when 0 then 'depends:d1' when 1 then 'slow' when 2 then 'other' else '' end as via from part) select p_partkey, '- ' || p_name || ' [stable] (topics:p' || p_partkey || ') ← ' || case when via like 'depends%' then '经 depends 关联' when via = 'slow' then '慢道 pick' when via = '' then '关联扩展' else via end as line from p")
 def k5_neighbour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3, K5, T18."""
