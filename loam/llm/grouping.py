@@ -10,17 +10,18 @@ from loam.llm.common import partitions, staged, unstage
 SMALL, LARGE = 64, 2048
 
 
-def dealt(members: DataFrame, group: str, member: str) -> DataFrame:
+def dealt(members: DataFrame, group: str, member: str, weight: str, heaviest: int) -> DataFrame:
     """members with columns a, b and own: every two members of a group meet in a task (group, a, b).
 
     A group of up to a block goes to one task. A larger one is dealt into blocks by a hash of the member, and each pair
     of blocks is a task; a member goes to as many tasks as its group has blocks, under the number of its own block. The size of a
-    block follows the mean load of a task, between SMALL and LARGE members.
+    block follows the mean load of a task, between SMALL and LARGE members, and its members weigh no more than heaviest on average.
     """
     spark = members.sparkSession
     block = max(SMALL, min(LARGE, members.count() // (8 * partitions(spark))))
-    large = members.groupBy(group).agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") > block)
-    large = staged(large.select(group, F.ceil(F.col("n_group") / block).cast("int").alias("blocks")), "large-groups")
+    blocks = F.least(F.col("n_group"), F.greatest(F.ceil(F.col("n_group") / block), F.ceil(F.col("held") / heaviest))).cast("int")
+    large = members.groupBy(group).agg(F.count(F.lit(1)).alias("n_group"), F.sum(weight).alias("held"))
+    large = staged(large.select(group, blocks.alias("blocks")).where("blocks > 1"), "large-groups")
     rows = members.join(large.hint("merge"), group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member, F.lit(11)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -14,8 +14,10 @@ from loam.llm.shingles import sets
 
 #: Entries of a leaf, and children of a node.
 LEAF, FANOUT = 8, 4
-#: Shingles in at least one of so many documents of a slice may be common; so many of the commonest are told to all tasks.
+#: Shingles in at least one of so many documents of a slice may be common; at most so many of the commonest are told to all tasks.
 COMMON_SHARE, COMMON = 4000, 400_000
+#: Shingles of a block of full sets, on average (8 bytes each).
+BLOCK_SHINGLES = 2 << 20
 
 
 # --- signature trees ---------------------------------------------------------------------------------------------
@@ -45,7 +47,7 @@ def folded(bits: int, width: int, to: int) -> int:
 @dataclass
 class Node:
     """low and high: smallest and largest set below; bits: their bitmaps, OR-combined; slack: the most by which a set is
-    larger than its bitmap has bits."""
+    larger than its bitmap has bits; done: what a traversal has found out about all sets below (a place, or -1)."""
 
     low: int
     high: int
@@ -53,6 +55,7 @@ class Node:
     slack: int
     places: list[int]
     children: list[Node] = field(default_factory=list)
+    done: int = -1
 
 
 def tree(places: list[int], sizes: list[int], bits: list[int]) -> Node:
@@ -97,12 +100,13 @@ def pair_may_link(x: int, y: int, bx: int, by: int, percent: int) -> bool:
     return x - (bx & ~by).bit_count() >= least and y - (by & ~bx).bit_count() >= least
 
 
-def dual(a: Node, b: Node, percent: int, visit) -> None:
-    """Calls visit(leaf, leaf) for the pairs of leaves that no bound rules out; of a tree with itself each pair once."""
+def dual(a: Node, b: Node, percent: int, visit, settled) -> None:
+    """Calls visit(leaf, leaf) for the pairs of leaves that no bound rules out and that aren't settled(node, node) by what was found
+    before; of a tree with itself each pair once."""
     stack = [(a, b)]
     while stack:
         a, b = stack.pop()
-        if a is not b and not node_pair_may_link(a, b, percent):
+        if (a is not b and not node_pair_may_link(a, b, percent)) or settled(a, b):
             continue
         if a.places and b.places:
             visit(a, b)
@@ -115,13 +119,13 @@ def dual(a: Node, b: Node, percent: int, visit) -> None:
             stack.extend((a, x) for x in b.children)
 
 
-def candidate_pairs(sizes: list[int], bitmaps: list[bytes], own: list[int] | None, percent: int):
-    """Pairs of places that bitmaps can't rule out. own: the block of each member, if a task has two different ones; then only
-    pairs across the blocks count. Sets that can link have widths that differ at most by factors that folding evens out."""
+def traverse(sizes: list[int], bitmaps: list[bytes], own: list[int] | None, percent: int, meet, settled) -> None:
+    """Calls meet(i, j) for the pairs of places that bitmaps can't rule out, but those below settled nodes. own: the block of each
+    member, if a task has two different ones; then only pairs across the blocks count. Sets that can link have widths that differ at
+    most by factors that folding evens out."""
     bits = [int.from_bytes(b, "little") for b in bitmaps]
     widths = [8 * len(b) for b in bitmaps]
     two = own is not None and len(set(own)) > 1
-    found: list[tuple[int, int]] = []
     classes: dict[int, list[int]] = {}
     for i, w in enumerate(widths):
         classes.setdefault(w, []).append(i)
@@ -137,15 +141,62 @@ def candidate_pairs(sizes: list[int], bitmaps: list[bytes], own: list[int] | Non
             for n, i in enumerate(a.places):
                 for j in b.places[n + 1 :] if a is b else b.places:
                     if (not two or own[i] != own[j]) and pair_may_link(sizes[i], sizes[j], at[i], at[j], percent):
-                        found.append((i, j))
+                        meet(i, j)
 
         if len(members) + len(near) <= 1:
             continue
         lower = tree(members, sizes, at)
-        dual(lower, lower, percent, visit)
+        dual(lower, lower, percent, visit, settled)
         if near:
-            dual(lower, tree(near, sizes, at), percent, visit)
-    return found
+            dual(lower, tree(near, sizes, at), percent, visit, settled)
+
+
+def able_members(sizes: list[int], bitmaps: list[bytes], own: list[int] | None, percent: int) -> set[int]:
+    """Places that bitmaps let link with another one. Nodes all of which are known to be so don't meet again."""
+    hit: set[int] = set()
+
+    def all_hit(x: Node) -> bool:
+        if x.done < 0 and (all(i in hit for i in x.places) if x.places else all(all_hit(c) for c in x.children)):
+            x.done = 0
+        return x.done == 0
+
+    traverse(sizes, bitmaps, own, percent, lambda i, j: hit.update((i, j)), lambda a, b: all_hit(a) and all_hit(b))
+    return hit
+
+
+def linked_members(full: list[np.ndarray], own: list[int] | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets (sorted hashes), verified on the sets. What is connected already doesn't meet again, neither
+    member by member nor node by node, so a group of near copies costs few verifications more than it has members."""
+    forest, out = Forest(len(full)), []
+
+    def one(x: Node) -> int:
+        """A place below the node if all that are below it are connected, else -1."""
+        if x.done < 0:
+            first = [x.places[0]] if x.places else [one(x.children[0])]
+            rest = (x.places[1:] if x.places else (one(c) for c in x.children[1:])) if first[0] >= 0 else [-1]
+            root = forest.root(first[0]) if first[0] >= 0 else -1
+            if root >= 0 and all(i >= 0 and forest.root(i) == root for i in rest):
+                x.done = first[0]
+        return x.done
+
+    def settled(a: Node, b: Node) -> bool:
+        i = one(a)
+        if i < 0 or (j := one(b)) < 0:
+            return False
+        return forest.root(i) == forest.root(j)
+
+    def meet(i: int, j: int) -> None:
+        if forest.root(i) == forest.root(j):
+            return
+        a, b = (full[i], full[j]) if len(full[i]) <= len(full[j]) else (full[j], full[i])
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        shared = int((b[at] == a).sum())
+        if 100 * shared >= percent * (len(a) + len(b) - shared):
+            forest.join(i, j)
+            out.append((i, j))
+
+    traverse([len(s) for s in full], [signature(s) for s in full], own, percent, meet, settled)
+    return out
 
 
 # --- the join ----------------------------------------------------------------------------------------------------
@@ -257,8 +308,9 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     rows = docs.select(*identity(id_col, text), text.alias("text"))
     every = staged(described(rows, k), "sets")
     often = every.where("n is null").select(F.explode(F.arrays_zip("common", "times")).alias("x")).groupBy("x.common").agg(F.sum("x.times").alias("times"))
-    often = often.orderBy(F.col("times").desc(), "common").limit(COMMON).select("common")
-    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64).view(np.uint64)))  # 3.2 MB at most
+    often = staged(often, "common")
+    common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in _commonest(often, COMMON).collect()], dtype=np.int64).view(np.uint64)))  # 3.2 MB at most
+    unstage(often)
     every = every.where("n is not null").select("doc_id", "text_key", "node", "n", "sig")
 
     posts = postings(rows, k, percent, common)
@@ -269,7 +321,7 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     members = staged(members, "members")
     release(spark)
     sigs = every.select("node", "n", "sig").where("n > 0").groupBy("node", "n").agg(F.first("sig").alias("sig"))
-    able = staged(_survivors(dealt(members, "pivot", "node").join(sigs.hint("merge"), ["node", "n"]), percent), "survivors")
+    able = staged(_survivors(dealt(members, "pivot", "node", "n", 8 * BLOCK_SHINGLES).join(sigs.hint("merge"), ["node", "n"]), percent), "survivors")
     release(spark)
 
     # The sets of the nodes that are left, each from one document that has it.
@@ -278,7 +330,7 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     texts = rows.join(one.distinct().hint("merge"), rows["doc_id"].eqNullSafe(F.col("k_doc")) & (rows["text_key"] == F.col("k_text"))).select("text")
     full = staged(_full_sets(texts, k), "full-sets")
     release(spark)
-    found = _links(dealt(able, "pivot", "node").join(full.hint("merge"), "node"), percent)
+    found = _links(dealt(able, "pivot", "node", "n", BLOCK_SHINGLES).join(full.hint("merge"), "node"), percent)
     links = staged(found, "links")
     unstage(pivots, members, able, full)
 
@@ -287,10 +339,23 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     nodes = nodes.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = staged(nodes, "nodes")
     firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = staged(nodes.join(firsts.hint("merge"), "component").select("node", "component_id", F.lit(True).alias("has")), "named")
-    out = every.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named.hint("merge"), "node", "left")
-    component = F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "text_key")
+    named = staged(nodes.join(firsts.hint("merge"), "component").select("node", "component_id"), "named")
+    unstage(links, nodes)
+    cols = lambda component: ["doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "text_key"]
+    out = every.where("n > 0").join(named.hint("merge"), "node").select(*cols(F.col("component_id")))
+    return out.unionByName(every.where("n = 0").select(*cols(F.col("doc_id"))))
+
+
+def _commonest(often: DataFrame, most: int) -> DataFrame:
+    """The shingles (common) that are so often (times) that at most `most` are as often or more: by counts of ranges of times, eighths of
+    powers of two, of which there are a few hundred at most."""
+    band = F.floor(8 * F.log2("times")).cast("int")
+    held, least = 0, None
+    for r in often.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("band").desc()).collect():
+        if (held := held + r["n"]) > most:
+            break
+        least = r["band"]
+    return often.where(band >= least if least is not None else F.lit(False)).select("common")
 
 
 def _lists(rows: DataFrame, *cols: str) -> DataFrame:
@@ -306,23 +371,20 @@ def _each(batches):
 
 
 def _survivors(rows: DataFrame, percent: int) -> DataFrame:
-    """pivot, node of the members that may link with another one of their tree."""
+    """pivot, node, n of the members that may link with another one of their tree."""
 
     def run(batches):
         import pyarrow as pa
 
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for pivot, m in _each(batches):
-            hit = set()
-            for i, j in candidate_pairs([x["n"] for x in m], [x["sig"] for x in m], [x["own"] for x in m], percent):
-                hit |= {i, j}
-            out += [(pivot, m[i]["node"]) for i in hit]
+            out += [(pivot, m[i]["node"], m[i]["n"]) for i in able_members([x["n"] for x in m], [x["sig"] for x in m], [x["own"] for x in m], percent)]
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["pivot", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["pivot", "node", "n"])
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["pivot", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["pivot", "node", "n"])
 
-    return _lists(rows, "node", "n", "sig", "own").mapInArrow(run, "pivot long, node long").distinct()
+    return _lists(rows, "node", "n", "sig", "own").mapInArrow(run, "pivot long, node long, n long").distinct()
 
 
 def _full_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -345,16 +407,7 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         out: list[tuple[int, int]] = []
         for _, m in _each(batches):
             full = [np.frombuffer(x["full"], dtype=np.uint64) for x in m]
-            forest = Forest(len(m))
-            for i, j in candidate_pairs([len(s) for s in full], [signature(s) for s in full], [x["own"] for x in m], percent):
-                if forest.root(i) == forest.root(j):
-                    continue
-                a, b = (full[i], full[j]) if len(full[i]) <= len(full[j]) else (full[j], full[i])
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared = int((b[at] == a).sum())
-                if 100 * shared >= percent * (len(a) + len(b) - shared):
-                    forest.join(i, j)
-                    out.append((m[i]["node"], m[j]["node"]))
+            out += [(m[i]["node"], m[j]["node"]) for i, j in linked_members(full, [x["own"] for x in m], percent)]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
                 out = []
