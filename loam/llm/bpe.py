@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import ship, text_of
 
-#: Pre-tokens that a worker remembers; beyond, it begins anew.
-REMEMBER = 400_000
+#: Pre-tokens that a worker remembers (beyond, it begins anew), and their characters at most.
+REMEMBER, REMEMBER_CHARS = 400_000, 64
 
 
 class PerfectHash:
@@ -131,14 +131,16 @@ class Tokenizer:
 
 
 class Known(dict):
-    """Ids of the pre-tokens met so far."""
+    """Ids of the short pre-tokens met so far."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        out = self[token] = self.tokenizer.word(token)
+        out = self.tokenizer.word(token)
+        if len(token) <= REMEMBER_CHARS:
+            self[token] = out
         return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +25,11 @@ LETTER = regex.compile(r"\p{L}")
 class Model:
     """Per direction: inputs (3 units x 257 byte values), recurrent (3 units x units) and its bias; read-out of both.
     Rows of a matrix go update, reset, candidate. Input rows and biases of update and reset hold half of the usual value's
-    argument, as sigmoid(x) = (1 + tanh(x / 2)) / 2."""
+    argument, as sigmoid(x) = (1 + tanh(x / 2)) / 2. letters: those of the training sample, in lower case."""
 
     langs: list[str]
     weights: dict[str, np.ndarray]
+    letters: frozenset[str] = frozenset()
 
 
 def fresh(n_langs: int, units: int, seed: int) -> dict[str, np.ndarray]:
@@ -219,7 +221,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     at = F.pmod(F.xxhash64("h", "nth"), F.greatest(F.lit(1), F.length("text") - SPAN + 1)) + 1
     picked = rows.where(wanted).withColumn("nth", nth).select("lang", "h", "nth", F.substring(F.col("text"), at, F.lit(SPAN)).alias("part"))
     got = sorted((r["lang"], r["h"], r["nth"], r["part"]) for r in picked.collect())
-    return train([x[3].encode()[:SPAN] for x in got], [x[0] for x in got])
+    model = train([x[3].encode()[:SPAN] for x in got], [x[0] for x in got])
+    model.letters = frozenset(c for x in got for c in x[3].lower() if LETTER.match(c))
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
@@ -253,12 +257,26 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", text_key long" * keys)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without the rows that predict() calls und or whose score is under `least`; columns as they were. least is low
-    on purpose: prose with foreign license lines, names or junk stays. Without a model only rows without letters go."""
+def known_letters(model: Model, text: str) -> float:
+    """The share of a text's letters that the training sample has."""
+    all_, known = 0, 0
+    for c, n in Counter(text.lower()).items():
+        if LETTER.match(c):
+            all_, known = all_ + n, known + n * (c in model.letters)
+    return known / max(1, all_)
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that are in none of the model's languages: null texts and texts without a letter; those half of whose letters the
+    training sample never had (other scripts); and those of which no language has more than `least` of the probability,
+    averaged over all bytes (other languages and junk). Prose with some foreign lines, names or junk stays.
+
+    Columns stay as they were, but a null language is filled in with the predicted one, if docs have that column. Without a model only
+    rows without letters go."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(lang_col) if dict(docs.dtypes).get(lang_col) == "string" else None
 
     def run(batches):
         import pyarrow as pa
@@ -268,9 +286,16 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.3, te
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 texts = batch.column(text_col).to_pylist()
                 some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-                good = np.zeros(len(texts), dtype=bool)
-                if some:
-                    good[some] = document_probabilities(model, [texts[i].encode() for i in some]).max(axis=1) >= least if model else True
+                good, langs = np.zeros(len(texts), dtype=bool), [None] * len(texts)
+                if some and model:
+                    p = document_probabilities(model, [texts[i].encode() for i in some])
+                    for i, j, s in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True):
+                        good[i], langs[i] = s > least and known_letters(model, texts[i]) > 0.5, model.langs[j]
+                elif some:
+                    good[some] = True
+                if at is not None:
+                    had = batch.column(at)
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array([x if x is not None else y for x, y in zip(had.to_pylist(), langs, strict=True)], had.type))
                 yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -274,7 +274,9 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
     longest joined span whose k-word shingles have a Jaccard similarity of percent / 100, counted by aligned places. Where that
     makes no passage of words_in words, the documents of the band meet again by all their runs of words_in words in it. So any two documents
     that share words_in words in a row are found, and so is a passage that is similar by percent, if at 0.8 its edits are replaced words (at most
-    one in 45, which leaves such a run); one of 44 to 48 words with a word inserted in the middle may be left with runs of 22.
+    one in 45, which leaves such a run); one of 24 or 25 words of which the second or last but one is replaced, or of 44 to 48 with a word
+    inserted in the middle, may be left with runs of 22 and be missed. A passage begins and ends with equal words; what has fewer than
+    words_in from the first to the last of them, such as 24 words of which the last is replaced, is none.
 
     In a span that is shared with an earlier document all words are to go, so that by induction the first occurrence stays. Spans with the same
     decision that overlap or touch are one; spans that stay are listed unless they lie within one that goes. Linked spans are clusters by

@@ -189,6 +189,37 @@ def test_gradients_by_differences():
             assert abs((a - b) / (2 * e) - g[k][i]) < 1e-5, k
 
 
+def plain_language(model, data: bytes):
+    """Probabilities of each byte's languages, by the gates' formulas, in float64."""
+    import numpy as np
+
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    n, out = w["uf"].shape[1], []
+    for at in range(0, len(data), language_id.SPAN):
+        part, states = data[at : at + language_id.SPAN], {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h = np.zeros(n)
+            for t in order:
+                x, u = w[f"x{d}"][:, part[t]], w[f"u{d}"] @ h + w[f"c{d}"][:, 0]
+                z, r = (1 / (1 + np.exp(-2 * (x[i : i + n] + u[i : i + n]))) for i in (0, n))
+                h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+                states[d, t] = h
+        for t in range(len(part)):
+            y = w["vf"] @ states["f", t] + w["vb"] @ states["b", t] + w["o"][:, 0]
+            out.append(np.exp(y - y.max()) / np.exp(y - y.max()).sum())
+    return np.array(out)
+
+
+def planted_languages(spark, rows):
+    """Three clean documents, one without a language, and what is in none of the languages of the rows."""
+    r = random.Random(1)
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. "
+    junk = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") if r.random() > 0.15 else " " for _ in range(600))
+    texts = [(1, rows[0]["text"], None), (2, rows[1]["text"], "x"), (3, rows[2]["text"], rows[2]["lang"]), (4, finnish * 3, None), (5, russian * 3, None), (6, "人人生而自由，在尊严和权利上一律平等。" * 4, None), (7, junk, None), (8, "12 34 $$$", None), (9, None, None), (10, "", None)]
+    return spark.createDataFrame([(d, t, x, "s") for d, t, x in texts], "doc_id long, text string, lang string, source string")
+
+
 def test_language_id(spark, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs)
@@ -209,6 +240,22 @@ def test_language_id(spark, edge_docs, edge_rows, no_docs):
     assert Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in edge if r["lang_pred"] == "und") == blank and len(edge) == len(edge_rows)
     kept = language_id.keep_identified(edge_docs, model, least=0.0)
     assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows) - sum(blank.values())
+    # Everything against a plain forward pass, position by position.
+    for d, t, *_ in edge_rows:
+        if t and len(t) < 2000 and re.search(r"[^\W\d_]", t):
+            want = plain_language(model, t.encode())
+            assert abs(language_id.document_probabilities(model, [t.encode()])[0] - want.mean(axis=0)).max() < 1e-4
+            best = want.argmax(axis=1)
+            labels = language_id.label_positions(model, t)
+            assert all(labels[i] == model.langs[best[i]] or want[i].max() - sorted(want[i])[-2] < 1e-4 for i in range(len(best))) and len(labels) == len(best)
+    scores = Counter((d, round(float(plain_language(model, t.encode()).mean(axis=0).max()), 3)) for d, t, *_ in edge_rows if t and len(t) < 2000 and re.search(r"[^\W\d_]", t))
+    near = Counter((r["doc_id"], round(r["score"], 3)) for r in edge)
+    assert sum((scores - near).values()) <= 2  # rounding at an edge
+    # Other languages, scripts and junk go; a null language is filled in.
+    kept = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(planted_languages(spark, rows), model).collect()}
+    assert set(kept) == {1, 2, 3} and kept[1] == rows[0]["lang"] and kept[2] == "x" and kept[3] == rows[2]["lang"]
+    assert language_id.keep_identified(no_docs, model).count() == 0 and language_id.keep_identified(no_docs, None).count() == 0
+    assert language_id.predict(edge_docs, model, keys=True).count() == len(edge_rows)
     assert language_id.fit(no_docs) is None
     assert {r["lang_pred"] for r in language_id.predict(edge_docs, None).collect()} == {"und"}
     assert language_id.predict(no_docs, model).count() == 0
@@ -605,6 +652,93 @@ def test_passages_behind_a_common_phrase(spark):
     assert {(x["doc_id"], x["removed"], x["n_words"]) for x in out} == want
 
 
+def plain_due(x, y, k=5):
+    """Whether word lists are alike by 0.8 in their shingles, counted by aligned places (replaced words only). Passages begin and end
+    with equal words, and have 24 at least."""
+    equal = [i for i in range(len(x)) if x[i] == y[i]]
+    x, y = x[equal[0] : equal[-1] + 1], y[equal[0] : equal[-1] + 1]
+    if len(x) < substring_dedup.PARAGRAPH:
+        return False
+    same = sum(x[i : i + k] == y[i : i + k] for i in range(len(x) - k + 1))
+    return 100 * same >= 80 * (2 * (len(x) - k + 1) - same)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_recall_of_planted_passages(spark, whole):
+    """Passages of 24 to 60 words, with 0 to 2 replaced words, in unrelated prose or as whole documents: of those that are due nine in ten
+    are found, with spans over most of them; documents without a copy are left alone."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    prose = lambda n: [] if whole else [word() for _ in range(n)]
+    rows, planted, each = [], [], 20
+    for n in (24, 26, 30, 40, 60):
+        for edits in (0, 1, 2):
+            for _ in range(each):
+                x = [word() for _ in range(n)]
+                y = list(x)
+                for i in r.sample(range(n), edits):
+                    y[i] = word()
+                a, b = prose(r.randint(20, 60)), prose(r.randint(20, 60))
+                d = len(rows)
+                rows += [(d, " ".join(a + x + prose(30))), (d + 1, " ".join(b + y + prose(30)))]
+                planted.append((n, edits, plain_due(x, y), d + 1, len(b)))
+    alone = [(10_000 + i, " ".join(word() for _ in range(80))) for i in range(100)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows + alone, "doc_id long, text string")).where("removed").collect()
+    found = {}
+    for x in out:
+        found[x["doc_id"]] = found.get(x["doc_id"], 0) + x["n_words"]
+    assert all(d < 10_000 for d in found)
+    for n in {n for n, *_ in planted}:
+        due = [found.get(d, 0) for a, _, yes, d, _ in planted if a == n and yes]
+        exact = [found.get(d, 0) for a, e, _, d, _ in planted if a == n and e == 0]
+        assert all(x >= n for x in exact) and sum(x >= 0.8 * n for x in due) >= 0.9 * len(due), (n, due)
+        assert max(due) <= n + 2
+
+
+def test_spans_against_a_plain_version(spark):
+    """Equal passages: spans, clusters and what is removed, by comparing all runs of words of all documents."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: [word() for _ in range(n)]
+    shared = [prose(n) for n in (24, 31, 45, 70)]
+    docs = {}
+    for d in range(30):
+        parts = prose(r.randint(5, 30))
+        for p in r.sample(shared, r.randint(0, 2)):
+            parts += p + prose(r.randint(6, 20))
+        docs[d] = parts
+    n = substring_dedup.PARAGRAPH
+    seen, want = {}, set()
+    for d, w in docs.items():
+        runs = {i: tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+        again = [i for i, x in runs.items() if x in seen]
+        for x in runs.values():
+            seen.setdefault(x, d)
+        start = None
+        for i in again + [None]:
+            if start is not None and (i is None or i != last + 1):
+                want.add((d, start, last + n, True, seen[runs[start]]))
+                want.add((seen[runs[start]], None, last + n - start, False, seen[runs[start]]))
+                start = None
+            if i is not None:
+                start = i if start is None else start
+                last = i
+    got_rows = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).collect()
+    mine = set()
+    for x in got_rows:
+        before = len(" ".join(docs[x["doc_id"]]).encode()[: x["start"]].split())
+        mine.add((x["doc_id"], before, before + x["n_words"], True, x["cluster"]) if x["removed"] else (x["doc_id"], None, x["n_words"], False, x["cluster"]))
+    assert mine == want
+
+
+def test_stages_on_empty_and_strange_tables(spark, edge_docs, edge_rows, no_docs):
+    for f in (exact_dedup.drop_duplicates, ngram_join.one_of_each, substring_dedup.cut_passages):
+        assert f(no_docs).columns == no_docs.columns and f(no_docs).count() == 0
+    cut = substring_dedup.cut_passages(edge_docs)
+    assert cut.columns == edge_docs.columns and cut.count() == len(edge_rows)
+    assert cut.where("text is null").count() == sum(t is None for _, t, *_ in edge_rows)
+
+
 def test_staged_tables_read_back(spark):
     df = spark.createDataFrame([(1, "a"), (None, None)], "a long, b string")
     assert got(staged(df, "x"), "a", "b") == got(df, "a", "b")
