@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loam.llm import bpe, exact_dedup, language_id, mixing, ngram_join
-from loam.llm.common import staged
+from loam.llm.common import staged, unstage
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language that the labels know, go."""
+    """Documents without letters, or of no language that the labels know, go; a language that is missing is filled in."""
     return language_id.keep_identified(docs, language_id.fit(docs, folds=4, held=2))
 
 
@@ -46,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. An empty table gives none. A stage's result is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        unstage(before)
     return docs
