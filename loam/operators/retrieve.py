@@ -35,14 +35,17 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 
 
 def field_tokens(topics: DataFrame) -> DataFrame:
-    """slug, token, fields: which fields of the topic hold the token, as bits in the order of WEIGHTS."""
+    """slug, token, fields: a row for each different token of each field, with the field as a bit in the order of WEIGHTS. One row of each
+    token of the body (description or conclusion) has the bit after those too. Made row by row, without a shuffle."""
     text = lambda f: F.array_join(F.col(f), " ") if dict(topics.dtypes)[f].startswith("array") else F.coalesce(F.col(f), F.lit(""))
-
-    def tagged(i: int, f: str) -> Column:
-        return F.transform(tokenize(text(f)), lambda t: F.struct(t.alias("token"), F.lit(1 << i).alias("bit")))
-
-    rows = topics.select("slug", F.explode(F.flatten(F.array(*[tagged(i, f) for i, f in enumerate(WEIGHTS)]))).alias("x"))
-    return rows.groupBy("slug", F.col("x.token").alias("token")).agg(F.bit_or("x.bit").alias("fields"))
+    names = list(WEIGHTS)
+    bit = {f: 1 << i for i, f in enumerate(names)} | {"body": 1 << len(names)}
+    rows = topics.select("slug", *[tokenize(text(f)).alias(f"_{f}") for f in names])
+    tagged = lambda tokens, bits: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(bits).alias("fields")))
+    lists = [tagged(F.col(f"_{f}"), bit[f]) for f in names if f not in BODY]
+    lists += [tagged(F.col("_conclusion"), bit["conclusion"] | bit["body"]), tagged(F.array_intersect("_description", "_conclusion"), bit["description"])]
+    lists += [tagged(F.array_except("_description", "_conclusion"), bit["description"] | bit["body"])]
+    return rows.select("slug", F.explode(F.concat(*lists)).alias("x")).select("slug", "x.token", "x.fields")
 
 
 def score_topics(queries: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None) -> DataFrame:
@@ -51,11 +54,10 @@ def score_topics(queries: DataFrame, topics: DataFrame, cfg: Retrieval = Retriev
     The tokens of queries and topics are joined by token, so nothing is compared that has no token in common. usage
     (slug, hits, opens), conflicts and zero_open (slug) and now add their terms only where given.
     """
-    bits = {f: F.lit(1 << i) for i, f in enumerate(WEIGHTS)}
+    bits = {f: F.lit(1 << i) for i, f in enumerate((*WEIGHTS, "body"))}
     shared = query_tokens(queries).join(field_tokens(topics), "token")
     per_field = [F.count(F.when(F.col("fields").bitwiseAND(b) > 0, 1)).alias(f"n_{f}") for f, b in bits.items()]
-    body = bits["description"].bitwiseOR(bits["conclusion"])
-    found = shared.groupBy("query_id", "slug").agg(F.first("n_query").alias("n_query"), *per_field, F.count(F.when(F.col("fields").bitwiseAND(body) > 0, 1)).alias("body_hits"))
+    found = shared.groupBy("query_id", "slug").agg(F.max("n_query").alias("n_query"), *per_field).withColumnRenamed("n_body", "body_hits")
     s = sum((F.lit(w) * (F.col(f"n_{f}") / F.col("n_query")) for f, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["triggers"]) * (F.col("n_triggers") / F.col("n_query")))
     s = s + F.when(F.col("n_tags") > 0, cfg.tag_boost).otherwise(0.0)
     found = found.join(topics.select("slug", "pos", "generated_at"), "slug")
