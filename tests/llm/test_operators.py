@@ -282,11 +282,22 @@ def test_line_dedup(edge_docs, edge_rows, no_docs, least):
 
 
 def test_line_runs_settle_and_compact(spark):
-    runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
-    for batch in ([1, 2, 2], [2, 3], [1, 3, 4], [1, 2, 3, 4], [9]):
+    runs = line_dedup.LineRuns(spark, min_docs=3)
+    for batch in ([1, 2, 2], [2, 3], [1, 3, 4], [1, 2, 3, 4], [9, 4]):
         runs.add(spark.createDataFrame([(x, 0) for x in batch], "h1 long, h2 long"))
-    assert len(runs.levels) == 3 and all(len(x) < 2 for x in runs.levels)
-    assert {r["h1"] for r in runs.frequent().collect()} == {1, 2, 3}
+    assert [x is not None for x in runs.levels] == [True, False, True]
+    # Merges read the runs as they are: neither dealt nor sorted again.
+    spark.conf.set(line_dedup.ORDERED, "true")
+    plan = runs.levels[0].join(runs.levels[2].hint("merge"), line_dedup.KEY, "full_outer")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(line_dedup.ORDERED)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert {r["h1"] for r in runs.frequent().collect()} == {1, 2, 3, 4}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("loam_")]
+
+
+def test_documents_of_many_common_lines(edge_docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MANY", 0)
+    assert got(line_dedup.drop_common_lines(edge_docs, 2), "doc_id", "n_lines", "n_dropped", "kept_text") == plain_lines(edge_rows, 2)
 
 
 # --- 5 WARC ---
