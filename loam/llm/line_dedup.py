@@ -12,6 +12,8 @@ from loam.llm.common import SPACE, ascii_lower, identity, new_path, partitions,
 KEY = ["h1", "h2"]
 #: Batches of documents; different common lines of a document that are looked up in a list.
 BATCHES, MANY = 4, 64
+#: Names of documents (16 bytes each) that are broadcast; more are merge-joined.
+SENT = 200_000
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
@@ -143,14 +145,15 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     out = both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     out = out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
     many = found.where(F.size("drops") > MANY)
-    return out if many.isEmpty() else out.unionByName(_without_many(rows, many))
+    n = many.count()
+    return out.unionByName(_without_many(rows, many, n <= SENT)) if n else out
 
 
-def _without_many(rows: DataFrame, many: DataFrame) -> DataFrame:
+def _without_many(rows: DataFrame, many: DataFrame, few: bool) -> DataFrame:
     """The same of documents with many different common lines: line by line, so that none is looked up in a list."""
     gone = many.select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"), F.explode("drops").alias("h")).select("k_doc", "k_text", F.col("h.h1").alias("g1"), F.col("h.h2").alias("g2"))
-    names = gone.select("k_doc", "k_text").distinct()
-    some = rows.join(names.hint("merge"), rows["doc_id"].eqNullSafe(names["k_doc"]) & (rows["text_key"] == names["k_text"]), "left_semi")
+    names = many.select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"))
+    some = rows.join(names.hint("broadcast" if few else "merge"), rows["doc_id"].eqNullSafe(names["k_doc"]) & (rows["text_key"] == names["k_text"]), "left_semi")
     lines = some.select("doc_id", "text_key", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line"))).withColumn("h", key_hash(F.col("key")))
     on = lines["doc_id"].eqNullSafe(gone["k_doc"]) & (lines["text_key"] == gone["k_text"]) & (F.col("h.h1") == gone["g1"]) & (F.col("h.h2") == gone["g2"])
     stays = F.col("g1").isNull() | (F.col("key") == "")

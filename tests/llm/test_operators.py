@@ -295,8 +295,10 @@ def test_line_runs_settle_and_compact(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("loam_")]
 
 
-def test_documents_of_many_common_lines(edge_docs, edge_rows, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_documents_of_many_common_lines(edge_docs, edge_rows, monkeypatch, most):
     monkeypatch.setattr(line_dedup, "MANY", 0)
+    monkeypatch.setattr(line_dedup, "SENT", most)
     assert got(line_dedup.drop_common_lines(edge_docs, 2), "doc_id", "n_lines", "n_dropped", "kept_text") == plain_lines(edge_rows, 2)
 
 
