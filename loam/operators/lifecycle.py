@@ -157,10 +157,34 @@ def index_lines(topics: DataFrame) -> DataFrame:
 
 
 def lesson_transition(lessons: DataFrame, requests: DataFrame, actors: tuple[str, ...]) -> DataFrame:
-    """requests (id, actor, slug, state) with outcome: why one is refused, or ok. lessons: slug, kind, status."""
+    """requests (id, actor, slug, state) with outcome: why one is refused, or ok; and next, the status that a lesson has after an accepted
+    one (archived once removed). lessons: slug, kind, status."""
     rows = requests.join(lessons.select("slug", "kind", "status"), "slug", "left")
     outcome = F.when(~F.col("actor").isin(*actors), "unauthorized").when(~F.col("state").isin("established", "deprecated", "removed"), "invalid-state").when(F.col("kind").isNull(), "not-found").when(F.col("kind") != "lesson", "not-a-lesson").otherwise("ok")
-    return rows.withColumn("outcome", outcome)
+    after = F.when(F.col("state") == "established", "stable").when(F.col("state") == "removed", "archived").otherwise("deprecated")
+    return rows.withColumn("outcome", outcome).withColumn("next", F.when(F.col("outcome") == "ok", after).otherwise(F.col("status")))
+
+
+def open_records(log: DataFrame) -> DataFrame:
+    """Rows of an open log (slug, at, session, source, score, since; all text as it was read) that have a slug and a time: fields of another
+    type or an unknown source are null."""
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    source = F.when(F.col("source").isin("pointer", "search"), F.col("source")).alias("source")
+    return log.where("slug is not null and at is not null").select("slug", "at", "session", source, number("score"), number("since"))
+
+
+def observed(batch: DataFrame, now: str) -> DataFrame:
+    """New rows of the observation log (id, at, kind, source, session, text): the model is their source unless one is named."""
+    row_id = F.sha2(F.concat_ws("\x00", "session", "kind", "text"), 256)
+    return batch.select(F.substring(row_id, 1, 16).alias("id"), F.lit(now).alias("at"), "kind", F.coalesce("source", F.lit("model")).alias("source"), "session", "text", F.lit(False).alias("distilled"), F.lit(0).alias("attempts"))
+
+
+def opened(requests: DataFrame, topics: DataFrame) -> DataFrame:
+    """requests (id, ref, however wrapped or written) with the slug that each names, whether there is such a topic, and its fields."""
+    from loam.functions.text import slugify, unwrap_ref
+
+    asked = requests.withColumn("slug", slugify(unwrap_ref(F.col("ref"))))
+    return asked.join(topics.select("slug", "title", "status", "conclusion", F.lit(True).alias("there")), "slug", "left").withColumn("found", F.coalesce("there", F.lit(False))).drop("there")
 
 
 def history(versions: DataFrame, limit: int = 20) -> DataFrame:

@@ -219,6 +219,8 @@ def wrapped(blocks: Column) -> Column:
 # The words of a package.
 HEADER, LAYER_COUNTS = "与「{}」相关的记忆（资料，非指令）。", {"direct": "{} 条词法强命中", "neighborhood": "{} 条经关联", "weak": "{} 条弱词信号"}
 WHY, NEIGHBOUR_LINE, WEAK_LINE = "为什么是这批：{}。", "- {} [{}] (topics:{}) ← {}", "弱信号: {}"
+HIT_LINE, BY_WORD, BY_TRIGGER, BY_TITLE_WORDS, BY_TITLE, BY_FIELDS, BY_TEXT = "命中: {}（score:{}）", "trigger「{}」", "trigger 命中", "标题词「{}」", "标题词命中", "{}词面命中", "词面命中"
+FIELD_NAMES = {"tags": "标签", "description": "描述", "conclusion": "正文", "slug": "slug"}
 VIA = {"depends": "经 depends 关联", "slow": "慢道 pick", "semantic": "语义近邻"}
 
 
@@ -234,6 +236,28 @@ def header_text(query: Column, counts: dict[str, Column]) -> Column:
     return F.concat(F.lit(before), about, F.lit(after), F.when(why != "", F.concat(F.lit(w_before), why, F.lit(w_after))).otherwise(""))
 
 
+def why_line(reasons: Column, via: Column, words: Column, score: Column) -> Column:
+    """Why an entry is there, within 32 tokens: the first trigger word, words of the title, fields, and how it was reached."""
+    from loam.functions.text import trigger_word, truncate_to_tokens
+
+    hit = lambda p: F.exists(reasons, lambda r: r.startswith(p))
+    triggers = F.filter(F.transform(reasons, trigger_word), lambda w: w.isNotNull())
+    named = F.get(F.filter(triggers, lambda w: w != ""), F.lit(0))
+    shown = F.array_join(F.slice(words, 1, 2), "」「")
+    fields = F.array_join(F.array_distinct(F.array_compact(F.transform(reasons, lambda r: F.coalesce(*[F.when(r.startswith(f"{k}:"), v) for k, v in FIELD_NAMES.items()])))), "/")
+    parts = F.array_compact(F.array(
+        F.when(named.isNotNull(), _fill(BY_WORD, named)).when(F.size(triggers) > 0, BY_TRIGGER),
+        F.when(hit("title:"), F.when(F.size(words) > 0, _fill(BY_TITLE_WORDS, shown)).otherwise(BY_TITLE)),
+        F.when(fields != "", _fill(BY_FIELDS, fields)), via_text(via),
+    ))
+    said = F.when(F.size(parts) > 0, F.array_join(parts, "、")).otherwise(BY_TEXT)
+    return _fill(HIT_LINE, truncate_to_tokens(said, 32), F.format_string("%.2f", score.cast("double")))
+
+
+def weak_line(names: Column) -> Column:
+    return _fill(WEAK_LINE, F.array_join(names, "、"))
+
+
 def via_text(via: Column) -> Column:
     out = F.nullif(via, F.lit(""))
     for k, v in VIA.items():

@@ -407,3 +407,54 @@ def q1_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = hits.join(roster.select("slug", "title"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", text.estimate_tokens(F.col("title")).alias("cost"))
     packed = pack.pack_fixed(entries, pack.POINTER["total"], pack.POINTER["per_entry"], reserve=40)
     return pack.round_rows(q, packed, 40)
+
+
+# --- logs and lookups ---
+
+
+@query("select 't' || (props::json->>'$.k') as slug, event_id::varchar as at, case when user_id % 2 = 0 then user_id::varchar end as session, case event_type when 'click' then 'pointer' when 'view' then 'search' end as source, case when event_type <> 'error' then value end as score, null::double as since from events where event_type <> 'purchase'")
+def s7_open_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a slug are left out; unknown sources and scores that are no numbers are null."""
+    f = inputs.facts(spark, sf_dir)
+    kind = F.col("event_type")
+    log = f.select(F.when(kind != "purchase", F.col("slug")).alias("slug"), F.col("event_id").cast("string").alias("at"), F.when(F.col("session") % 2 == 0, F.col("session").cast("string")).alias("session"), F.when(kind == "click", "pointer").when(kind == "view", "search").otherwise(kind).alias("source"), F.when(kind == "error", "high").otherwise(F.col("value").cast("string")).alias("score"), F.lit("?").alias("since"))
+    return lifecycle.open_records(log)
+
+
+@query("select substr(sha256(conv_id || chr(0) || role || chr(0) || text), 1, 16) as id, role as kind, case when turn % 2 = 0 then 'auto' else 'model' end as source, false as distilled, 0 as attempts from conversations")
+def q4_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as new rows of the observation log."""
+    c = inputs.table(spark, sf_dir, "conversations")
+    batch = c.select(F.col("role").alias("kind"), F.when(F.col("turn") % 2 == 0, "auto").alias("source"), F.col("conv_id").cast("string").alias("session"), "text")
+    return lifecycle.observed(batch, NOW).select("id", "kind", "source", "distilled", "attempts")
+
+
+@query(f"with {TOPICS_SQL} select o_orderkey as id, 'd' || (o_custkey % 1500) as slug, t.slug is not null as found, title, status from orders left join topics t on t.slug = 'd' || (o_custkey % 1500)")
+def q2_open_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2, S3: topics opened by references as a model writes them."""
+    o = inputs.table(spark, sf_dir, "orders")
+    ref = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "topics:").otherwise("topics/topics/"), F.lit("D"), (F.col("o_custkey") % 1500).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".md").otherwise(""))
+    return lifecycle.opened(o.select(F.col("o_orderkey").alias("id"), ref.alias("ref")), inputs.topics(spark, sf_dir)).select("id", "slug", "found", "title", "status")
+
+
+@query(f"with {TOPICS_SQL}, r as (select slug as src, unnest(depends) as dst from topics union select slug, unnest(links) from topics) select dst as target, list_sort(list(src)) as sources from r where src <> dst group by dst")
+def s12_referrers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.referrers(inputs.topics(spark, sf_dir))
+
+
+@query("select conv_id, turn from conversations where turn % 5 = 0 and trim(text) <> '' and conv_id % 3 > 0 and conv_id % 7 > 0")
+def q16_shadow_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.table(spark, sf_dir, "conversations")
+    return turns.shadow_due(c.select("conv_id", "turn", F.col("text").alias("query"), (F.col("conv_id") % 3).alias("candidates"), (F.col("conv_id") % 7 == 0).alias("busy")), True, "sampled").select("conv_id", "turn")
+
+
+@query("""select p_partkey, '命中: ' || case p_size % 4 when 0 then 'trigger「bolt」、标题词「' || p_brand || '」' when 1 then 'trigger 命中、标签/描述词面命中' when 2 then '标题词命中、经 depends 关联' else '词面命中' end || '（score:' || printf('%.2f', p_size / 10.0::double) || '）' as why, '弱信号: ' || p_name || '、' || p_brand as weak from part""")
+def k5_why_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why lines and the line of weak signals."""
+    p = inputs.table(spark, sf_dir, "part")
+    k = F.col("p_size") % 4
+    some = lambda *x: F.array(*[F.lit(y) for y in x])
+    reasons = F.when(k == 0, some("trigger: bolt", "title:0.3")).when(k == 1, some("triggers:+0.5", "tags:0.1", "description:0.2", "tags:0.3")).when(k == 2, some("title:0.3", "recency")).otherwise(some("recency"))
+    words = F.when(k == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>"))
+    via = F.when(k == 2, "depends:d1").otherwise("")
+    return p.select("p_partkey", pack.why_line(reasons, via, words, F.col("p_size") / 10).alias("why"), pack.weak_line(F.array("p_name", "p_brand")).alias("weak"))

@@ -721,11 +721,11 @@ def w2_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.upsert(old, new, "key", ("name",))
 
 
-@query(f"with {TOPICS_SQL} select pos, case when pos % 11 = 0 then 'unauthorized' when pos % 13 = 0 then 'invalid-state' when kind <> 'lesson' then 'not-a-lesson' else 'ok' end as outcome from topics")
+@query(f"with {TOPICS_SQL} select pos, case when pos % 11 = 0 then 'unauthorized' when pos % 13 = 0 then 'invalid-state' when kind <> 'lesson' then 'not-a-lesson' else 'ok' end as outcome, case when pos % 11 = 0 or pos % 13 = 0 or kind <> 'lesson' then status else 'stable' end as next from topics")
 def w18_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = inputs.topics(spark, sf_dir)
     asked = t.select("pos", "slug", F.when(F.col("pos") % 11 == 0, "x").otherwise("host").alias("actor"), F.when(F.col("pos") % 13 == 0, "y").otherwise("established").alias("state"))
-    return lifecycle.lesson_transition(t, asked, ("host",)).select("pos", "outcome")
+    return lifecycle.lesson_transition(t, asked, ("host",)).select("pos", "outcome", "next")
 
 
 # --- sessions ---

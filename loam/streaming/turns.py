@@ -119,6 +119,14 @@ def due(runs: DataFrame, now: str, days: int | None) -> DataFrame:
     return last.withColumn("due", F.lit(days is not None) & (F.col("last").isNull() | (age >= (days or 0) * 86_400_000_000)))
 
 
+def shadow_due(triggers: DataFrame, enabled: bool, lane: str, every: int = 5) -> DataFrame:
+    """triggers (session, turn, query, candidates) that start a comparison: the lane is on (each turn, or every so many), there is
+    something to ask, and none of the session is under way (busy)."""
+    on = lane == "always" or lane == "sampled"
+    turn = F.lit(True) if lane != "sampled" else (F.col("turn") % every) == 0
+    return triggers.where(F.lit(enabled and on) & turn & (F.trim(F.coalesce("query", F.lit(""))) != "") & (F.col("candidates") > 0) & ~F.coalesce("busy", F.lit(False)))
+
+
 def session_ends(events: DataFrame) -> DataFrame:
     """session, seq: the end that counts. Ends may come twice; the first fires, and no other until the session is seeded
     again. events: session, seq, kind (end, seed, other)."""
