@@ -230,6 +230,23 @@ def k7_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.compared(old, new)
 
 
+@query(
+    f"""with recursive {_COSTS}, b as (select e.round, e.place, e.slug, title || chr(10) || conclusion as body from e join topics t using (slug)),
+f as (select distinct round, 0::bigint as place, null::varchar as slug, 5::bigint as used, null::varchar as t, false as ok from b
+  union all select round, place, slug, case when ok then used + ceil(length(t) / 4.0::double)::bigint else used end, t, ok from (
+    select *, room >= 24 and t <> '' and used + ceil(length(t) / 4.0::double) <= 1500 as ok from (
+      select b.round, b.place, b.slug, f.used, least(300, 1500 - f.used) as room, case when ceil(length(body) / 4.0::double) <= least(300, 1500 - f.used) then body else regexp_replace(substr(body, 1, 4 * least(300, 1500 - f.used)), '\\s+$', '') || '…' end as t
+      from f join b on b.round = f.round and b.place = f.place + 1))),
+shown as (select round, '<topics>' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) order by place) filter (ok) || chr(10) || chr(10) || '</topics>' as text, coalesce(list(slug order by place) filter (ok), []) as included, coalesce(list(slug || ':total-budget' order by place) filter (not ok), []) as dropped from f where place > 0 group by round)
+select round, coalesce(text, '') as text, ceil(length(coalesce(text, '')) / 4.0::double)::bigint as used, included, dropped from shown"""
+)
+def k3_pack_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K3: the same with texts cut to the budget that is left."""
+    hits = retrieve.explicit_search(_scored(spark, sf_dir))
+    entries = hits.join(inputs.roster(spark, sf_dir).select("slug", "title", "conclusion"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", F.concat_ws("\n", "title", "conclusion").alias("body"))
+    return pack.pack_rendered(entries, pack.DIGEST["total"], pack.DIGEST["per_entry"], "<topics>", "</topics>")
+
+
 def _sql_cut(x: str, budget: str) -> str:
     return f"case when ceil(length({x}) / 4.0::double) <= {budget} then {x} else rtrim(substr({x}, 1, 4 * ({budget})), ' ') || '…' end"
 

@@ -592,14 +592,6 @@ def n8_decision_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- packing ---
 
 
-@query()
-def k3_pack_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1-K3: the same with texts cut to the budget that is left."""
-    hits = retrieve.explicit_search(_scored(spark, sf_dir))
-    entries = hits.join(inputs.roster(spark, sf_dir).select("slug", "title", "conclusion"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", F.concat_ws("\n", "title", "conclusion").alias("body"))
-    return pack.pack_rendered(entries, pack.DIGEST["total"], pack.DIGEST["per_entry"], "<topics>", "</topics>")
-
-
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as package candidates: orders are the queries, return flags the layers."""
     li = inputs.table(spark, sf_dir, "lineitem")
@@ -618,7 +610,16 @@ def k4_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.layered(_candidates(spark, sf_dir)).select("query_id", "layer", "slug", "pos", "nth", "reason")
 
 
-@query()
+@query(
+    """with recursive c as (select l_orderkey as query_id, case l_returnflag when 'A' then 'direct' when 'R' then 'neighborhood' else 'weak' end as layer, case l_returnflag when 'A' then 0 when 'R' then 1 else 2 end as o, 'p' || (l_partkey % 50) as slug, l_quantity as score, l_linestatus = 'F' as seat, l_linenumber::bigint * 100000000000 + l_partkey * 10000 + l_suppkey % 10000 as pos, l_partkey % 10 = 0 as anchored, floor(l_quantity * 4)::bigint as cost from lineitem),
+d as (select *, row_number() over (partition by query_id, slug order by o, seat desc, score desc, pos) > 1 and o > 0 as dup from c),
+n as (select *, row_number() over (partition by query_id, o, dup order by seat desc, score desc, pos) as nth from d),
+r as (select *, case when dup then 'duplicate' when nth > (case o when 0 then 2 when 1 then 3 else 2 end) and not (o = 0 and (anchored or seat)) then case o when 0 then 'direct-cap' when 1 then 'neighborhood-cap' else 'weak-cap' end end as reason from n),
+e as (select query_id, layer, slug, least(cost, case o when 0 then 120 when 1 then 40 else 600 end) as cost, case o when 0 then 24 when 1 then 16 else 0 end as least_, row_number() over (partition by query_id order by o, nth) as i from r where reason is null),
+f as (select distinct query_id, null::varchar as layer, null::varchar as slug, 0::bigint as i, 40::bigint as used, false as ok from e
+  union all select e.query_id, e.layer, e.slug, e.i, case when 600 - f.used >= e.least_ and f.used + e.cost <= 600 then f.used + e.cost else f.used end, 600 - f.used >= e.least_ and f.used + e.cost <= 600 from f join e on e.query_id = f.query_id and e.i = f.i + 1)
+select query_id, layer, slug, ok as included, case when not ok then 'total-budget' end as reason from f where i > 0 union all select query_id, layer, slug, false, reason from r where reason is not null"""
+)
 def k4_pack_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_layers(_candidates(spark, sf_dir))
 
