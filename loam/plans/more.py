@@ -89,15 +89,15 @@ def p20_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"with {TOPICS_SQL}, q as (select item_id as query_id, text, {sql_tokens('text')} as t, {sql_surface('text')} as s from benchmark), "
-    f"w as (select slug, {sql_surface('slug || chr(32) || title')} as on_ from roster where pos % 50 = 0) "
+    f"w as (select slug, pos, {sql_surface('slug || chr(32) || title')} as on_ from topics) "
     "select query_id, slug, len(list_intersect(s, on_)) > 0 as anchored, len(list_filter(t, lambda x: list_contains(on_, x) or (len(list_filter(regexp_split_to_array(x, '[+#.\\-]+'), lambda p: length(p) >= 2)) > 0 and len(list_filter(regexp_split_to_array(x, '[+#.\\-]+'), lambda p: length(p) >= 2 and not list_contains(on_, p))) = 0)))::int as matched, "
-    "len(t) <= 3 or length(regexp_replace(text, '\\s+', '', 'g')) between 1 and 16 as trivial from q, w"
+    "len(t) <= 3 or length(regexp_replace(text, '\\s+', '', 'g')) between 1 and 16 as trivial from q join w on pos // 7 = query_id"
 )
 def t4_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth topic's surface is a stated set, against all queries."""
-    t = inputs.roster(spark, sf_dir).where("pos % 50 = 0").select("slug", "title", text.surface(F.concat_ws(" ", "slug", "title")).alias("on_"))
+    """Each query against seven topics in a row."""
+    t = inputs.topics(spark, sf_dir).select(F.floor(F.col("pos") / 7).alias("query_id"), "slug", "title", text.surface(F.concat_ws(" ", "slug", "title")).alias("on_"))
     q = inputs.queries(spark, sf_dir).select("query_id", "text", text.tokenize(F.col("text")).alias("t"))
-    both = q.join(t)
+    both = q.join(t, "query_id")
     return both.select("query_id", "slug", text.anchors_entity(F.col("t"), F.col("slug"), F.col("title")).alias("anchored"), F.size(text.matched_tokens(F.col("t"), F.col("on_"))).alias("matched"), text.is_trivial(F.col("text"), F.col("t")).alias("trivial"))
 
 
