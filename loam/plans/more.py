@@ -343,11 +343,11 @@ def m5_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes.flagged_conflicts(o, inputs.topics(spark, sf_dir).where("kind = 'lesson' and status = 'stable'").select("slug"))
 
 
-@query("with p as (select l_orderkey as query_id, l_linenumber::bigint * 100000000000 + l_partkey * 10000 + l_suppkey % 10000 as nth, 's' || (l_partkey % 20) as slug, case when l_quantity > 5 then l_shipmode else ' ' end as why from (select *, l_returnflag || l_linestatus as l_shipmode from lineitem)), ok as (select * from p where trim(why) <> '' and slug <> 's0'), one as (select query_id, slug, min(nth) as nth, min_by(why, nth) as why from ok group by 1, 2) select query_id, row_number() over (partition by query_id order by nth)::int as rank, slug, why from one qualify rank <= 2")
+@query("with p as (select l_orderkey as query_id, (l_linenumber::bigint * 100000000000 + l_partkey * 10000 + l_suppkey % 10000) * 200 + ascii(l_returnflag) + ascii(l_linestatus) as nth, 's' || (l_partkey % 20) as slug, case when l_quantity > 5 then l_shipmode else ' ' end as why from (select *, l_returnflag || l_linestatus as l_shipmode from lineitem)), ok as (select * from p where trim(why) <> '' and slug <> 's0'), one as (select query_id, slug, min(nth) as nth, min_by(why, nth) as why from ok group by 1, 2) select query_id, row_number() over (partition by query_id order by nth)::int as rank, slug, why from one qualify rank <= 2")
 def r19_valid_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks that are candidates and say why, two a query."""
     li = inputs.table(spark, sf_dir, "lineitem")
-    p = li.select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") * 100_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") % 10_000).cast("long").alias("nth"), F.concat(F.lit("s"), (F.col("l_partkey") % 20).cast("string")).alias("slug"), F.when(F.col("l_quantity") > 5, F.concat("l_returnflag", "l_linestatus")).otherwise(" ").alias("why"))
+    p = li.select(F.col("l_orderkey").alias("query_id"), ((F.col("l_linenumber") * 100_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") % 10_000) * 200 + F.ascii("l_returnflag") + F.ascii("l_linestatus")).cast("long").alias("nth"), F.concat(F.lit("s"), (F.col("l_partkey") % 20).cast("string")).alias("slug"), F.when(F.col("l_quantity") > 5, F.concat("l_returnflag", "l_linestatus")).otherwise(" ").alias("why"))
     return lanes.valid_picks(p, p.where("slug <> 's0'").select("query_id", "slug"))
 
 
