@@ -7,9 +7,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import ascii_lower, identity, release, same, staged, text_of, unstage
+from loam.llm.common import ascii_lower, identity, partitions, release, same, staged, text_of, unstage
 
 FIRST_DIGIT, GROWTH = 64, 8
+#: Groups that are dealt into cells at most: those with more than one in so many of a round's grouped rows.
+HOT = 256
+
+
+def dealt(keyed: DataFrame, groups: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of rows with their groups, and its keys: a hot group's rows are dealt into cells, as many as its share of
+    two rounds of partitions, and the group has a row a cell. Any other group is one cell. What the driver learns is HOT numbers."""
+    name, total = F.xxhash64(*by), groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = {r["h"]: r["n"] for r in groups.where(F.col("group_size") * HOT > total).groupBy(name.alias("h")).agg(F.sum("group_size").alias("n")).collect()}
+    n = [max(1, -(-2 * partitions(keyed.sparkSession) * x // total)) for x in hot.values()]
+    cells = F.coalesce(F.try_element_at(F.map_from_arrays(F.lit(list(hot)), F.lit(n)), name), F.lit(1)) if hot else F.lit(1)
+    rows = keyed.withColumn("cell", F.pmod(F.monotonically_increasing_id(), cells).cast("int"))
+    return rows, groups.withColumn("cell", F.explode(F.sequence(F.lit(0), cells.cast("int") - 1))), [*by, "cell"]
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,8 +33,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     leaves when it is alone in its group, or when its text ended: then all that share its group are equal to it byte
     by byte, and no digest was needed. Only open documents go on, with the bytes that are left.
 
-    A group larger than a task is no trouble: groups are counted with partial sums, and the join that tells the
-    documents their new group has one small row a group on its other side, so that Spark can split its hot keys.
+    A group larger than a task is no trouble: groups are counted with partial sums, and for the join that tells the
+    documents their new group the rows of large groups are dealt into cells (see dealt), at any size of the table.
 
     Returns a row for each row of docs: doc_id, keep_id (largest id of the group; null if all are), group_size,
     kept (true for one row of each group, among rows that repeat the largest id too), text_sha256, text_key (names the row, see
@@ -37,8 +50,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keyed.groupBy("grp", "digit", "ended").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1").withColumn("next", F.monotonically_increasing_id()),
             "radix-groups",
         )
+        left, right, keys = dealt(keyed, groups, ["grp", "digit", "ended"])
         out = (
-            keyed.join(groups.hint("merge"), ["grp", "digit", "ended"], "left")
+            left.join(right.hint("merge"), keys, "left")
             .withColumn("open", F.col("next").isNotNull() & ~F.col("ended"))
             .select(
                 "doc_id", "text_key", "text_sha256", "open",
