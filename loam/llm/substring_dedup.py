@@ -305,10 +305,13 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
 
     def matched(found: DataFrame) -> DataFrame:
         """Each document of a band against its first one."""
+        # Written first, so that both sides of the join come from exchanges: only then does Spark split a hot band.
         first = found.groupBy("band").agg(F.min(F.struct(_rank().alias("r"), "word")).alias("f"), F.max(_rank()).alias("last")).where("f.r <> last").select("band", "f")
+        first = staged(first, "first-of-band")
         place = F.struct("word", F.col("f.word").alias("f_word"), "band")
         pairs = found.join(first.hint("merge"), "band").where(_rank() != F.col("f.r")).groupBy("doc_id", "text_key", F.col("f.r.doc_id").alias("f_doc"), F.col("f.r.text_key").alias("f_key")).agg(F.collect_set(place).alias("places"))
         pairs = staged(pairs.withColumnsRenamed({"doc_id": "k_doc", "text_key": "k_text"}), "pairs")
+        unstage(first)
         release(spark)
         one = of_texts(pairs, "f_doc", "f_key", "places").select(F.col("doc_id").alias("d_doc"), F.col("text_key").alias("d_key"), F.col("text").alias("d_text"), F.col("f_doc").alias("k_doc"), F.col("f_key").alias("k_text"), "places")
         both = of_texts(one, "d_doc", "d_key", "d_text", "places").withColumnsRenamed({"doc_id": "f_doc", "text_key": "f_key", "text": "f_text"})
@@ -323,7 +326,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
     unstage(hits)
     release(spark)
     matches = matched(found)
-    again = matches.where("band is not null").select("band").distinct()
+    again = staged(matches.where("band is not null").select("band").distinct(), "bands-again")
     places = found.join(again.hint("merge"), "band", "left_semi").groupBy(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text")).agg(F.collect_set(F.col("word").cast("long")).alias("places"))
     wide = staged(banded(of_texts(staged(places, "places"), "places"), list(range(-side, 1)), words_in, words_in), "wide-bands")
     unstage(found)
@@ -346,7 +349,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "do
     parent = from_first.join(nodes.select(*spot, "node").hint("merge"), spot).groupBy("node").agg(F.min("x").alias("x")).select(F.col("node").alias("u"), F.col("x.f").alias("doc"), F.col("x.f_word").alias("word"), F.col("x.f_upto").alias("upto"))
     links = staged(parent.join(nodes.select(*spot, F.col("node").alias("v")).hint("merge"), spot).select("u", "v"), "links")
     labels = staged(components(links), "labels")
-    firsts = nodes.join(labels.hint("merge"), "node").groupBy("component").agg(F.min(_rank()).alias("first"))
+    firsts = staged(nodes.join(labels.hint("merge"), "node").groupBy("component").agg(F.min(_rank()).alias("first")), "firsts")
     cluster = labels.join(firsts.hint("merge"), "component").select("node", F.col("first.doc_id").alias("cluster"))
 
     def merged(spans: DataFrame) -> DataFrame:
