@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from loam.llm.common import identity, release, same, ship, staged, text_of, unstage
 from loam.llm.grouping import components
 from loam.llm.ngram_join import encoded, in_arrow, signed
-from loam.llm.shingles import mix, rolled, slices, words
+from loam.llm.shingles import rolled, slices, words
 
 #: Words of a paragraph, of a shingle that similarity is counted in, of a seed (a shingle that a paragraph's MinHash is taken of).
 PARAGRAPH, SHINGLE, SEED = 24, 5, 12
 PERCENT = 80
-#: Pairs that are worked off at a time; what fills short sets.
-PAIRS, FILL = 16_384, np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -224,47 +222,6 @@ def _split(texts: list[bytes]):
         yield h[lo:hi], starts[lo:hi], ends[lo:hi]
 
 
-def similar(sets: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs of rows i and j have a Jaccard similarity of percent / 100 or more."""
-    out = np.zeros(len(i), dtype=bool)
-    near = np.flatnonzero(100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
-    for at in (near[k : k + PAIRS] for k in range(0, len(near), PAIRS)):
-        x, y = sets[i[at]], sets[j[at]]
-        y = np.where(y == FILL, FILL - np.uint64(1), y)
-        shared = np.zeros(len(at), dtype=np.int64)
-        for c in range(y.shape[1]):
-            shared += (x == y[:, c : c + 1]).any(axis=1)
-        out[at] = 100 * shared >= percent * (sizes[i[at]] + sizes[j[at]] - shared)
-    return out
-
-
-def candidates(sets: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group that can be similar: with each group's shingles in order of how many of its rows hold them, two
-    sets as similar as that share one of their first n - ceil(percent * n / 100) + 1. What all rows share comes last."""
-    m, width = sets.shape
-    there = np.arange(width) < sizes[:, None]
-    keys = mix(sets ^ (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
-    _, where, times = np.unique(keys[there], return_inverse=True, return_counts=True)
-    place = np.full((m, width), len(times), dtype=np.int64)
-    place[there] = where
-    often = np.append(times, np.iinfo(np.int32).max)[place]
-    first = np.argsort(often * (len(times) + 1) + place, axis=1, kind="stable")
-    place, often = (np.take_along_axis(x, first, axis=1) for x in (place, often))
-    head = (np.arange(width) < (sizes - -(-percent * sizes // 100) + 1)[:, None]) & there & (often > 1)
-    row, token = np.nonzero(head)[0], place[head]
-    order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
-    counts = np.diff(np.r_[starts, len(token)])
-    pairs = [np.empty(0, np.int64)]
-    for n in np.unique(counts[counts > 1]):
-        i, j = np.triu_indices(n, 1)
-        runs = starts[counts == n]
-        pairs += [np.unique((row[part[:, None] + i] * m + row[part[:, None] + j]).ravel()) for part in (runs[k : k + max(1, PAIRS // len(i))] for k in range(0, len(runs), max(1, PAIRS // len(i))))]
-    both = np.unique(np.concatenate(pairs))
-    return both // m, both % m
-
-
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words_in: int = PARAGRAPH, k: int = SHINGLE) -> DataFrame:
     """Passages that another document has too, alike or nearly.
 

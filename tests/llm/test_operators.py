@@ -586,28 +586,6 @@ def test_substring_dedup(spark, edge_docs, edge_rows, no_docs):
     assert substring_dedup.repeated_passages(no_docs).count() == 0
 
 
-def test_paragraph_candidates_lose_no_pair():
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    for _ in range(60):
-        m = int(r.integers(2, 60))
-        base, group, rows = r.integers(1, 1 << 60, 20).astype(np.uint64), np.sort(r.integers(0, 4, m)), []
-        for _ in range(m):
-            x, k = base.copy(), r.integers(0, 6)
-            x[r.choice(20, k, replace=False)] = r.integers(1, 1 << 60, k).astype(np.uint64)
-            rows.append(np.unique(x[: r.integers(10, 20)] if r.random() < 0.3 else x))
-        sizes = np.array([len(x) for x in rows])
-        sets = np.full((m, sizes.max()), substring_dedup.FILL, dtype=np.uint64)
-        for i, x in enumerate(rows):
-            sets[i, : len(x)] = x
-        a, b = substring_dedup.candidates(sets, sizes, group, 80)
-        hit = substring_dedup.similar(sets, sizes, a, b, 80)
-        plain = [set(x.tolist()) for x in rows]
-        want = {(i, j) for i in range(m) for j in range(i + 1, m) if group[i] == group[j] and 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j])}
-        assert {(min(x, y), max(x, y)) for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)} == want
-
-
 def test_passages_wherever_they_stand(spark, monkeypatch):
     """Planted passages of 51 words and more in clean documents: all are found, one occurrence stays, the clean ones have no row."""
     monkeypatch.setattr("loam.llm.grouping.SMALL", 8)
