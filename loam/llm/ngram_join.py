@@ -338,9 +338,10 @@ def n_gram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "d
     nodes = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = nodes.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = staged(nodes, "nodes")
-    firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    # Written first, so that a component of very many nodes can be split in the join.
+    firsts = staged(nodes.groupBy("component").agg(F.min("first").alias("component_id")), "firsts")
     named = staged(nodes.join(firsts.hint("merge"), "component").select("node", "component_id"), "named")
-    unstage(links, nodes)
+    unstage(links, nodes, firsts)
     cols = lambda component: ["doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "text_key"]
     out = every.where("n > 0").join(named.hint("merge"), "node").select(*cols(F.col("component_id")))
     return out.unionByName(every.where("n = 0").select(*cols(F.col("doc_id"))))
