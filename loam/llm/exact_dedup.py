@@ -16,12 +16,13 @@ HOT = 256
 
 def dealt(keyed: DataFrame, groups: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of a join of rows with their groups, and its keys: a hot group's rows are dealt into cells, as many as its share of
-    two rounds of partitions, and the group has a row a cell. Any other group is one cell. What the driver learns is HOT numbers."""
+    two rounds of partitions, and the group has a row a cell. Any other group is one cell. A row's cell comes from its name, not from its place,
+    so that a task that runs again deals it alike. What the driver learns is HOT numbers."""
     name, total = F.xxhash64(*by), groups.agg(F.sum("group_size")).first()[0] or 0
     hot = {r["h"]: r["n"] for r in groups.where(F.col("group_size") * HOT > total).groupBy(name.alias("h")).agg(F.sum("group_size").alias("n")).collect()}
     n = [max(1, -(-2 * partitions(keyed.sparkSession) * x // total)) for x in hot.values()]
     cells = F.coalesce(F.try_element_at(F.map_from_arrays(F.lit(list(hot)), F.lit(n)), name), F.lit(1)) if hot else F.lit(1)
-    rows = keyed.withColumn("cell", F.pmod(F.monotonically_increasing_id(), cells).cast("int"))
+    rows = keyed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_key", F.lit(5)), cells).cast("int"))
     return rows, groups.withColumn("cell", F.explode(F.sequence(F.lit(0), cells.cast("int") - 1))), [*by, "cell"]
 
 
