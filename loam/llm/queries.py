@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, substring_dedup, topk_search, warc
+from loam.llm import bpe, common, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, prefix_trie, spelling, substring_dedup, topk_search, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_language_id, op4_line_dedup, op5_warc, op6_bpe, op7_exact_dedup, op8_lm_scoring, op9_topk_search, op10_substring_dedup)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), least_chars=6, least_n=5, every=199)
+    return spelling.spelling_groups(words, times=5)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(turns, convs).drop("digest")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_language_id, op4_line_dedup, op5_warc, op6_bpe, op7_exact_dedup, op8_lm_scoring, op9_topk_search, op10_substring_dedup, op11_spelling, op12_prefix_trie, op13_packing)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
