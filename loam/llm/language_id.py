@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,17 +20,82 @@ UNITS, SPAN, FILL = 12, 128, 256
 SAMPLE, PER_DOC = 3000, 24
 STEPS, BATCH, RATE = 400, 192, 0.03
 LETTER = regex.compile(r"\p{L}")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of letters that evidence tells apart; positions of clean text that each text starts with; weight of shorter contexts.
+CLASSES, GIVEN, BACKOFF = 63, 8, 4.0
+
+
+@dataclass
+class Evidence:
+    """For each language, what a letter is worth after the two before it: the logarithm of its probability there over that of the
+    letter alone. usual: its median in windows of the language. bound: halfway between that and the median of windows whose words were shuffled."""
+
+    classes: np.ndarray
+    worth: dict[str, np.ndarray]
+    usual: dict[str, float]
+    bound: dict[str, float]
+
+    def codes(self, text: str) -> np.ndarray:
+        """The classes of the bytes of a text's letters, in lower case; what lies between words is one space."""
+        return self.classes[np.frombuffer(f" {' '.join(LETTERS.findall(text.lower()))} ".encode(), dtype=np.uint8)]
+
+    def of(self, text: str, lang: str) -> float:
+        """The mean over a text's letters of what they are worth. Few letters prove little: GIVEN usual ones are counted in."""
+        k, c, table = int(self.classes.max()) + 1, self.codes(text), self.worth[lang]
+        total = GIVEN * self.usual.get(lang, 0.0)
+        for a in range(0, len(c) - 2, 1 << 20):
+            part = c[a : a + (1 << 20) + 2]
+            total += float(table[part[:-2] * k * k + part[1:-1] * k + part[2:]].sum(dtype=np.float64))
+        return total / (GIVEN + max(0, len(c) - 2))
+
+
+def weigh(windows: list[tuple[str, int, str]], seed: int = 7) -> Evidence:
+    """Evidence from windows (language, number of the document, text): counts from the documents of even number, bounds from the
+    others and from their shuffled words (from all, where a language has documents of one kind only). The sample bounds the work."""
+    r = np.random.default_rng(seed)
+    seen = np.zeros(256, dtype=np.int64)
+    out = Evidence(np.arange(256), {}, {}, {})
+    for _, _, text in windows:
+        seen += np.bincount(out.codes(text), minlength=256)
+    top = [b for b in np.argsort(-seen, kind="stable")[:CLASSES] if seen[b]]
+    out.classes = np.zeros(256, dtype=np.int64)
+    out.classes[top] = np.arange(1, len(top) + 1)
+    k = len(top) + 1
+    by_lang: dict[str, tuple[list[str], list[str]]] = {}
+    for lang, doc, text in windows:
+        by_lang.setdefault(lang, ([], []))[doc % 2].append(text)
+    for lang, (even, odd) in by_lang.items():
+        n3 = np.zeros(k**3)
+        for text in even or odd:
+            c = out.codes(text)
+            n3 += np.bincount(c[:-2] * k * k + c[1:-1] * k + c[2:], minlength=k**3) if len(c) > 2 else 0
+        n3 = n3.reshape(k, k, k)
+        n2 = n3.sum(axis=0)
+        n1 = n2.sum(axis=0)
+        alone = (n1 + 0.5) / (n1.sum() + 0.5 * k)
+        after_one = (n2 + BACKOFF * alone) / (n2.sum(axis=1, keepdims=True) + BACKOFF)
+        after_two = (n3 + BACKOFF * after_one) / (n3.sum(axis=2, keepdims=True) + BACKOFF)
+        out.worth[lang] = (np.log(after_two) - np.log(alone)).astype(np.float32).reshape(-1)
+    for lang, (even, odd) in by_lang.items():
+        clean = [t for t in odd or even if LETTERS.search(t)]
+        shuffled = [LETTERS.sub(lambda m: "".join(r.permutation(list(m[0].lower()))), t) for t in clean]
+        good = float(np.median([out.of(t, lang) for t in clean])) if clean else 0.0
+        bad = float(np.median([max(out.of(t, x) for x in out.worth) for t in shuffled])) if clean else 0.0
+        out.usual[lang], out.bound[lang] = good, (good + bad) / 2
+    return out
 
 
 @dataclass
 class Model:
     """Per direction: inputs (3 units x 257 byte values), recurrent (3 units x units) and its bias; read-out of both.
     Rows of a matrix go update, reset, candidate. Input rows and biases of update and reset hold half of the usual value's
-    argument, as sigmoid(x) = (1 + tanh(x / 2)) / 2. letters: those of the training sample, in lower case."""
+    argument, as sigmoid(x) = (1 + tanh(x / 2)) / 2. letters: those of the training sample, in lower case; evidence: learned from
+    the same sample, see keep_identified."""
 
     langs: list[str]
     weights: dict[str, np.ndarray]
     letters: frozenset[str] = frozenset()
+    evidence: Evidence | None = None
 
 
 def fresh(n_langs: int, units: int, seed: int) -> dict[str, np.ndarray]:
@@ -223,6 +289,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = sorted((r["lang"], r["h"], r["nth"], r["part"]) for r in picked.collect())
     model = train([x[3].encode()[:SPAN] for x in got], [x[0] for x in got])
     model.letters = frozenset(c for x in got for c in x[3].lower() if LETTER.match(c))
+    model.evidence = weigh([(x[0], x[1], x[3]) for x in got])
     return model
 
 
@@ -266,10 +333,12 @@ def known_letters(model: Model, text: str) -> float:
     return known / max(1, all_)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, least: float | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows that are in none of the model's languages: null texts and texts without a letter; those half of whose letters the
-    training sample never had (other scripts); and those of which no language has more than `least` of the probability,
-    averaged over all bytes (other languages and junk). Prose with some foreign lines, names or junk stays.
+    training sample never had (other scripts); and those whose letters, on average over the whole text, are worth no more than
+    `least` in the language that the net finds (other languages and junk). Left out, `least` is the language's own bound, which
+    the training sample sets, halfway between its clean windows and the same ones with shuffled words; so it does not hang on how sure the net,
+    which knows its languages alone, happens to be. Prose with some foreign lines, names or junk stays, and so do texts of a few letters.
 
     Columns stay as they were, but a null language is filled in with the predicted one, if docs have that column. Without a model only
     rows without letters go."""
@@ -289,8 +358,10 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, te
                 good, langs = np.zeros(len(texts), dtype=bool), [None] * len(texts)
                 if some and model:
                     p = document_probabilities(model, [texts[i].encode() for i in some])
-                    for i, j, s in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True):
-                        good[i], langs[i] = s > least and known_letters(model, texts[i]) > 0.5, model.langs[j]
+                    for i, j in zip(some, p.argmax(axis=1), strict=True):
+                        langs[i] = model.langs[j]
+                        bound = model.evidence.bound[langs[i]] if least is None else least
+                        good[i] = known_letters(model, texts[i]) > 0.5 and model.evidence.of(texts[i], langs[i]) > bound
                 elif some:
                     good[some] = True
                 if at is not None:

@@ -220,6 +220,59 @@ def planted_languages(spark, rows):
     return spark.createDataFrame([(d, t, x, "s") for d, t, x in texts], "doc_id long, text string, lang string, source string")
 
 
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+}
+
+
+def junk_texts(r, clean, n):
+    """n texts of each kind: random letters, letters as often as in clean text, words of clean text with their letters shuffled, and
+    sentences of two other languages, their words in random order."""
+    letters = [c for t in clean[:200] for c in t.lower() if c.isalpha()]
+    of = lambda pick, k: "".join(pick() if r.random() > 0.15 else " " for _ in range(k))
+    out = {"random": [], "unigram": [], "shuffled": [], **{k: [] for k in FOREIGN}}
+    for _ in range(n):
+        size = r.randint(80, 800)
+        out["random"].append(of(lambda: r.choice("abcdefghijklmnopqrstuvwxyz"), size))
+        out["unigram"].append(of(lambda: r.choice(letters), size))
+        words = [w for w in r.choice(clean).split() if w.isalpha()]
+        while sum(map(len, words)) < 80:
+            words += [w for w in r.choice(clean).split() if w.isalpha()]
+        out["shuffled"].append(" ".join("".join(r.sample(w, len(w))) for w in words))
+        for k, t in FOREIGN.items():
+            words = t.split()
+            out[k].append(" ".join(r.choice(words) for _ in range(size // 6)))
+    return out
+
+
+def test_rejection(spark):
+    """Junk of three kinds and two other languages go, clean rows stay: under nets of five seeds, each with a training sample of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.where("text is not null").collect()
+    for seed in range(5):
+        r = random.Random(seed)
+        learn = [x for x in rows if x["lang"] and zlib.crc32(str(x["doc_id"]).encode()) % 4 != 2]
+        windows = []
+        for lang in sorted({x["lang"] for x in learn}):
+            own = [x for x in learn if x["lang"] == lang]
+            for _ in range(1500):
+                x = r.choice(own)
+                at = r.randrange(max(1, len(x["text"]) - language_id.SPAN + 1))
+                windows.append((lang, x["doc_id"], x["text"][at : at + language_id.SPAN]))
+        model = language_id.train([w[2].encode()[: language_id.SPAN] for w in windows], [w[0] for w in windows], steps=60, seed=seed)
+        model.letters = frozenset(c for w in windows for c in w[2].lower() if c.isalpha())
+        model.evidence = language_id.weigh(windows, seed)
+        junk = junk_texts(r, [x["text"] for x in learn], 60)
+        texts = [(i, t) for i, t in enumerate(t for ts in junk.values() for t in ts)] + [(1_000_000 + i, x["text"]) for i, x in enumerate(rows)]
+        kept = {x["doc_id"] for x in language_id.keep_identified(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+        clean = [i for i, t in texts if i >= 1_000_000 and re.search(r"[^\W\d_]", t)]
+        caught = [sum(i not in kept for i in range(60 * j, 60 * j + 60)) / 60 for j in range(len(junk))]
+        print(seed, dict(zip(junk, caught)), sum(i in kept for i in clean) / len(clean))
+        assert min(caught) >= 0.95, (seed, dict(zip(junk, caught)))
+        assert sum(i in kept for i in clean) >= 0.999 * len(clean), seed
+
+
 def test_language_id(spark, edge_docs, edge_rows, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs)
@@ -238,7 +291,7 @@ def test_language_id(spark, edge_docs, edge_rows, no_docs):
     edge = language_id.predict(edge_docs, model).collect()
     blank = Counter((d, "und", 0.0) for d, t, *_ in edge_rows if not re.search(r"[^\W\d_]", t or ""))
     assert Counter((r["doc_id"], r["lang_pred"], r["score"]) for r in edge if r["lang_pred"] == "und") == blank and len(edge) == len(edge_rows)
-    kept = language_id.keep_identified(edge_docs, model, least=0.0)
+    kept = language_id.keep_identified(edge_docs, model, least=-math.inf)
     assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows) - sum(blank.values())
     # Everything against a plain forward pass, position by position.
     for d, t, *_ in edge_rows:
