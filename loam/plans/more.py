@@ -113,12 +113,19 @@ def t10_sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", text.sanitize_query(F.concat(F.lit("see https://a.b/c?d now\n$ "), "text")).alias("query"))
 
 
-@query("select doc_id, case when instr(text, ' the ') > 0 then 'external(list)' end as pattern, case when instr(text, ' the ') > 0 then instr(text, ' the ') - 1 end::int as place, case when instr(text, ' the ') > 0 then regexp_replace(substr(text, greatest(1, instr(text, ' the ') - 10), least(10, instr(text, ' the ') - 1)::bigint), '[^\\x20-\\x7e]', '.', 'g') || '[REDACTED:external(list)]' end as context from documents where not regexp_matches(text, 'eyJ|sk-|ghp_|github_pat_|glpat-|xox|AKIA|ASIA|AIza|PRIVATE KEY')")
+_HITS = " ".join(f"when regexp_matches(text, '{p}') then {{'pattern': '{n}', 'm': regexp_extract(text, '{p}')}}" for n, p in text.SECRETS.items())
+
+
+@query(
+    f"with h as (select doc_id, text, case {_HITS} when contains(text, ' the ') then {{'pattern': 'external(list)', 'm': ' the '}} end as hit from documents), "
+    "p as (select *, instr(text, hit.m) - 1 as place from h), "
+    "c as (select *, regexp_replace(substr(text, greatest(1, place - 9), least(10, place)), '[^\\x20-\\x7e]', '.', 'g') || '[REDACTED:' || hit.pattern || ']' as line from p) "
+    "select doc_id, hit.pattern as pattern, place::int as place, case when contains(line, hit.m) or contains(line, ' the ') then '[REDACTED]' else line end as context from c"
+)
 def t14_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A literal of an external list."""
-    d = inputs.table(spark, sf_dir, "documents").where("not rlike(text, 'eyJ|sk-|ghp_|github_pat_|glpat-|xox|AKIA|ASIA|AIza|PRIVATE KEY')")
+    """The first key pattern, or else a literal of an external list, in every text."""
     hit = text.scan_secrets(F.col("text"), (" the ",), "list")
-    return d.select("doc_id", hit["pattern"].alias("pattern"), hit["offset"].cast("int").alias("place"), hit["context"].alias("context"))
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", hit["pattern"].alias("pattern"), hit["offset"].cast("int").alias("place"), hit["context"].alias("context"))
 
 
 @query("select conv_id, turn, length(text) as n, role as kind from conversations where turn % 2 = 0")
