@@ -48,18 +48,33 @@ def field_tokens(topics: DataFrame) -> DataFrame:
     return rows.select("slug", F.explode(F.concat(*lists)).alias("x")).select("slug", "x.token", "x.fields")
 
 
-def score_topics(queries: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None) -> DataFrame:
+def field_counts() -> list[Column]:
+    """n_triggers to n_conclusion and n_body: how many of the tokens met are in each field."""
+    bits = {f: F.lit(1 << i) for i, f in enumerate((*WEIGHTS, "body"))}
+    return [F.count(F.when(F.col("fields").bitwiseAND(b) > 0, 1)).alias(f"n_{f}") for f, b in bits.items()]
+
+
+def lexical(cfg: Retrieval) -> Column:
+    """What the fields add, in the order of their weights, and the boost for tags."""
+    s = sum((F.lit(w) * (F.col(f"n_{f}") / F.col("n_query")) for f, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["triggers"]) * (F.col("n_triggers") / F.col("n_query")))
+    return s + F.when(F.col("n_tags") > 0, cfg.tag_boost).otherwise(0.0)
+
+
+def score_topics(queries: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None, postings: DataFrame | None = None) -> DataFrame:
     """query_id, slug, pos, score, gate_score, strong, body_hits of every query and topic that share a token.
 
     The tokens of queries and topics are joined by token, so nothing is compared that has no token in common. usage
-    (slug, hits, opens), conflicts and zero_open (slug) and now add their terms only where given.
+    (slug, hits, opens), conflicts and zero_open (slug) and now add their terms only where given. Where only scores from a floor on are
+    wanted, postings.search() meets fewer. postings: field_tokens() of the topics, where there are some already.
     """
-    bits = {f: F.lit(1 << i) for i, f in enumerate((*WEIGHTS, "body"))}
-    shared = query_tokens(queries).join(field_tokens(topics), "token")
-    per_field = [F.count(F.when(F.col("fields").bitwiseAND(b) > 0, 1)).alias(f"n_{f}") for f, b in bits.items()]
-    found = shared.groupBy("query_id", "slug").agg(F.max("n_query").alias("n_query"), *per_field).withColumnRenamed("n_body", "body_hits")
-    s = sum((F.lit(w) * (F.col(f"n_{f}") / F.col("n_query")) for f, w in list(WEIGHTS.items())[1:]), F.lit(WEIGHTS["triggers"]) * (F.col("n_triggers") / F.col("n_query")))
-    s = s + F.when(F.col("n_tags") > 0, cfg.tag_boost).otherwise(0.0)
+    shared = query_tokens(queries).join(field_tokens(topics) if postings is None else postings, "token")
+    found = shared.groupBy("query_id", "slug").agg(F.max("n_query").alias("n_query"), *field_counts())
+    return scores(found, topics, cfg, usage, conflicts, zero_open, now)
+
+
+def scores(found: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None) -> DataFrame:
+    """score_topics() of counted tokens: found has query_id, slug, n_query and the counts by field."""
+    found, s = found.withColumnRenamed("n_body", "body_hits"), lexical(cfg)
     found = found.join(topics.select("slug", "pos", "generated_at"), "slug")
     if usage is not None:
         found = found.join(usage.select("slug", (F.col("hits") + F.col("opens")).alias("uses")), "slug", "left")

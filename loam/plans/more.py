@@ -427,7 +427,7 @@ def q1_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1: a retrieval round of each query as one plan: search, gate, read, pack, and the row that goes to the log."""
     q = inputs.queries(spark, sf_dir)
     roster = inputs.roster(spark, sf_dir)
-    hits = retrieve.hits(retrieve.score_topics(q, roster))
+    hits = retrieve.hits(_scored(spark, sf_dir))
     entries = hits.join(roster.select("slug", "title"), "slug").select(F.col("query_id").alias("round"), F.lit("fast").alias("lane"), F.col("rank").alias("place"), "slug", text.estimate_tokens(F.col("title")).alias("cost"))
     packed = pack.pack_fixed(entries, pack.POINTER["total"], pack.POINTER["per_entry"], reserve=40)
     return pack.round_rows(q, packed, 40)

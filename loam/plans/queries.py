@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import numbers, text
-from loam.operators import cluster, graph, lifecycle, metrics, pack, replay, rerank, retrieve
+from loam.operators import cluster, graph, lifecycle, metrics, pack, postings, replay, rerank, retrieve, shared
 from loam.plans import inputs
 from loam.plans.inputs import FACTS_SQL, NOW, TOPICS_SQL
 from loam.streaming import turns
@@ -90,7 +90,7 @@ shown as (
 
 
 def _scored(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    return retrieve.score_topics(inputs.queries(spark, sf_dir), inputs.roster(spark, sf_dir), **more)
+    return retrieve.score_topics(inputs.queries(spark, sf_dir), inputs.roster(spark, sf_dir), postings=inputs.index(spark, sf_dir), **more)
 
 
 @query(f"with {sql_scored()} select query_id, slug, pos, score, gate_score, strong, body_hits from scored")
@@ -104,6 +104,13 @@ def r4_top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.hits(_scored(spark, sf_dir))
 
 
+@query(f"with {sql_scored()}, h as (select *, row_number() over ({_ORDER}) as rank from scored where gate_score >= 2 and {_GATE}) select query_id, slug, pos, score, gate_score, strong, body_hits, rank::int as rank from h where rank <= 4")
+def r4_pruned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1-R4 at a high threshold, by the lists of postings that can reach it."""
+    cfg = retrieve.Retrieval(threshold=2.0)
+    return retrieve.hits(postings.search(inputs.queries(spark, sf_dir), inputs.roster(spark, sf_dir), cfg, cfg.threshold, inputs.index(spark, sf_dir)), cfg)
+
+
 @query(f"with {sql_scored()}, {_NEAR} select query_id, slug, pos, score, gate_score, strong, body_hits, band, rank::int as rank from near where rank <= 8")
 def r7_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5-R7."""
@@ -230,6 +237,23 @@ def r12_stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.stale(inputs.roster(spark, sf_dir), index, "m")
 
 
+_KEPT = """now as (select slug, case when pos % 8 = 4 then 'renamed ' || pos else title end as title, tags, triggers, description, conclusion from roster where pos % 7 <> 0)"""
+
+
+@query(f"with {TOPICS_SQL}, {_KEPT}, p as ({' union all '.join(f'select {i} as f, unnest({sql_tokens(x)}) as token from now' for i, x in enumerate(_FIELDS.values()))}) select token, {', '.join(f'count(*) filter (f = {i}) as n_{f}' for i, f in enumerate(_FIELDS))} from p group by token")
+def r13_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index through batches of new, changed and gone topics, compacted between: topics by token and field."""
+    t = inputs.roster(spark, sf_dir)
+    renamed = lambda test: t.withColumn("title", F.when(F.expr(test), F.concat(F.lit("renamed "), F.col("pos").cast("string"))).otherwise(F.col("title")))
+    kept = postings.Kept(shared.folder(spark, "kept"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept.update(t.where("pos % 10 <> 0"))
+    kept.update(renamed("pos % 4 = 0"))
+    kept.compact(spark)
+    kept.update(renamed("pos % 8 = 4").where("pos % 7 <> 0"))
+    counts = [c.alias(f"n_{f}") for f, c in zip(_FIELDS, retrieve.field_counts(), strict=False)]
+    return kept.postings(spark).groupBy("token").agg(*counts)
+
+
 # --- telemetry ---
 
 
@@ -485,18 +509,6 @@ def j9_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.similar_pairs(inputs.topics(spark, sf_dir))
 
 
-def _write(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: cuts the lineage of a loop and outlives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        import tempfile
-
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loam-"))
-    return df.checkpoint()
-
-
 _CLUSTERS = f"""with recursive {_PAIRS},
 e as (select a, b from pairs union all select b, a from pairs),
 reach as (select a, a as c from e union select e.b, reach.c from reach join e on e.a = reach.a),
@@ -508,7 +520,7 @@ mem as (select cluster, pos, max(best) over (partition by cluster) as peak, row_
 @query(f"{_CLUSTERS} select cluster, pos, peak, rank::int as rank from mem where rank <= 6")
 def g4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4, A17, O6."""
-    return cluster.clusters(_write(cluster.similar_pairs(inputs.topics(spark, sf_dir))), _write)
+    return cluster.clusters(shared.written(cluster.similar_pairs(inputs.topics(spark, sf_dir))), shared.written)
 
 
 @query(
@@ -516,8 +528,8 @@ def g4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     "from pairs p join k x on x.pos = p.a join k y on y.pos = p.b and x.cluster = y.cluster) select cluster, a, b, similarity, rank::int as rank from i where rank <= 5"
 )
 def g5_asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _write(cluster.similar_pairs(inputs.topics(spark, sf_dir)))
-    return cluster.asked_pairs(pairs, cluster.clusters(pairs, _write))
+    pairs = shared.written(cluster.similar_pairs(inputs.topics(spark, sf_dir)))
+    return cluster.asked_pairs(pairs, cluster.clusters(pairs, shared.written))
 
 
 # --- text ---
