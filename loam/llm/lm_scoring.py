@@ -13,6 +13,8 @@ from loam.llm.common import id_bucket, partitions, release, ship, staged, text_o
 
 #: Bytes of text in a block; the stop's weight among further pieces, as a share of theirs.
 BLOCK, STOP = 8 << 20, 0.3
+#: Rounds of re-estimation of the pieces' weights; what the vocabulary's own weights count beside the training words, in pieces.
+ROUNDS, PRIOR = 2, 50.0
 MARK = "▁"
 #: Longest words that are worked off many at a time; bits of the table of pieces; the rolling hash's base.
 VECTOR, TABLE, BASE, ALL = 40, 18, 0x100000001B3, (1 << 64) - 1
@@ -161,8 +163,8 @@ class Speller:
                     yield some[known], np.concatenate([np.full((int(known.sum()), 1), ord(MARK), dtype=np.uint32), chars[known]], axis=1).T.astype(np.uint64)
         yield np.concatenate(rest), None
 
-    def _forward(self, chars: np.ndarray) -> np.ndarray:
-        """Log probability of the marked words in the columns, without the stop."""
+    def _found(self, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """Places of the pieces by begin and end."""
         n, m = chars.shape
         found: dict[tuple[int, int], np.ndarray] = {}
         for b in range(n):
@@ -172,12 +174,58 @@ class Speller:
                 at = self.find(h)
                 if (at >= 0).any():
                     found[b, e] = at
+        return found
+
+    def _forward(self, chars: np.ndarray, found: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
+        """Log probability of all ways to each place of the marked words in the columns, without the stop."""
+        n, m = chars.shape
+        found = self._found(chars) if found is None else found
         score = np.append(self.score, NEVER)
         ahead = np.full((n + 1, m), NEVER)
         ahead[0] = 0
         for e in range(1, n + 1):
             ahead[e] = column_log_sum([ahead[b] + score[at] for (b, x), at in found.items() if x == e])
-        return ahead[n]
+        return ahead
+
+    def uses(self, words: list[str]) -> np.ndarray:
+        """How often each piece is expected in these words, a stop in each: forward and backward recursion."""
+        out = np.zeros(len(self.score) + 1)
+        score = np.append(self.score, NEVER)
+        for own, chars in self._batches(words):
+            if chars is None:
+                for i in own:
+                    self._uses_of(MARK + words[i], out)
+                continue
+            n, m = chars.shape
+            found = self._found(chars)
+            ahead, behind = self._forward(chars, found), np.full((n + 1, m), NEVER)
+            behind[n] = 0
+            for b in range(n - 1, -1, -1):
+                behind[b] = column_log_sum([score[at] + behind[e] for (x, e), at in found.items() if x == b] or [behind[b]])
+            for (b, e), at in found.items():
+                out += np.bincount(at % len(out), np.exp(ahead[b] + score[at] + behind[e] - ahead[n]), len(out))
+        return out[:-1]
+
+    def _uses_of(self, text: str, out: np.ndarray) -> None:
+        arcs = self.arcs(text)
+        into: list[list[float]] = [[] for _ in range(len(text) + 1)]
+        into[0].append(0.0)
+        ahead, behind = [NEVER] * (len(text) + 1), [NEVER] * (len(text) + 1)
+        last = -1
+        for b, e, _, s in arcs:
+            if b != last:
+                ahead[b], last = log_sum(into[b]), b
+            into[e].append(ahead[b] + s)
+        total = log_sum(into[-1])
+        onward: list[list[float]] = [[] for _ in text] + [[0.0]]
+        last = len(text)
+        behind[last] = 0.0
+        for b, e, at, s in reversed(arcs):
+            if behind[e] == NEVER:
+                behind[e] = log_sum(onward[e])
+            onward[b].append(s + behind[e])
+            for i in at:
+                out[i] += math.exp(ahead[b] + s + behind[e] - total)
 
     def log_probs(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words))
@@ -186,7 +234,7 @@ class Speller:
                 for i in own:
                     out[i] = self.log_prob(words[i])
             else:
-                out[own] = self._forward(chars) + self.stop
+                out[own] = self._forward(chars)[-1] + self.stop
         return out
 
 
@@ -274,7 +322,36 @@ def blocks_of(docs: DataFrame, folds: int, held: int, id_col: str, text_col: str
     return rows.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fitted(counts: DataFrame, model, weight: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """The pieces' weights and the stop's, re-estimated by expectation maximisation from the different training words, each counted once, as
+    the words that training hasn't seen are more like its rare ones. The vocabulary's weights start it, and count as PRIOR pieces
+    after that, so that no piece is impossible. One number a piece goes to the driver."""
+    marked = model.value.marked
+    prior = np.where(marked, weight / max(weight[marked].sum(), 1e-300), weight / weight[~marked].sum() / (1 + STOP)) * PRIOR
+    stop, words = STOP / (1 + STOP) * PRIOR, counts.where("c > 0").select("word")
+    n, now = words.count(), (weight, STOP * weight[~marked].sum())
+    for _ in range(rounds if n else 0):
+        was = now
+
+        def uses(batches, was=was):
+            import pyarrow as pa
+
+            s, out = Speller(model.value, *was), None
+            for batch in gathered(batches):
+                own = s.uses([decoded(w) for w in batch.column("word").to_pylist()])
+                out = own if out is None else out + own
+            if out is not None:
+                some = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["piece", "n"])
+
+        new = prior.copy()
+        for r in words.mapInArrow(uses, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            new[r["piece"]] += r["n"]
+        now = new, n + stop
+    return now
+
+
+def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text", learned: bool = False) -> DataFrame:
     """log10 probability of every text: the sum over all segmentations of its words into pieces of an existing vocabulary.
 
     Tokens are the words of the A-Z lower-cased text and one end. Each token is the end with the probability that the texts
@@ -283,6 +360,10 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, id_c
     piece_weights) and nothing else. Every string has a path, as characters that are no piece are spelt by bytes, and the probabilities
     of all tokens sum to 1.
 
+    learned: the pieces' weights are re-estimated from the training words (see fitted), and each word of the training texts is one more arc
+    over its whole lattice, with its share of the training words less a discount; what all discounts come to is the weight of
+    the paths through pieces. The probabilities of all tokens still sum to 1.
+
     A row for each row of docs: doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score
     (add-half unigrams of the words of all training texts), score. Null texts count as empty: one token, the end. Null ids are in no held-out
     fold. Without any training text all tokens are unknown, and the end has probability 1/2. Empty table: no rows.
@@ -297,20 +378,32 @@ def score(docs: DataFrame, pieces_path: str, folds: int = 5, held: int = 1, id_c
     counts = staged(listed.groupBy("word").agg(F.sum("times").alias("c")).repartition(2 * partitions(spark), "word"), "word-counts")
     release(spark)
     ends = blocks.select(F.explode("docs").alias("d")).agg(F.count(F.when(~F.col("d.held_out"), 1)).alias("n")).first()["n"]
-    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    of = lambda i: F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}")
+    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), of(1), of(2)).first()
     total, types = found["n"] + ends, found["v"] + (ends > 0)
     end = (ends + 0.5) / (total + 1)
 
     vocabulary = read_pieces(pieces_path)
     model = spark.sparkContext.broadcast(Pieces(vocabulary))  # as long as the vocabulary file
     weight = piece_weights(vocabulary)
+    stop = STOP * weight[~model.value.marked].sum()
+    n_words = found["n"]
+    off = found["n1"] / (found["n1"] + 2 * found["n2"]) if found["n1"] and found["n2"] else 0.5
+    spelt = math.log(off * found["v"] / n_words) if learned and n_words else 0.0
+    if learned:
+        weight, stop = fitted(counts, model, weight)
 
     def spell(batches):
         import pyarrow as pa
 
-        s = Speller(model.value, weight, STOP * weight[~model.value.marked].sum())
+        s = Speller(model.value, weight, stop)
         for batch in gathered(batches):
-            p = s.log_probs([decoded(w) for w in batch.column("word").to_pylist()]) + math.log1p(-end)
+            p = s.log_probs([decoded(w) for w in batch.column("word").to_pylist()]) + spelt
+            if learned and n_words:
+                c = batch.column("c").to_numpy()
+                with np.errstate(divide="ignore"):
+                    p = np.logaddexp(p, np.log(np.maximum(c - off, 0) / n_words))
+            p += math.log1p(-end)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p / math.log(10))], names=["word", "c", "p"])
 
     scored = staged(counts.mapInArrow(spell, "word binary, c long, p double"), "word-scores")

@@ -786,3 +786,49 @@ def test_stages_on_empty_and_strange_tables(spark, edge_docs, edge_rows, no_docs
 def test_staged_tables_read_back(spark):
     df = spark.createDataFrame([(1, "a"), (None, None)], "a long, b string")
     assert got(staged(df, "x"), "a", "b") == got(df, "a", "b")
+
+
+# --- 8 again: what is learned ---
+
+
+def test_lm_learned_scores_are_near_the_base(spark):
+    """On held-out documents the model isn't far below the base, which gives unknown words more than they can have together."""
+    from loam.llm.queries import op8_lm_scoring
+
+    rows = [r for r in op8_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    assert rows and all(r["score"] is not None and math.isfinite(r["score"]) for r in rows)
+    assert sum(r["score"] for r in rows) > 1.2 * sum(r["base_score"] for r in rows)
+
+
+def test_lm_uses_of_pieces():
+    """Expected uses against all ways to cut a word, in vectors and one word at a time."""
+    import numpy as np
+
+    m = lm_scoring.MARK
+    weight = {m: 2.0, m + "a": 1.0, m + "ab": 3.0, "a": 1.0, "b": 2.0, "ab": 1.5, "ba": 0.5, **{f"<0x{i:02X}>": 0.01 for i in range(256)}}
+    known = lm_scoring.Pieces(weight)
+    s = lm_scoring.Speller(known, np.array([weight[p] for p in known.names]), 9.0)
+    p = dict(zip(known.names, np.exp(s.score)))
+
+    def cuts(t):
+        if not t:
+            yield []
+        for i in range(1, len(t) + 1):
+            if t[:i] in p and (len(t[:i]) == 1 or t[:i] in weight):
+                for rest in cuts(t[i:]):
+                    yield [t[:i], *rest]
+
+    words = ["abab", "ba", "a", "bbabaab"]
+    want = Counter()
+    for w in words:
+        ways = [(c, math.prod(p[x] for x in c)) for c in cuts(m + w)]
+        for c, q in ways:
+            for x in c:
+                want[x] += q / sum(q for _, q in ways)
+    got_ = dict(zip(known.names, s.uses(words)))
+    assert all(math.isclose(got_[x], want[x], abs_tol=1e-9) for x in known.names)
+    alone = np.zeros(len(known.names) + 1)
+    for w in words:
+        s._uses_of(m + w, alone)
+    assert np.allclose(alone[:-1], s.uses(words))
+    assert math.isclose(s.uses(["é"])[known.place["<0xC3>"]], 1.0)
