@@ -56,18 +56,25 @@ def dispositions(mentions: DataFrame) -> DataFrame:
 
 def join_verdicts(verdicts: DataFrame, mentions: DataFrame, window_seconds: int) -> DataFrame:
     """verdicts (event_id, slug, at, probability) with the nearest round in the window that mentions the slug, of two
-    the earlier one. An interval join as an equi-join by slug; verdicts without a round have nulls.
+    the earlier one, of those at one time the first by name; verdicts without a round have nulls.
 
-    To keep a frequent slug from meeting all of its rounds, both sides also join on a time cell as long as the window:
-    a verdict looks into its own cell and the two beside it.
+    Cells of time are as long as the window: a verdict looks into its own cell and the two beside it. There it meets no more than the last
+    mention before it and the first one after it, found by one pass over the cell in time order, so that a frequent slug costs no pairs.
     """
-    cell = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(window_seconds * 1_000_000)).cast("long")
-    v = verdicts.withColumn("cell", F.explode(F.array(cell(F.col("at")) - 1, cell(F.col("at")), cell(F.col("at")) + 1)))
-    m = dispositions(mentions).select("slug", "round", F.col("at").alias("round_at"), "disposition", F.col("score").alias("lexical"), cell(F.col("at")).alias("cell"))
-    apart = F.abs(F.timestamp_diff("MICROSECOND", F.col("round_at"), F.col("at")))
-    both = v.join(m, ["slug", "cell"]).withColumn("apart", apart).where(F.col("apart") <= window_seconds * 1_000_000)
-    w = Window.partitionBy("event_id").orderBy("apart", "round_at", "round")
-    best = both.withColumn("k", F.row_number().over(w)).where("k = 1").select("event_id", "round", "round_at", "disposition", "lexical")
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    cell = F.floor(micros / F.lit(window_seconds * 1_000_000)).cast("long")
+    found = F.struct(micros.alias("t"), "round", F.col("at").alias("round_at"), "disposition", F.col("score").alias("lexical"))
+    m = dispositions(mentions).where("slug is not null and at is not null").groupBy("slug", cell.alias("cell"), micros.alias("t")).agg(F.min(found).alias("m"))
+    v = verdicts.select("event_id", "slug", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), micros.alias("t"))
+    rows = m.withColumns({"event_id": F.lit(None).cast(dict(verdicts.dtypes)["event_id"]), "asks": F.lit(False)}).unionByName(v.withColumns({"m": F.lit(None).cast(m.schema["m"].dataType), "asks": F.lit(True)}))
+    upto = Window.partitionBy("slug", "cell").orderBy("t", "asks")
+    before = F.last("m", True).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    # Backwards, a verdict comes before what is mentioned at its time, which the other one has.
+    after = F.last("m", True).over(Window.partitionBy("slug", "cell").orderBy(F.col("t").desc(), F.col("asks").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumns({"before": before, "after": after}).where("asks").select("event_id", "t", F.explode(F.array("before", "after")).alias("m"))
+    apart = F.abs(F.col("m.t") - F.col("t"))
+    near = met.where(apart <= window_seconds * 1_000_000).groupBy("event_id").agg(F.min(F.struct(apart.alias("apart"), "m")).alias("x"))
+    best = near.select("event_id", "x.m.round", "x.m.round_at", "x.m.disposition", "x.m.lexical")
     return verdicts.join(best, "event_id", "left").withColumn("band", decision_band(F.col("probability"), "rerank"))
 
 

@@ -221,3 +221,25 @@ def test_literals_are_looked_for(spark):
     hit = text.scan_secrets(F.col("t"), ("hunter2hunter2",), "list")
     out = [r["h"] and tuple(r["h"]) for r in d.select(hit.alias("h")).collect()]
     assert out == [("external(list)", 10, "my secret [REDACTED:external(list)]"), ("aws-access-key-id", 0, "[REDACTED:aws-access-key-id]"), None, None]
+
+
+def test_join_verdicts_meets_no_pairs(spark):
+    """A frequent slug: beside a plain search, and no step makes rows for pairs of verdicts and rounds."""
+    from loam.operators import replay
+
+    r = random.Random(8)
+    stamp = lambda s: f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    rounds = [(f"r{i}", r.choice(["a", "a", "b", None]), r.randrange(0, 86_000, 7) if i % 50 else None) for i in range(1500)]
+    asked = [(i, r.choice(["a", "a", "b", "c", None]), r.randrange(0, 86_000, 7) if i % 40 else None) for i in range(600)]
+    at = lambda t: None if t is None else stamp(t)
+    m = spark.createDataFrame([(n, s, at(t), "hit", float(i), i) for i, (n, s, t) in enumerate(rounds)], "round string, slug string, at string, kind string, score double, nth int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    v = spark.createDataFrame([(i, s, at(t), 0.5) for i, s, t in asked], "event_id long, slug string, at string, probability double").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    window = 600
+    want = {}
+    for i, s, t in asked:
+        near = [(abs(u - t), u, n) for n, x, u in rounds if s is not None and x == s and t is not None and u is not None and abs(u - t) <= window]
+        want[i] = min(near)[2] if near else None
+    out = replay.join_verdicts(v, m, window)
+    assert {x["event_id"]: x["round"] for x in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the one that gives the verdicts their rounds
