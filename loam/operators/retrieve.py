@@ -15,6 +15,8 @@ WEIGHTS = {"triggers": 5.0, "title": 3.0, "slug": 2.0, "tags": 2.0, "description
 STRONG, BODY = ("triggers", "title", "slug"), ("description", "conclusion")
 USAGE_MOST, RECENCY, CONFLICT, DECAY = 0.2, 0.2, 0.3, 0.5
 NEAR_MISSES, EXTRA_SLOTS = 8, 2
+#: The largest of all limits of a query's rows.
+SHORTLIST = 12
 
 
 @dataclass(frozen=True)
@@ -63,19 +65,26 @@ def lexical(cfg: Retrieval) -> Column:
 def score_topics(queries: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None, postings: DataFrame | None = None) -> DataFrame:
     """query_id, slug, pos, score, gate_score, strong, body_hits of every query and topic that share a token.
 
-    The tokens of queries and topics are joined by token, so nothing is compared that has no token in common. usage
+    The tokens of queries and topics are joined by token, so nothing is compared that has no token in common. Postings are dealt by
+    topic first: what a topic and a query share is then counted where it is met, and only postings are shuffled, not the tokens shared. usage
     (slug, hits, opens), conflicts and zero_open (slug) and now add their terms only where given. Where only scores from a floor on are
     wanted, postings.search() meets fewer. postings: field_tokens() of the topics, where there are some already.
     """
-    shared = query_tokens(queries).join(field_tokens(topics) if postings is None else postings, "token")
+    shared = query_tokens(queries).join(dealt(topics, postings), "token")
     found = shared.groupBy("query_id", "slug").agg(F.max("n_query").alias("n_query"), *field_counts())
     return scores(found, topics, cfg, usage, conflicts, zero_open, now)
 
 
+def dealt(topics: DataFrame, postings: DataFrame | None) -> DataFrame:
+    """Postings (those of the topics, unless given) dealt by slug."""
+    n = int(topics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return field_tokens(topics.repartition(n, "slug")) if postings is None else postings.repartition(n, "slug")
+
+
 def scores(found: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None) -> DataFrame:
     """score_topics() of counted tokens: found has query_id, slug, n_query and the counts by field."""
     found, s = found.withColumnRenamed("n_body", "body_hits"), lexical(cfg)
-    found = found.join(topics.select("slug", "pos", "generated_at"), "slug")
+    found = found.join(topics.select("slug", "pos", "generated_at").hint("shuffle_hash"), "slug")
     if usage is not None:
         found = found.join(usage.select("slug", (F.col("hits") + F.col("opens")).alias("uses")), "slug", "left")
         s = s + F.when((s > 0) & (F.col("uses") > 0), min(cfg.usage_boost, USAGE_MOST)).otherwise(0.0)
@@ -101,6 +110,15 @@ def best(scored: DataFrame, n: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
 
 
+def shortlist(scored: DataFrame, cfg: Retrieval = Retrieval(), n: int = SHORTLIST) -> DataFrame:
+    """The rows of which hits(), near_misses(), explicit_search() and slow_candidates() of all rows are made, for limits up to n: the first n of each
+    query among those that pass, that the gate keeps out, and that miss the threshold by half of it at most."""
+    over = F.col("gate_score") >= cfg.threshold
+    kind = F.when(over & passes_gate(), 0).when(over, 1).when(F.col("gate_score") >= cfg.threshold * 0.5, 2)
+    first = Window.partitionBy("query_id", "kind").orderBy(F.col("score").desc(), "pos")
+    return scored.withColumn("kind", kind).where("kind is not null").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= n).drop("kind", "nth")
+
+
 def hits(scored: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
     ok = F.col("gate_score") >= cfg.threshold
     return best(scored.where(ok & passes_gate() if cfg.gate else ok), cfg.top_k)

@@ -100,3 +100,34 @@ def test_a_lost_writer_leaves_the_index_as_it_was(spark):
     assert rows(kept.postings(spark)) == rows(retrieve.field_tokens(topics.where("pos < 20")))
     kept.update(topics)
     assert rows(kept.postings(spark)) == rows(retrieve.field_tokens(topics))
+
+
+def test_shortlist_is_enough(spark):
+    """Whatever takes the first rows of a query takes the same ones of the shortlist."""
+    topics, queries = topics_of(spark, 300, 5)
+    scored = retrieve.score_topics(queries, topics).cache()
+    few = retrieve.shortlist(scored).cache()
+    assert 0 < few.count() < scored.count() / 4
+    for f in (retrieve.hits, retrieve.near_misses, retrieve.explicit_search, lambda x: retrieve.slow_candidates(x, retrieve.hits(x).select("query_id", "slug"))):
+        assert rows(f(few)) == rows(f(scored))
+
+
+def exchanges(df) -> list[str]:
+    df.write.format("noop").mode("overwrite").save()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_shared_tokens_are_not_shuffled(spark):
+    topics, queries = topics_of(spark, 100)
+    made, queries = shared.written(retrieve.field_tokens(topics)), shared.written(queries)
+    for df in (retrieve.score_topics(queries, topics, postings=made), postings.search(queries, topics, floor=1.0, postings=made)):
+        assert all("query_id" not in line for line in exchanges(df))
+
+
+def test_postings_of_one_token_lie_in_all_parts(spark):
+    """A token that all topics have isn't one task's work."""
+    topics, _ = topics_of(spark, 60)
+    kept = postings.Kept(shared.folder(spark, "test"), 4)
+    kept.update(topics.withColumn("tags", F.array(F.lit("everywhere"))))
+    at = kept.postings(spark).where("token = 'everywhere'").groupBy(F.input_file_name()).count().collect()
+    assert len(at) == 4 and max(r["count"] for r in at) < 40
