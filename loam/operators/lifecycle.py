@@ -69,40 +69,55 @@ def unique_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """wanted (id, slug) with final: the slug, or the slug with the first number from 2 on that is free, in id order; what earlier
     rows were given isn't free either.
 
-    Names can only meet within a family, the slugs that are the same without the numbers at their ends. Where a family wants one
-    slug, the n-th comer gets the n-th free number, counted without trying them in turn. Families that want several
-    (a and a-2) are folded in id order, a family a task.
+    Names can only meet within a family, the slugs that are the same without the numbers at their ends. The n-th comer of a slug gets its
+    n-th free number, counted without trying them in turn. A slug that is another one's with a number (a-2 of a) takes that number from it
+    if its first comer is there before the other one's n-th comer has got so far; else it is itself taken. That is settled between the
+    different slugs of a family, so no task holds a family's rows.
     """
+    id_type = dict(wanted.dtypes)["id"]
     root = F.regexp_replace("slug", r"(?:-(?:[2-9]|[1-9]\d{1,8}))+$", "")
-    rows = wanted.select("id", "slug", root.alias("root"))
-    held = taken.select("slug", root.alias("root")).distinct()
-    kinds = rows.groupBy("root").agg((F.min("slug") != F.max("slug")).alias("mixed"))
-    rows = rows.join(kinds, "root")
-    one, many = rows.where("not mixed"), rows.where("mixed")
-
+    held = taken.select("slug").distinct()
     numbers = held.select(F.regexp_extract("slug", NUMBERED, 1).alias("slug"), F.regexp_extract("slug", NUMBERED, 2).try_cast("long").alias("i")).where("i is not null")
     used = numbers.unionByName(held.select("slug", F.lit(1).cast("long").alias("i"))).distinct()
-    lists = used.groupBy("slug").agg(F.array_sort(F.collect_list("i")).alias("used"))
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
-    simple = one.withColumn("nth", nth.cast("long")).join(lists, "slug", "left")
+
+    # Slugs that are another wanted slug with a number, when they first come, and how many of the other one were there by then.
+    firsts = wanted.groupBy("slug").agg(F.min("id").alias("id"))
+    claims = firsts.select(F.regexp_extract("slug", NUMBERED, 1).alias("base"), F.regexp_extract("slug", NUMBERED, 2).try_cast("long").alias("i"), F.col("slug").alias("claim"), "id").where("i is not null")
+    claims = claims.join(firsts.select(F.col("slug").alias("base")), "base", "left_semi")
+    rows = wanted.select("id", "slug", F.lit(1).alias("one"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("string").alias("claim"))
+    rows = rows.unionByName(claims.select("id", F.col("base").alias("slug"), F.lit(0).alias("one"), "i", "claim"))
+    rows = rows.withColumn("nth", F.sum("one").over(Window.partitionBy("slug").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def settle(asked, there):
+        """Of a family's claims (those of shorter slugs first, and each slug's in id order), the numbers that slugs lose."""
+        import bisect
+
+        import pandas as pd
+
+        gone, lost, out = {}, set(), []
+        for slug, i in zip(there["slug"], there["i"]):
+            gone.setdefault(slug, set()).add(i)
+        for base, own in sorted(asked.groupby("slug"), key=lambda x: len(x[0])):
+            numbers = sorted(gone.get(base, set()) | ({1} if base in lost else set()))
+            for x in own.sort_values("id").itertuples():
+                k = bisect.bisect_left(numbers, x.i)
+                if k < len(numbers) and numbers[k] == x.i:
+                    continue  # taken from the beginning
+                if x.i - 1 - k >= x.nth:
+                    numbers.insert(k, x.i)
+                    out.append((base, x.i))
+                else:
+                    lost.add(x.claim)
+                    out.append((x.claim, 1))
+        return pd.DataFrame(out, columns=["slug", "i"]).astype({"slug": "object", "i": "int64"})
+
+    asked = rows.where("one = 0").withColumn("root", root)
+    moved = asked.groupBy("root").cogroup(used.withColumn("root", root).join(asked.select("root").distinct(), "root", "left_semi").groupBy("root")).applyInPandas(settle, "slug string, i long")
+    lists = used.unionByName(moved).groupBy("slug").agg(F.array_sort(F.collect_set("i")).alias("used"))
     # The n-th number that isn't used: n, moved on by one for each used number up to it.
     free = F.aggregate(F.coalesce("used", F.array().cast("array<bigint>")), F.col("nth"), lambda a, u: F.when(u <= a, a + 1).otherwise(a))
-    simple = simple.select("id", "slug", free.alias("i")).select("id", F.when(F.col("i") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("i").cast("string"))).alias("final"))
-
-    def fold(asked, there):
-        names, last, out = set(there["slug"]), {}, []
-        for slug in asked.sort_values("id")["slug"]:
-            i = last.get(slug, 1)
-            while (name := slug if i == 1 else f"{slug}-{i}") in names:
-                i += 1
-            names.add(name)
-            last[slug] = i
-            out.append(name)
-        return asked.sort_values("id")[["id"]].assign(final=out)
-
-    kind = dict(wanted.dtypes)["id"]
-    folded = many.groupBy("root").cogroup(held.join(many.select("root").distinct(), "root", "left_semi").groupBy("root")).applyInPandas(fold, f"id {kind}, final string")
-    return simple.unionByName(folded)
+    simple = rows.where("one = 1").join(lists, "slug", "left").select("id", "slug", free.alias("i"))
+    return simple.select(F.col("id").cast(id_type).alias("id"), F.when(F.col("i") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("i").cast("string"))).alias("final"))
 
 
 def clean_detail(detail: Column) -> Column:

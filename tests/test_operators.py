@@ -243,3 +243,26 @@ def test_join_verdicts_meets_no_pairs(spark):
     assert {x["event_id"]: x["round"] for x in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the one that gives the verdicts their rounds
+
+
+def test_unique_slugs_of_mixed_families(spark):
+    """Beside a fold in id order; and Python gets the claims of slugs on each other, not the rows."""
+    for seed in range(3):
+        r = random.Random(seed)
+        kinds = ["a", "a", "a", "a-2", "a-3", "a-2-2", "a-5", "b", "b-9", "a-12", "a-2-3", "c-2"]
+        asked = [(i, r.choice(kinds)) for i in range(60)]
+        there = set(r.sample(["a", "a-3", "a-2-2", "b-2", "a-4", "b-9-2", "c"], 3))
+        names, want = set(there), {}
+        for i, s in asked:
+            n = 1
+            while (name := s if n == 1 else f"{s}-{n}") in names:
+                n += 1
+            names.add(name)
+            want[i] = name
+        out = lifecycle.unique_slugs(spark.createDataFrame(asked, "id long, slug string"), spark.createDataFrame([(s,) for s in there], "slug string"))
+        assert {x["id"]: x["final"] for x in out.collect()} == want
+    many = spark.range(5000).select("id", F.when(F.col("id") == 0, "a-3").otherwise("a").alias("slug"))
+    out = lifecycle.unique_slugs(many, spark.createDataFrame([("a",)], "slug string"))
+    assert out.count() == 5000 == out.select("final").distinct().count()
+    scan = "FlatMapCoGroupsInPandas"
+    assert "one#" in out._jdf.queryExecution().optimizedPlan().toString().split(scan)[1]  # it reads claims (one = 0) alone
