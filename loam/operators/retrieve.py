@@ -17,6 +17,8 @@ USAGE_MOST, RECENCY, CONFLICT, DECAY = 0.2, 0.2, 0.3, 0.5
 NEAR_MISSES, EXTRA_SLOTS = 8, 2
 #: The largest of all limits of a query's rows.
 SHORTLIST = 12
+#: Topics that are scored in one part, at most on average.
+PART_TOPICS = 10_000
 
 
 @dataclass(frozen=True)
@@ -43,11 +45,11 @@ def field_tokens(topics: DataFrame) -> DataFrame:
     names = list(WEIGHTS)
     bit = {f: 1 << i for i, f in enumerate(names)} | {"body": 1 << len(names)}
     rows = topics.select("slug", *[tokenize(text(f)).alias(f"_{f}") for f in names])
-    tagged = lambda tokens, bits: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(bits).alias("fields")))
+    tagged = lambda tokens, bits: F.struct(F.lit(bits).alias("fields"), tokens.alias("tokens"))
     lists = [tagged(F.col(f"_{f}"), bit[f]) for f in names if f not in BODY]
     lists += [tagged(F.col("_conclusion"), bit["conclusion"] | bit["body"]), tagged(F.array_intersect("_description", "_conclusion"), bit["description"])]
     lists += [tagged(F.array_except("_description", "_conclusion"), bit["description"] | bit["body"])]
-    return rows.select("slug", F.explode(F.concat(*lists)).alias("x")).select("slug", "x.token", "x.fields")
+    return rows.select("slug", F.explode(F.array(*lists)).alias("x")).select("slug", F.explode("x.tokens").alias("token"), "x.fields")
 
 
 def field_counts() -> list[Column]:
@@ -65,20 +67,28 @@ def lexical(cfg: Retrieval) -> Column:
 def score_topics(queries: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None, postings: DataFrame | None = None) -> DataFrame:
     """query_id, slug, pos, score, gate_score, strong, body_hits of every query and topic that share a token.
 
-    The tokens of queries and topics are joined by token, so nothing is compared that has no token in common. Postings are dealt by
-    topic first: what a topic and a query share is then counted where it is met, and only postings are shuffled, not the tokens shared. usage
+    The tokens of queries and topics are joined by token, so nothing is compared that has no token in common. Postings of tokens that some query has are
+    dealt by topic first: what a topic and a query share is then counted where it is met, and neither texts, other postings nor the tokens shared are shuffled. usage
     (slug, hits, opens), conflicts and zero_open (slug) and now add their terms only where given. Where only scores from a floor on are
     wanted, postings.search() meets fewer. postings: field_tokens() of the topics, where there are some already.
     """
-    shared = query_tokens(queries).join(dealt(topics, postings), "token")
+    tokens = query_tokens(queries)
+    shared = tokens.join(dealt(asked(topics, postings, tokens), topics), "token")
     found = shared.groupBy("query_id", "slug").agg(F.max("n_query").alias("n_query"), *field_counts())
     return scores(found, topics, cfg, usage, conflicts, zero_open, now)
 
 
-def dealt(topics: DataFrame, postings: DataFrame | None) -> DataFrame:
-    """Postings (those of the topics, unless given) dealt by slug."""
-    n = int(topics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return field_tokens(topics.repartition(n, "slug")) if postings is None else postings.repartition(n, "slug")
+def asked(topics: DataFrame, postings: DataFrame | None, tokens: DataFrame) -> DataFrame:
+    """Postings (those of the topics, unless given) of these tokens. Found where the postings are made."""
+    postings = field_tokens(topics) if postings is None else postings
+    return postings.join(tokens.select("token"), "token", "left_semi")
+
+
+def dealt(postings: DataFrame, topics: DataFrame) -> DataFrame:
+    """Postings dealt by slug, in so many parts that what is counted in one doesn't grow with the topics, which are counted first."""
+    spark = topics.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-topics.count() // PART_TOPICS))
+    return postings.repartition(parts, "slug")
 
 
 def scores(found: DataFrame, topics: DataFrame, cfg: Retrieval = Retrieval(), usage: DataFrame | None = None, conflicts: DataFrame | None = None, zero_open: DataFrame | None = None, now: str | None = None) -> DataFrame:

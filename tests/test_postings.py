@@ -131,3 +131,26 @@ def test_postings_of_one_token_lie_in_all_parts(spark):
     kept.update(topics.withColumn("tags", F.array(F.lit("everywhere"))))
     at = kept.postings(spark).where("token = 'everywhere'").groupBy(F.input_file_name()).count().collect()
     assert len(at) == 4 and max(r["count"] for r in at) < 40
+
+
+def test_texts_and_postings_that_nobody_asks_for_are_not_shuffled(spark):
+    """What is dealt by slug are postings of tokens that some query has: neither texts nor other postings."""
+    topics, queries = topics_of(spark, 100)
+    topics, queries = shared.written(topics), shared.written(queries.where("query_id = 5"))
+    df = retrieve.score_topics(queries, topics)
+    made = retrieve.asked(topics, None, retrieve.query_tokens(queries))
+    asked = {r["token"] for r in retrieve.query_tokens(queries).select("token").collect()}
+    assert {r["token"] for r in made.select("token").distinct().collect()} <= asked
+    assert 0 < made.count() < retrieve.field_tokens(topics).count() / 4
+    lines = exchanges(df)
+    assert lines and all("conclusion" not in line for line in lines)
+    assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_grow_with_the_topics(spark, monkeypatch):
+    topics, queries = topics_of(spark, 200)
+    want = rows(retrieve.score_topics(queries, topics))
+    monkeypatch.setattr(retrieve, "PART_TOPICS", 10)
+    made = retrieve.dealt(retrieve.field_tokens(topics), topics)
+    assert made.rdd.getNumPartitions() == 20
+    assert rows(retrieve.score_topics(queries, topics)) == want

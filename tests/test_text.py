@@ -160,3 +160,14 @@ def test_distill_loop():
 
     assert sum(lanes.distill([{"i": i} for i in range(25)], call, batch=40)) == 25
     assert max(seen) == 25 and len(seen) <= 8
+
+
+def test_fast_classes_have_the_same_characters(spark):
+    """tokenize() looks scripts up beyond ASCII alone; its tokens are those of the plain patterns, whatever the characters."""
+    some = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i <= 0xDFFF and (i < 0x3400 or i % 7 == 0)]
+    df = spark.createDataFrame([(f"a{c}b {c} {c}{c} x{c} {c}y +{c}#",) for c in some], "t string")
+    t = F.col("t")
+    words = F.filter(F.regexp_extract_all(F.lower(t), F.lit(text.WORD_RUN), F.lit(0)), lambda w: F.length(w) >= 2)
+    plain = F.array_distinct(F.concat(words, text.bigrams(F.regexp_extract_all(t, F.lit(text.CJK_RUN), F.lit(0)))))
+    assert df.where(~plain.eqNullSafe(text.tokenize(t))).count() == 0
+    assert text.LONG_WORD.startswith("[a-z0-9")
