@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from loam.llm.common import partitions, ship, staged, text_of
 
 SIZE, END = 2048, 1
-#: Chunks that a worker remembers, and their characters, at most; characters and bytes that are worked off together.
-REMEMBER, REMEMBER_CHARS, PART, FLUSH = 900_000, 32, 1 << 20, 1 << 22
+#: Chunks that a worker remembers, and their characters, at most; characters of a text's part, bytes of ids and characters of texts that are worked off together.
+REMEMBER, REMEMBER_CHARS, PART, FLUSH, GROUP = 900_000, 32, 1 << 20, 1 << 22, 1 << 23
 #: Characters that are their own normal form and are lower-cased one by one: spaces, line feeds, printable ones below U+0180 but one. How
 #: the tokenizer splits text into words (fixed value), with its classes of letters and numbers spelled out for those characters.
 SIMPLE = re.compile("[ \n!-~\u00A1-\u012F\u0131-\u017F]*")
@@ -36,8 +36,15 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.blobs = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        # Whether the model's ids of a word of ASCII characters are the tokenizer's: nothing but lower-casing and splitting comes before it.
+        self.model, probes = self.tokenizer.model, ["a", "is", "packing", "qzxjk", "7", "(", *map("".join, zip("!#%&*+,-./:;<=>?@", "~}|{`_^$~}|{`_^$~"))]
+        self.direct = all(self.of_model(w) == self.ids(w) for w in probes)
         self.passing: dict[str, bytes] = {}
 
+    def of_model(self, word: str) -> bytes:
+        return b"".join([self.blobs[t.id] for t in self.model.tokenize(word)])
+
     def ids(self, text: str) -> bytes:
         import numpy as np
 
@@ -53,9 +60,13 @@ class Encoder(dict):
         self.passing.update((c, x) for c, x in found.items() if c not in self)
 
     def meet(self, words: list[str]) -> None:
-        """Ids of new words, all in one call, told apart by the ids that end words."""
+        """Ids of new words: those of ASCII characters by the model, since the tokenizer's alignments cost more than the merges; the others
+        all in one call, told apart by the ids that end words."""
         import numpy as np
 
+        if self.direct:
+            self.keep({w: self.of_model(w) for w in words if w.isascii()})
+            words = [w for w in words if not w.isascii()]
         if not words:
             return
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
@@ -67,17 +78,53 @@ class Encoder(dict):
             self.keep({w: self.ids(w) for w in words})
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Chunks are told apart and ids laid out by columns; what Python does one by one are the different chunks."""
+        import gc
+
+        on = gc.isenabled()
+        gc.disable()  # many objects, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         self.passing = {}
-        split, chunks, others = [], set(), set()
-        for t in texts:
-            simple = SIMPLE.fullmatch(t)
-            split.append((t.lower() if simple else t).replace("\n", " ").split(" "))
-            (chunks if simple else others).update(split[-1])
-        parts = {c: [c] if c.isalpha() else [c[:-1], c[-1]] if c[:-1].isalpha() else WORDS.findall(c) for c in chunks.difference(self)}
-        self.meet(list({w for ws in parts.values() for w in ws}.difference(self)))
+        simple = [SIMPLE.fullmatch(t) is not None for t in texts]
+        lists = pc.split_pattern(pa.array([(t.lower() if s else t).replace("\n", " ") for t, s in zip(texts, simple, strict=True)], pa.large_string()), " ")
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        chunks, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.get, chunks))
+        new = [i for i, x in enumerate(found) if x is None]
+        whole = np.zeros(len(chunks), dtype=bool)  # those that some text of other characters has
+        if not all(simple):
+            whole[at[np.repeat(~np.array(simple), np.diff(bounds))]] = True
+        words, parts, others = set(), {}, []
+        for c, w in zip([chunks[i] for i in new], whole[new].tolist(), strict=True):
+            if w:
+                others.append(c)
+            elif c.isalpha():
+                words.add(c)
+            else:
+                parts[c] = [c[:-1], c[-1]] if c[:-1].isalpha() else WORDS.findall(c)
+        self.meet(list(words.union(*parts.values()).difference(self)))
         self.keep({c: b"".join([self[w] for w in ws]) for c, ws in parts.items() if ws != [c]})
-        self.keep({c: self.ids(c) for c in others.difference(self, self.passing)})
-        return [b"".join(map(self.__getitem__, c)) for c in split]
+        self.keep({c: self.ids(c) for c in others if c not in self and c not in self.passing})
+        for i in new:
+            found[i] = self[chunks[i]]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begins, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat(begins - ends[:-1], n) + np.arange(ends[-1])]
+        edges = ends[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -97,6 +144,23 @@ def parts_of(text: str, most: int) -> list[str]:
     return [*out, text[at:]]
 
 
+def groups(batches):
+    """Ids and texts of successive rows, of about GROUP characters together."""
+    docs, texts, held = [], [], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                docs.append(doc)
+                texts.append(text)
+                held += len(text)
+                if held > GROUP:
+                    yield docs, texts
+                    docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (four little-endian bytes each): each document's ids and then the end's, cut every `size` ids.
 
@@ -119,21 +183,18 @@ def tokenised(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int =
             return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(kinds.items())})
 
         out, held = [], 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = batch.column("text").to_pylist()
-                short = [t for t in texts if len(t) <= PART]
-                encoded = iter(tok.encode(short) if short else [])
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = (next(encoded) if len(text) <= PART else b"".join(tok.encode([p])[0] for p in parts_of(text, PART))) + tail
-                    for a in range(0, len(ids), 4 * size):
-                        piece = ids[a : a + 4 * size]
-                        out.append((doc, a // 4, len(piece) // 4, len(ids) // 4, piece))
-                        held += len(piece) + 64
-                        if held > FLUSH:
-                            yield flush()
-                            out, held = [], 0
+        for docs, texts in groups(batches):
+            short = [t for t in texts if len(t) <= PART]
+            encoded = iter(tok.encode(short) if short else [])
+            for doc, text in zip(docs, texts, strict=True):
+                ids = (next(encoded) if len(text) <= PART else b"".join(tok.encode([p])[0] for p in parts_of(text, PART))) + tail
+                for a in range(0, len(ids), 4 * size):
+                    piece = ids[a : a + 4 * size]
+                    out.append((doc, a // 4, len(piece) // 4, len(ids) // 4, piece))
+                    held += len(piece) + 64
+                    if held > FLUSH:
+                        yield flush()
+                        out, held = [], 0
         yield flush()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))

@@ -288,3 +288,31 @@ def test_plan_fills_sequences():
             given = sum(n * fill for _, n, fill, _ in p.donors)
             filled = sum(width * n for _, width, n, *_ in p.gaps)
             assert given == filled
+
+
+def test_ascii_words_are_encoded_without_alignments():
+    """Texts of ASCII words need no call of the tokenizer; all ids are what it gives, across batches and with characters of all kinds."""
+    import random
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        e = packing.Encoder(f.read())
+    draw, signs = random.Random(5), [chr(i) for i in range(32, 0x180)] + ["\n", "\t", "汉", "é", "🙂"]
+    texts = ["", " ", "\n\n", "İstanbul ıs", "it's I'LL 12a3 ¼", *("".join(draw.choices(signs, k=draw.randint(0, 40))) for _ in range(300))]
+    want = [e.ids(t) for t in texts]
+    assert e.encode(texts) == want == [x for t in texts for x in e.encode([t])] and e.encode([]) == []
+    plain = ["Some plain words, (really) plain: it's 42.", "more of them\nand more"]
+    want = [e.ids(t) for t in plain]
+    e.tokenizer = None
+    assert e.encode(plain) == want
+
+
+def test_groups_of_texts_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "GROUP", 100)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, a + 700)), "text": ["x" * (i % 60) for i in range(a, a + 700)]}) for a in (0, 700)]
+    got = list(packing.groups(iter(batches)))
+    assert [d for docs, _ in got for d in docs] == list(range(1400))
+    assert max(sum(map(len, texts)) for _, texts in got) <= 160 and min(sum(map(len, texts)) for _, texts in got[:-1]) > 100
