@@ -38,18 +38,30 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.size("tokens").alias("n_query"), F.explode("tokens").alias("token"))
 
 
-def field_tokens(topics: DataFrame) -> DataFrame:
-    """slug, token, fields: a row for each different token of each field, with the field as a bit in the order of WEIGHTS. One row of each
+def field_lists(topics: DataFrame) -> DataFrame:
+    """slug, lists: a row for each topic, with the different tokens of each field (tokens) and the field as a bit in the order of WEIGHTS (fields). One list of each
     token of the body (description or conclusion) has the bit after those too. Made row by row, without a shuffle."""
     text = lambda f: F.array_join(F.col(f), " ") if dict(topics.dtypes)[f].startswith("array") else F.coalesce(F.col(f), F.lit(""))
     names = list(WEIGHTS)
     bit = {f: 1 << i for i, f in enumerate(names)} | {"body": 1 << len(names)}
     rows = topics.select("slug", *[tokenize(text(f)).alias(f"_{f}") for f in names])
     tagged = lambda tokens, bits: F.struct(F.lit(bits).alias("fields"), tokens.alias("tokens"))
+    # Spark makes a set of the array on the right: of the description, which is short, never of the conclusion.
+    rows = rows.withColumn("_both", F.array_intersect("_conclusion", "_description"))
     lists = [tagged(F.col(f"_{f}"), bit[f]) for f in names if f not in BODY]
-    lists += [tagged(F.col("_conclusion"), bit["conclusion"] | bit["body"]), tagged(F.array_intersect("_description", "_conclusion"), bit["description"])]
-    lists += [tagged(F.array_except("_description", "_conclusion"), bit["description"] | bit["body"])]
-    return rows.select("slug", F.explode(F.array(*lists)).alias("x")).select("slug", F.explode("x.tokens").alias("token"), "x.fields")
+    lists += [tagged(F.col("_conclusion"), bit["conclusion"] | bit["body"]), tagged(F.col("_both"), bit["description"])]
+    lists += [tagged(F.array_except("_description", "_both"), bit["description"] | bit["body"])]
+    return rows.select("slug", F.array(*lists).alias("lists"))
+
+
+def listed_tokens(rows: DataFrame) -> DataFrame:
+    """slug, token, fields: a row for each token of each list of field_lists()."""
+    return rows.select("slug", F.explode("lists").alias("x")).select("slug", F.explode("x.tokens").alias("token"), "x.fields")
+
+
+def field_tokens(topics: DataFrame) -> DataFrame:
+    """slug, token, fields: a row for each different token of each field, with the fields as field_lists() has them."""
+    return listed_tokens(field_lists(topics))
 
 
 def field_counts() -> list[Column]:

@@ -154,3 +154,24 @@ def test_parts_grow_with_the_topics(spark, monkeypatch):
     made = retrieve.dealt(retrieve.field_tokens(topics), topics)
     assert made.rdd.getNumPartitions() == 20
     assert rows(retrieve.score_topics(queries, topics)) == want
+
+
+def test_a_kept_topic_is_one_row(spark, monkeypatch):
+    """Runs are merged by moving a row a topic, not one a posting, whether the changed topics are few or many."""
+    topics, _ = topics_of(spark, 60)
+    for few in (0, postings.FEW):
+        monkeypatch.setattr(postings, "FEW", few)
+        kept = postings.Kept(shared.folder(spark, "test"), 4)
+        for batch in (topics.where("pos < 40"), topics.withColumn("title", F.when(F.col("pos") < 9, "new").otherwise(F.col("title"))).where("pos > 2")):
+            kept.update(batch)
+        assert [spark.read.parquet(f"{kept.path}/run-{i:06d}/postings").count() for i in (1, 2)] == [40, 26]
+        kept.compact(spark)
+        assert spark.read.parquet(f"{kept.path}/whole-000003/postings").count() == 57
+        assert rows(kept.postings(spark)) == rows(retrieve.field_tokens(batch))
+
+
+def test_no_set_is_made_of_a_whole_text(spark):
+    """Of two arrays, Spark makes a set of the right one: that must not be the conclusion's tokens."""
+    topics, _ = topics_of(spark, 5)
+    plan = retrieve.field_tokens(topics)._jdf.queryExecution().analyzed().toString()
+    assert "array_intersect(_conclusion" in plan and ", _conclusion" not in "".join(x.split(")")[0] for x in plan.split("array_")[1:])
