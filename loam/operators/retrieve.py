@@ -18,7 +18,7 @@ NEAR_MISSES, EXTRA_SLOTS = 8, 2
 #: The largest of all limits of a query's rows.
 SHORTLIST = 12
 #: Topics that are scored in one part, at most on average.
-PART_TOPICS = 10_000
+PART_TOPICS = 2_000
 
 
 @dataclass(frozen=True)
@@ -38,9 +38,8 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.size("tokens").alias("n_query"), F.explode("tokens").alias("token"))
 
 
-def field_lists(topics: DataFrame) -> DataFrame:
-    """slug, lists: a row for each topic, with the different tokens of each field (tokens) and the field as a bit in the order of WEIGHTS (fields). One list of each
-    token of the body (description or conclusion) has the bit after those too. Made row by row, without a shuffle."""
+def tokenized(topics: DataFrame) -> tuple[DataFrame, Column]:
+    """Topics with the tokens of each field, and field_lists() of them as an expression."""
     text = lambda f: F.array_join(F.col(f), " ") if dict(topics.dtypes)[f].startswith("array") else F.coalesce(F.col(f), F.lit(""))
     names = list(WEIGHTS)
     bit = {f: 1 << i for i, f in enumerate(names)} | {"body": 1 << len(names)}
@@ -51,17 +50,24 @@ def field_lists(topics: DataFrame) -> DataFrame:
     lists = [tagged(F.col(f"_{f}"), bit[f]) for f in names if f not in BODY]
     lists += [tagged(F.col("_conclusion"), bit["conclusion"] | bit["body"]), tagged(F.col("_both"), bit["description"])]
     lists += [tagged(F.array_except("_description", "_both"), bit["description"] | bit["body"])]
-    return rows.select("slug", F.array(*lists).alias("lists"))
+    return rows, F.array(*lists)
+
+
+def field_lists(topics: DataFrame) -> DataFrame:
+    """slug, lists: a row for each topic, with the different tokens of each field (tokens) and the field as a bit in the order of WEIGHTS (fields). One list of each
+    token of the body (description or conclusion) has the bit after those too. Made row by row, without a shuffle."""
+    rows, lists = tokenized(topics)
+    return rows.select("slug", lists.alias("lists"))
 
 
-def listed_tokens(rows: DataFrame) -> DataFrame:
+def listed_tokens(rows: DataFrame, lists: Column | str = "lists") -> DataFrame:
     """slug, token, fields: a row for each token of each list of field_lists()."""
-    return rows.select("slug", F.explode("lists").alias("x")).select("slug", F.explode("x.tokens").alias("token"), "x.fields")
+    return rows.select("slug", F.explode(lists).alias("x")).select("slug", F.explode("x.tokens").alias("token"), "x.fields")
 
 
 def field_tokens(topics: DataFrame) -> DataFrame:
     """slug, token, fields: a row for each different token of each field, with the fields as field_lists() has them."""
-    return listed_tokens(field_lists(topics))
+    return listed_tokens(*tokenized(topics))  # of a column of lists Spark would ask the size first, and tokenise for that as well
 
 
 def field_counts() -> list[Column]:

@@ -175,3 +175,17 @@ def test_no_set_is_made_of_a_whole_text(spark):
     topics, _ = topics_of(spark, 5)
     plan = retrieve.field_tokens(topics)._jdf.queryExecution().analyzed().toString()
     assert "array_intersect(_conclusion" in plan and ", _conclusion" not in "".join(x.split(")")[0] for x in plan.split("array_")[1:])
+
+
+def test_a_part_has_few_groups(spark):
+    """A part's groups are its topics times the queries: few enough to be counted without going through much memory."""
+    topics, _ = topics_of(spark, 2)
+    many = spark.range(60_000).select(F.col("id").cast("string").alias("slug"))
+    assert retrieve.dealt(retrieve.field_tokens(topics), many).rdd.getNumPartitions() >= 30
+
+
+def test_texts_are_tokenised_once(spark):
+    """Spark must not push a question for the size of the lists below what makes them."""
+    topics, _ = topics_of(spark, 5)
+    plan = retrieve.field_tokens(shared.written(topics))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("2E80") == len(retrieve.WEIGHTS)
