@@ -266,3 +266,28 @@ def test_unique_slugs_of_mixed_families(spark):
     assert out.count() == 5000 == out.select("final").distinct().count()
     scan = "FlatMapCoGroupsInPandas"
     assert "one#" in out._jdf.queryExecution().optimizedPlan().toString().split(scan)[1]  # it reads claims (one = 0) alone
+
+
+def test_similar_pairs_keep_lists_in_cells(spark, monkeypatch):
+    """Copies of a set are compared once, candidates cross no exchange, and the pairs kept for clusters have the same clusters, with one cell and with several."""
+    words = [f"w{i % 7} x{i % 5} y{i % 3} z{i % 4}" for i in range(120)] + ["p q1"] * 30 + ["", "lone word here"]
+    rows = [(i, w, "", []) for i, w in enumerate(words)]
+    t = spark.createDataFrame(rows, "pos long, title string, description string, tags array<string>")
+    sets = [{x for x in w.split() if len(x) > 1} for w in words]
+    want = {(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for b in range(len(sets)) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) > 0}
+    monkeypatch.setattr(cluster, "LEAST", 8)
+    for cells in (1, 6):
+        monkeypatch.setattr(cluster, "CELLS", cells)
+        pairs = cluster.similar_pairs(t)
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(want) and set(got) == want
+        p = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert p.count("SortMergeJoin") == 1 and "HashAggregate" not in p and p.count("Exchange hashpartitioning") == 2
+        links = cluster.linking_pairs(t)
+        assert {tuple(r) for r in links.collect()} != set() and links.count() < len(want)
+        pairs = queries._write(pairs)
+        members = queries._write(cluster.clusters(pairs, queries._write))
+        mine = cluster.clusters(links, queries._write).collect()
+        assert {tuple(r) for r in mine} == {tuple(r) for r in members.collect()}
+        asked = {tuple(r) for r in cluster.asked_pairs(cluster.pairs_within(t, members), members).collect()}
+        assert asked == {tuple(r) for r in cluster.asked_pairs(pairs, members).collect()} != set()
